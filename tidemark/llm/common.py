@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,12 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which the cluster names in spark.checkpoint.dir.
 
     Only a local session, whose driver and executors share one machine, gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +32,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table in the same shared folder: smaller than a checkpoint of many rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and where each begins (one more offset at the end).
 
@@ -91,15 +105,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word in order, and the index of the first word of each text (with an end).
+def located_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word in order, and where each begins.
 
     Words are runs of WORD_BYTE; the texts are to be in one case already. A polynomial prefix hash gives
     all words at once, with no loop over words.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     inside = WORD_BYTE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -113,6 +127,12 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * power[:n], out=prefix[1:], dtype=np.uint64)
     hashes = mix64((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    return hashes, start
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word in order, and the index of the first word of each text (with an end)."""
+    hashes, start = located_words(data, at)
     return hashes, np.searchsorted(start, at)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, pii, quality, secret_scan, url_reputation
+from . import decontamination, language_id, line_dedup, minhash_dedup, packing, pii, quality, secret_scan, url_reputation, vector_dedup
 from .common import table
 from .sql import OP7_SQL
 
@@ -14,6 +14,14 @@ from .sql import OP7_SQL
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label_documents(table(spark, sf_dir, "documents"))
 
@@ -28,11 +36,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     return url_reputation.filter_urls(pages, url_reputation.page_outcomes(pages, labels))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +59,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_language_id, op4_packing, op5_secret_scan, op7_url_filter, op9_pii, op10_quality)
+    for f in (
+        op1_line_dedup, op2_decontamination, op3_language_id, op4_packing, op5_secret_scan,
+        op6_vector_dedup, op7_url_filter, op8_minhash_dedup, op9_pii, op10_quality,
+    )
 }
 SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
