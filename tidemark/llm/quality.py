@@ -161,25 +161,35 @@ def _patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
 
 
-def score(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, score, posterior, keep.
+@dataclass(frozen=True)
+class Scorer:
+    labels: LabelModel
+    weights: np.ndarray
+
+    def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and posterior of each text."""
+        values, n = measures(data, at)
+        v = votes(values, n)
+        p = 1 / (1 + np.exp(-np.clip(hashed(data, at, values) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return np.where(n == 0, 0.0, p), self.labels.posterior(v)
+
+
+def fit(documents: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """Every document's votes are counted by pattern, of which there are 3 to the number of labellers at most.
 
-    Every document's votes are counted by pattern, of which there are 3 to the number of labellers at most.
     EM over the counts gives each labeller's accuracy on good and on bad documents; no given label is used.
-    The posteriors of about `sample` documents, chosen by a hash of doc_id, train the linear scorer, which then
-    scores all. A null or empty text, or one without a word, scores 0 and is not kept. An empty table
-    gives no row.
+    The posteriors of about `sample` documents, chosen by a hash of doc_id and text, train the linear scorer.
     """
     texts = documents.select("doc_id", "text")
     counted = texts.select("text").mapInArrow(_patterns, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     if not counted:
-        return documents.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"), F.lit(False).alias("keep"))
+        return Scorer(LabelModel(0.5, np.full((len(LABELLERS), 2), 0.5)), np.zeros(DIMS + 1))
     patterns = np.array([np.frombuffer(r["votes"], np.int8) for r in counted])
     counts = np.array([r["n"] for r in counted], np.float64)
     labels = fit_labels(patterns, counts)
 
     spread = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = texts.where(F.coalesce(spread, F.lit(1.0)) < min(1.0, sample / counts.sum()))
+    chosen = texts.where(spread < min(1.0, sample / counts.sum()))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at, values, v in _rows(batches, 1):
@@ -190,14 +200,35 @@ def score(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHO
         x = np.vstack([np.frombuffer(r, "<f2") for r in group["x"]]).astype(np.float32)
         return pd.DataFrame({"w": [train(x, group["y"].to_numpy()).astype("<f8").tobytes()]})
 
-    fitted = chosen.mapInArrow(features, "x binary, y double").withColumn("sample", F.lit(0)).groupBy("sample").applyInPandas(learn, "w binary").collect()
-    w = np.frombuffer(fitted[0]["w"], "<f8") if fitted else np.zeros(DIMS + 1)
+    rows = chosen.mapInArrow(features, "x binary, y double").withColumn("sample", F.lit(0))
+    fitted = rows.groupBy("sample").applyInPandas(learn, "w binary").collect()
+    return Scorer(labels, np.frombuffer(fitted[0]["w"], "<f8") if fitted else np.zeros(DIMS + 1))
+
+
+def score(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, score, posterior, keep, by a scorer fitted on the same documents.
+
+    A null or empty text, or one without a word, scores 0 and is not kept. Rows of one doc_id and null
+    doc ids are scored by their own text. An empty table gives no row.
+    """
+    scorer = fit(documents, sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at, values, v in _rows(batches, 1):
-            p = 1 / (1 + np.exp(-np.clip(hashed(data, at, values) @ w[:-1] + w[-1], -30, 30)))
-            p = np.where((v == 0).all(axis=1), 0.0, p)  # no word at all
-            arrays = [batch.column(0), pa.array(p), pa.array(labels.posterior(v)), pa.array(p >= threshold)]
+        for batch in text_slices(batches):
+            p, posterior = scorer.score(*utf8(batch.column(1)))
+            arrays = [batch.column(0), pa.array(p), pa.array(posterior), pa.array(p >= threshold)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "posterior", "keep"])
 
-    return texts.mapInArrow(run, "doc_id long, score double, posterior double, keep boolean")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, posterior double, keep boolean")
+
+
+def keep_good(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score() would keep, with all columns, filtered where they are read."""
+    scorer, place = fit(documents, sample), documents.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            p, _ = scorer.score(*utf8(batch.column(place)))
+            yield batch.filter(pa.array(p >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
