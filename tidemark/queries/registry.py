@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import prices  # noqa: F401
+from . import fact_queries, prices, relations  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "rolling_indicators"
