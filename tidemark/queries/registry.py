@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fact_queries, prices, relations, research, texts  # noqa: F401
+from . import fact_queries, prices, relations, research, streams, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "rolling_indicators"

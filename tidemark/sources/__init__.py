@@ -1,0 +1 @@
+"""Readers, parsers and writers."""
