@@ -16,7 +16,7 @@ from .common import owners, text_slices, totals, trigram_counts, utf8, words
 DIMS = 4096
 #: Bound of the sample of documents that trains the scorer.
 SAMPLE = 5000
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 EM_ROUNDS = 200
 
 _ASCII = [chr(b) if b < 128 else "\0" for b in range(256)]
@@ -28,17 +28,18 @@ _SHOUT = np.array([c in "!?" for c in _ASCII])
 _STOP = np.array([c in ".!?" for c in _ASCII])
 
 #: Of each measure: its name, the value up to which a labeller votes good, the value from which it votes
-#: bad (it abstains between), and the fewest words that it judges.
+#: bad (it abstains between), the fewest words that it judges, and the kind of badness that it looks for.
 LABELLERS = (
-    ("symbols", 0.02, 0.08, 1),
-    ("capitals", 0.15, 0.5, 3),
-    ("shouting", 0.05, 0.3, 3),
-    ("digits", 0.2, 0.5, 1),
-    ("repeated_words", 0.5, 0.7, 30),
-    ("repeated_triples", 0.1, 0.3, 20),
-    ("stuttering", 0.05, 0.25, 6),
-    ("decorated_words", 0.05, 0.3, 1),
+    ("symbols", 0.02, 0.08, 1, 0),
+    ("capitals", 0.15, 0.5, 3, 1),
+    ("shouting", 0.05, 0.3, 3, 1),
+    ("digits", 0.2, 0.5, 1, 0),
+    ("repeated_words", 0.5, 0.7, 30, 2),
+    ("repeated_triples", 0.1, 0.3, 20, 2),
+    ("stuttering", 0.05, 0.25, 6, 2),
+    ("decorated_words", 0.05, 0.3, 1, 0),
 )
+KIND = np.array([x[4] for x in LABELLERS])
 
 
 def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def votes(values: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """1 good, 0 bad, -1 abstains; a text without words is bad to all labellers."""
     out = np.full(values.shape, -1, np.int8)
-    for j, (_, good, bad, least) in enumerate(LABELLERS):
+    for j, (_, good, bad, least, _) in enumerate(LABELLERS):
         judged = n_words >= least
         out[judged & (values[:, j] <= good), j] = 1
         out[judged & (values[:, j] >= bad), j] = 0
@@ -88,34 +89,40 @@ def votes(values: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    prior: float  # of good
-    right: np.ndarray  # labeller x class: the probability of voting for that class when it votes (bad, good)
+    """Latent classes of documents: good first, then one for each kind of badness."""
+
+    share: np.ndarray  # of each class
+    good: np.ndarray  # labeller x class: the probability that it votes good when it votes
+
+    def classes(self, v: np.ndarray) -> np.ndarray:
+        """Probability of each class for documents with these votes."""
+        log = np.log(self.share) + (v == 1) @ np.log(self.good) + (v == 0) @ np.log(1 - self.good)
+        p = np.exp(log - log.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """Probability that a document with these votes is good."""
-        good = np.full(len(v), np.log(self.prior / (1 - self.prior)))
-        for j, (on_bad, on_good) in enumerate(self.right):
-            good += np.where(v[:, j] == 1, np.log(on_good / (1 - on_bad)), 0)
-            good += np.where(v[:, j] == 0, np.log((1 - on_good) / on_bad), 0)
-        return 1 / (1 + np.exp(-np.clip(good, -50, 50)))
+        return self.classes(v)[:, 0]
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> LabelModel:
     """Expectation-maximisation over the distinct vote patterns and how many documents have each.
 
-    It starts from labellers that seldom blame a good document and see one bad document in three, each
-    knowing one kind of badness; weak counts of the same shape keep the estimates off 0 and 1.
+    It starts from labellers that seldom blame a good document, mostly blame a bad one of their own kind and
+    seldom one of another. Weak counts of the same shape keep the estimates off 0 and 1, and no labeller is
+    thought to blame more than one good document in ten, which is what makes the first class the good one.
     """
-    model = LabelModel(0.8, np.tile([0.3, 0.97], (len(LABELLERS), 1)))
+    kinds = np.arange(KIND.max() + 1)
+    start = np.column_stack([np.full(len(LABELLERS), 0.97), np.where(KIND[:, None] == kinds, 0.2, 0.85)])
+    model = LabelModel(np.array([0.8, *np.full(len(kinds), 0.2 / len(kinds))]), start)
+    weak = np.array([20.0, *np.full(len(kinds), 4.0)])
     for _ in range(rounds):
-        good = model.posterior(patterns) * counts
-        bad = counts - good
-        voted, yes = patterns >= 0, patterns == 1
-        weigh = lambda w, m: (w[:, None] * m).sum(axis=0)
-        on_good = (weigh(good, yes) + 9.7) / (weigh(good, voted) + 10)
-        on_bad = (weigh(bad, voted & ~yes) + 3) / (weigh(bad, voted) + 10)
-        right = np.clip(np.column_stack([on_bad, on_good]), 0.01, 0.99)
-        model = LabelModel(float(np.clip(good.sum() / max(counts.sum(), 1), 0.01, 0.99)), right)
+        weight = model.classes(patterns) * counts[:, None]
+        yes, voted = (patterns == 1).T @ weight, (patterns >= 0).T @ weight
+        good = np.clip((yes + start * weak) / (voted + weak), 0.01, 0.99)
+        good[:, 0] = np.maximum(good[:, 0], 0.9)
+        share = np.maximum(weight.sum(axis=0) + 1, 1e-6)
+        model = LabelModel(share / share.sum(), good)
     return model
 
 
@@ -183,7 +190,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Scorer:
     texts = documents.select("doc_id", "text")
     counted = texts.select("text").mapInArrow(_patterns, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     if not counted:
-        return Scorer(LabelModel(0.5, np.full((len(LABELLERS), 2), 0.5)), np.zeros(DIMS + 1))
+        return Scorer(LabelModel(np.array([0.5, 0.5]), np.full((len(LABELLERS), 2), 0.5)), np.zeros(DIMS + 1))
     patterns = np.array([np.frombuffer(r["votes"], np.int8) for r in counted])
     counts = np.array([r["n"] for r in counted], np.float64)
     labels = fit_labels(patterns, counts)
