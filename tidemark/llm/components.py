@@ -5,60 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stage
 
 
-def _star(edges: DataFrame) -> bool:
-    """Whether every node hangs on one parent that hangs on nothing."""
-    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
-        edges.select("v", F.lit(0), F.lit(1))
-    )
-    return (
-        roles.groupBy("node")
-        .agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-        .where("below > 1 or (below = 1 and above = 1)")
-        .isEmpty()
-    )
-
-
-def _smallest(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with the smallest neighbour of u.
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A step down: every node (u) with one not larger than it that it is connected with (p), and the edges between those.
 
-    The minima are dealt out anew, so that both sides of the join have an exchange of their own and
-    adaptive execution can split a node with very many neighbours.
+    A node takes its smallest neighbour, and then what that one took. The minimum is summed where the edges
+    are read, so it doesn't matter how many a node has; the tables between are written, so that
+    each side of a join has an exchange of its own and adaptive execution can split one of a node with very many edges.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).repartition("m")
-    return pairs.join(least, "u")
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    taken = stage(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
+    then = taken.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+    parent = stage(taken.join(then, "p").select("u", F.col("pp").alias("p")))
+    moved = edges.join(parent.withColumnRenamed("p", "pu"), "u").join(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+    left = moved.where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
+    return parent, stage(left)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows (node, component) for every node of an edge; component is its smallest reachable node.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): edges stay edges between a node
-    and a smaller one, never more than at the start, and every round is two hash joins whose lineage a
-    checkpoint cuts. Null ends and loops are ignored; no edge gives no row.
+    The graph is contracted until no edge is left, each time to half of its nodes at most; the smallest node of a
+    component always stays. Then what every node was contracted to is looked up from the last step back to
+    the first. Null ends and loops are ignored; no edge gives no row.
     """
-    edges = checkpoint(
+    edges = stage(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    for _ in range(max_rounds):
-        if _star(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edges.select("v", "v").distinct()
-            )
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _smallest(both)
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
-        small = _smallest(large)
-        edges = checkpoint(
-            small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-    raise RuntimeError(f"no star forest after {max_rounds} rounds")
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
+        if len(steps) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        parent, edges = _contract(edges)
+        steps.append(parent)
+    for k, step in enumerate(reversed(steps)):
+        if k == 0:
+            found = step.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            last = found.select(F.col("node").alias("p"), "component")
+            found = step.join(last, "p", "left").select(F.col("u").alias("node"), F.coalesce("component", "p").alias("component"))
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
@@ -24,8 +25,6 @@ KEYS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - MOST_BITS))
 #: Lines of one key that are compared in one go; a key with more is cut into tiles.
 BUCKET = 2048
 TILE_ROWS, TILE_WORDS = 700, 500_000
-#: Most rows that are sent to all executors; a larger side is shuffled.
-BROADCAST_ROWS = 200_000
 
 _LANES = np.array([sum(((byte >> bit) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], np.uint64)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -78,47 +77,55 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)),
-                 pa.array(line_hashes(hashes, at).view(np.int64)), pa.array(simhash(hashes, at).view(np.int64))],
-                names=["doc_id", "key", "line", "h", "sim"],
+                 pa.array(line_hashes(hashes, at).view(np.int64)), pa.array(simhash(hashes, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32))],
+                names=["doc_id", "key", "line", "h", "sim", "n_words"],
             )
 
 
-def pigeonhole(sim: Column) -> Column:
-    """The keys of a SimHash: the bits of two blocks behind the number of the pair of blocks."""
+#: Low bits of a key that hold the line's length, so that rows sorted by it are sorted by length within a bucket.
+LENGTH_BITS = 24
+LENGTH_MASK = (1 << LENGTH_BITS) - 1
+
+
+def pigeonhole(sim: Column, n_words: Column) -> Column:
+    """The keys of a line: the number of a pair of blocks, the bits of both, and the length (held at LENGTH_MASK)."""
+    length = F.least(n_words, F.lit(LENGTH_MASK)).cast("long")
     keys = []
     for k, blocks in enumerate(KEYS):
         key = F.lit(k).cast("long")
         for block in blocks:
             low, width = BLOCKS[block]
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(sim, low).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
+        keys.append(F.shiftleft(key, LENGTH_BITS).bitwiseOR(length))
     return F.array(*keys)
 
 
-def near_in_buckets(key: np.ndarray, sim: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """For rows sorted by key, the first row that each is connected with by SimHashes of the same key."""
+def near_in_buckets(key: np.ndarray, sim: np.ndarray, least: float, most: int = MOST_BITS) -> np.ndarray:
+    """For rows sorted by key, the first row that each is connected with by near SimHashes of a like length in one bucket.
+
+    A row is compared with those after it until they are too long to be similar to it.
+    """
     sim = sim.view(np.uint64)  # bits are counted of the absolute value else
+    bucket, length = key >> LENGTH_BITS, key & LENGTH_MASK
     left, right = [], []
-    i = np.flatnonzero(key[1:] == key[:-1])
-    step = 1
+    i, step = np.arange(len(key) - 1), 1
     while len(i):
+        j = i + step
+        i = i[(bucket[i] == bucket[j]) & (length[i] >= least * length[j])]
         near = np.bitwise_count(sim[i] ^ sim[i + step]) <= most
         left.append(i[near])
         right.append(i[near] + step)
         step += 1
         i = i[i + step < len(key)]
-        i = i[key[i] == key[i + step]]
     return forest(len(key), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(key))
 
 
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, h, sim) sorted by key, as edges (a, b) of forests; the rows of a key with too many go out as they came."""
+def _buckets(least: float):
+    """Rows (key, h, sim) sorted by key, as edges (a, b) of forests; the rows of a bucket with too many go out as they came."""
     names = ["a", "b", "key", "h", "sim"]
-    held = [np.zeros(0, np.int64)] * 3
-    deferred: int | None = None  # the key whose rows go out
 
-    def out(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root = near_in_buckets(key, sim)
+    def edges(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root = near_in_buckets(key, sim, least)
         child = np.flatnonzero(root != np.arange(len(key)))
         if len(child):
             none = pa.nulls(len(child), pa.int64())
@@ -128,37 +135,45 @@ def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(key), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(h), pa.array(sim)], names=names)
 
-    for batch in batches:
-        rows = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
-        if deferred is not None:
-            stop = int(np.searchsorted(rows[0], deferred, side="right"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        deferred = -1  # the bucket whose rows go out
+        for batch in batches:
+            rows = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            bucket = rows[0] >> LENGTH_BITS
+            stop = int(np.searchsorted(bucket, deferred, side="right"))
             if stop:
                 yield defer(*(x[:stop] for x in rows))
-                rows = [x[stop:] for x in rows]
-        if not len(rows[0]):
-            held = rows
-            continue
-        edges = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, [len(rows[0])]])
-        for k in np.flatnonzero(np.diff(edges) > BUCKET).tolist():
-            yield defer(*(x[edges[k] : edges[k + 1]] for x in rows))
-            deferred = int(rows[0][edges[k]])
-        big = np.repeat(np.diff(edges) > BUCKET, np.diff(edges))
-        last = int(edges[-2])  # the last key may go on in the next batch
-        done = ~big & (np.arange(len(big)) < last)
-        yield from out(*(x[done] for x in rows))
-        rest = ~big & (np.arange(len(big)) >= last)
-        held = [x[rest] for x in rows]
-    yield from out(*held)
-
-
-def _tile_buckets(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    rows = rows.combine_chunks()
-    h, sim = rows.column("h").to_numpy(), rows.column("sim").to_numpy()
-    order = np.argsort(h, kind="stable")
-    h, sim = h[order], sim[order]
-    root = near_in_buckets(np.zeros(len(h), np.int64), sim)
-    child = np.flatnonzero(root != np.arange(len(h)))
-    yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[root[child]])], names=["a", "b"])
+                rows, bucket = [x[stop:] for x in rows], bucket[stop:]
+            if not len(bucket):
+                held = rows
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+            size = np.diff(starts)
+            big = np.repeat(size > BUCKET, size)
+            if big.any():
+                yield defer(*(x[big] for x in rows))
+                if big[-1]:
+                    deferred = int(bucket[-1])
+            last = np.arange(len(bucket)) >= starts[-2]  # the last bucket may go on in the next batch
+            yield from edges(*(x[~big & ~last] for x in rows))
+            held = [x[~big & last] for x in rows]
+        yield from edges(*held)
+
+    return run
+
+
+def _tile_buckets(least: float):
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        key, h, sim = (rows.column(c).to_numpy() for c in ("key", "h", "sim"))
+        order = np.lexsort((h, key))
+        key, h, sim = key[order], h[order], sim[order]
+        root = near_in_buckets(key, sim, least)
+        child = np.flatnonzero(root != np.arange(len(h)))
+        yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[root[child]])], names=["a", "b"])
+
+    return work
 
 
 def edit_distance(a: Sequence[int], b: Sequence[int]) -> int:
@@ -223,21 +238,62 @@ def _verify(least: float):
     return work
 
 
-def _wanted_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted lines of texts: doc_id, key, text, lines, h, sims and clusters come in."""
-    for batch in text_slices(batches):
-        hashes, at, text, number = line_runs(*utf8(batch.column(0)))
-        wanted = batch.column(1).to_pylist()
-        rows = []
-        first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        for k, lines in enumerate(wanted):
-            mine = number[first[k] : first[k + 1]]
-            for w in lines:
-                i = int(first[k] + np.searchsorted(mine, w["line"]))
-                rows.append((w["h"], w["sim"], w["cluster"], int(at[i + 1] - at[i]), hashes[at[i] : at[i + 1]].astype("<u8").tobytes()))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "sim", "cluster", "n", "words"])
+class Sieve:
+    """A Bloom filter of fixed size over line hashes: what it lets pass may be wanted, what it holds back is not."""
+
+    BITS = 27  # 16 MB, however many lines are wanted
+    TIMES = 4
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def columns(cls, h: Column) -> Column:
+        """The places of a hash: the bits of three shifts and of the hash itself."""
+        mask = F.lit((1 << cls.BITS) - 1)
+        return F.array(*[F.shiftrightunsigned(h, 12 * k).bitwiseAND(mask) for k in range(cls.TIMES)])
+
+    @classmethod
+    def of(cls, wanted: DataFrame) -> Sieve:
+        """From a table with column h. Bits are joined into words on Spark; the driver gets at most 2**(BITS - 6) words."""
+        bits = wanted.select(F.explode(cls.columns(F.col("h"))).alias("bit"))
+        word = F.shiftright("bit", 6).alias("word")
+        set_bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
+        words = np.zeros(1 << (cls.BITS - 6), np.int64)
+        rows = bits.groupBy(word).agg(set_bits).toPandas()
+        words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        return cls(words.view(np.uint64))
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        h, ok = h.view(np.uint64), np.ones(len(h), bool)
+        for k in range(self.TIMES):
+            bit = (h >> np.uint64(12 * k)) & np.uint64((1 << self.BITS) - 1)
+            ok &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return ok
+
+
+def _wanted_lines(sieve):
+    """h, sim, n and the word hashes of the lines that pass a broadcast sieve, each once a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in text_slices(batches):
+            hashes, at, _, _ = line_runs(*utf8(batch.column(0)))
+            h, first = np.unique(line_hashes(hashes, at).view(np.int64), return_index=True)
+            fresh = sieve.value.passes(h) & ~np.isin(h, seen)
+            h, first = h[fresh], first[fresh]
+            if not len(h):
+                continue
+            seen = np.union1d(seen, h)
+            size = at[first + 1] - at[first]
+            runs = np.concatenate([[0], np.cumsum(size)])
+            picked = hashes[np.arange(runs[-1]) + np.repeat(at[first] - runs[:-1], size)]
+            spelt = [picked[i:j].astype("<u8").tobytes() for i, j in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(simhash(picked, runs).view(np.int64)), pa.array(size), pa.array(spelt, pa.binary())], names=["h", "sim", "n", "words"]
+            )
+
+    return run
 
 
 def similar_lines(keyed: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
@@ -246,22 +302,21 @@ def similar_lines(keyed: DataFrame, distinct: DataFrame, least: float) -> DataFr
     keyed has doc_id, key and the lower-case text of each document; distinct has h, sim and the first
     occurrence of each line.
     """
-    keys = distinct.select(F.explode(pigeonhole(F.col("sim"))).alias("key"), "h", "sim")
-    found = stage(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "a long, b long, key long, h long, sim long"))
-    many = found.where("a is null").select("key", "h", "sim", F.lit(1).alias("one"))
-    tiled = grouped(tile_pairs(many, ["key"], "h", "one", TILE_ROWS, TILE_ROWS), ["key", "lo", "hi"], _tile_buckets, "a long, b long")
+    # a line of so few words has no similar one but itself: one other word is too much
+    fewest = math.ceil(1 / (1 - least) - 1e-9) if least < 1 else 1
+    long = distinct.where(F.col("n_words") >= fewest)
+    keys = long.select(F.explode(pigeonhole(F.col("sim"), F.col("n_words"))).alias("key"), "h", "sim")
+    dealt = keys.repartition(F.shiftright("key", LENGTH_BITS)).sortWithinPartitions("key")
+    found = stage(dealt.mapInArrow(_buckets(least), "a long, b long, key long, h long, sim long"))
+    many = found.where("a is null").select("key", "h", "sim", F.shiftright("key", LENGTH_BITS).alias("bucket"), F.lit(1).alias("one"))
+    tiled = grouped(tile_pairs(many, ["bucket"], "h", "one", TILE_ROWS, TILE_ROWS), ["bucket", "lo", "hi"], _tile_buckets(least), "a long, b long")
     clusters = connected_components(found.where("a is not null").select("a", "b").union(tiled))
 
-    wanted = (
-        distinct.join(clusters.withColumnsRenamed({"node": "h", "component": "cluster"}), "h")
-        .groupBy("first.doc_id", "first.key")
-        .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "sim", "cluster")).alias("lines"))
-        .withColumnsRenamed({"doc_id": "wanted_id", "key": "wanted_key"})
-    )
-    if wanted.select("wanted_key").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS // 10:
-        wanted = F.broadcast(wanted)
-    same = keyed["doc_id"].eqNullSafe(wanted["wanted_id"]) & (keyed["key"] == wanted["wanted_key"])
-    members = keyed.join(wanted, same).select("text", "lines").mapInArrow(_wanted_lines, "h long, sim long, cluster long, n long, words binary")
+    # equal lines have equal words, so any occurrence of a wanted line will do, and one a task is enough
+    clusters = stage(clusters.withColumnsRenamed({"node": "h", "component": "cluster"}))
+    sieve = keyed.sparkSession.sparkContext.broadcast(Sieve.of(clusters))
+    passing = keyed.select("text").mapInArrow(_wanted_lines(sieve), "h long, sim long, n long, words binary")
+    members = stage(passing.join(clusters, "h").dropDuplicates(["h"]))
     tiles = tile_pairs(members, ["cluster"], "h", "n", TILE_WORDS, TILE_ROWS)
     return connected_components(grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long"))
 
@@ -276,16 +331,16 @@ def dedup_lines(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     text are the same occurrence and keep the same lines. An empty table gives no row.
     """
     keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.lower("text").alias("text"))
-    lines = stage(keyed.mapInArrow(_lines, "doc_id long, key long, line int, h long, sim long"))
+    lines = stage(keyed.mapInArrow(_lines, "doc_id long, key long, line int, h long, sim long, n_words int"))
     distinct = stage(
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n"))
+        lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("sim").alias("sim"), F.first("n_words").alias("n_words"), F.count("*").alias("n"))
     )
     similar = stage(similar_lines(keyed, distinct, least)).withColumnRenamed("node", "h")
     grouped_lines = distinct.join(similar, "h").select("h", "component", "first")
     keep = grouped_lines.groupBy("component").agg(F.min("first").alias("keep"))
     fuzzy = grouped_lines.join(keep, "component").select("h", "keep")
     exact = distinct.where("n > 1").join(similar, "h", "left_anti").select("h", F.col("first").alias("keep"))
-    decided = fuzzy.union(exact).repartition("keep")
+    decided = fuzzy.union(exact).repartition("keep", "h")
     extra = (
         lines.join(decided, "h")
         .where(~F.struct("doc_id", "key", "line").eqNullSafe(F.col("keep")))
@@ -298,4 +353,5 @@ def dedup_lines(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     text = F.when(F.col("_extra").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     same = documents["doc_id"].eqNullSafe(F.col("_extra_id")) & (F.xxhash64(documents["text"]) == F.col("_extra_key"))
     columns = [text.alias(c) if c == "text" else F.col(c) for c in documents.columns]
-    return documents.join(extra, same, "left").select(*columns, F.coalesce(F.size("_extra"), F.lit(0)).alias("n_lines_removed"))
+    # the texts are many and long, the lists short: those are hashed, and no text is sorted
+    return documents.join(extra.hint("shuffle_hash"), same, "left").select(*columns, F.coalesce(F.size("_extra"), F.lit(0)).alias("n_lines_removed"))
