@@ -199,7 +199,7 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     classes = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     classes = stage(classes)
     members = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head").repartition("head")
+    buckets = members.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head").repartition("head", "band")
     clusters = connected_components(members.join(buckets, "band").where("rep != head"), "rep", "head")
 
     texts = (
