@@ -149,7 +149,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, nearest: int = N
         vectors.join(links, "rep", "left")
         .join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        .repartition("component_id")
+        .repartition("component_id", "vector")
     )
     rows = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.withColumn("vector", F.when(F.col("vec_id").isNotNull(), F.col("vector")))
