@@ -61,15 +61,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Whole rows in slices of about CHUNK_BYTES of text, so that what a worker holds stays bounded."""
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Whole rows in slices of about chunk_bytes of text, so that what a worker holds stays bounded."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, at = utf8(batch.column(batch.schema.get_field_index(text)))
         begin = 0
         while begin < batch.num_rows:
-            end = int(np.searchsorted(at, at[begin] + CHUNK_BYTES, side="right")) - 1
+            end = int(np.searchsorted(at, at[begin] + chunk_bytes, side="right")) - 1
             end = min(max(end, begin + 1), begin + CHUNK_ROWS, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -18,10 +20,16 @@ from .common import text_slices
 CAPACITY = 4096
 END_OF_TEXT = 2
 #: Pieces that are differenced together, and the longest piece among them (longer ones are cut evenly).
-SHARD = 1536
+SHARD = 1024
 LONGEST = 1024
 #: Distinct words that a Python worker keeps the tokens of.
 CACHE_WORDS = 1_000_000
+#: Bytes of text whose pieces are numbered together.
+CHUNK_BYTES = 1 << 23
+#: Words that are tokenized as one text.
+JOINED = 5000
+#: A word of Latin-1 letters, perhaps with a full stop or comma: tokens of their own.
+_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)").fullmatch
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -82,7 +90,7 @@ def cuts(tokens: int, capacity: int = CAPACITY, longest: int = LONGEST) -> list[
     return out
 
 
-class WordTokens(dict):
+class WordTokens:
     """Token ids of texts (little-endian 32-bit, as bytes), from the tokens of their distinct words.
 
     The tokenizer drops white space and never joins what it parts, so a text has the tokens of its
@@ -93,35 +101,73 @@ class WordTokens(dict):
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
+        # a plain dict: a set's difference with any other kind would go through all that is known
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        # words that are lower-case letters already need neither the normaliser nor the pattern that parts them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, pieces: list[str]) -> None:
-        parts = {}
+        spelt = {}
+        stems, others = set(), [m for m in (".", ",") if m not in self.known]
         for piece in pieces:
-            if piece and "<" not in piece and max(piece) <= "\xff":
-                low = piece.lower()
-                mark = low[-1] if low[-1] in ".," and low[:-1].isalpha() else ""
-                parts[piece] = (low[:-1], mark) if mark else (low, "")
+            found = _WORD(piece)
+            if found:
+                stem, mark = found.groups()
+                stem = stem.lower()
+                stems.add(stem)
+                spelt[piece] = stem, mark
             else:
-                parts[piece] = (piece, "")
-        wanted = [w for w in {w for pair in parts.values() for w in pair} if w not in self]
-        coded = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
-        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(wanted, coded, strict=True))
-        self.update((piece, self[stem] + self[mark]) for piece, (stem, mark) in parts.items())
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids, followed by the end id."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        fresh = set().union(*split).difference(self)
+                others.append(piece)
+        letters = list(stems.difference(self.known))
+        for at in range(0, len(letters), JOINED):
+            self.learn_words(letters[at : at + JOINED])
+        coded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(others, coded, strict=True))
+        self.known.update((piece, self.known[stem] + self.known[mark] if mark else self.known[stem]) for piece, (stem, mark) in spelt.items())
+
+    def learn_words(self, letters: list[str]) -> None:
+        """Tokens of words of letters alone, from one text of them all: each ends with the only token that ends a word."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        self.known.update(zip(letters, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and where each text begins (with an end).
+
+        The pieces of all texts are numbered by Arrow, so that Python sees each distinct one once.
+        """
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        texts = pc.replace_substring(texts.fill_null(""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # as the tokenizer does, but to special tokens
+            texts = pc.ascii_lower(texts)
+        pieces = pc.split_pattern(texts, " ")
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy())
+        coded = pieces.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = set(names).difference(self.known)
         if fresh:
             self.learn(list(fresh))
-        for pieces in split:
-            yield b"".join(map(self.__getitem__, pieces)) + END_OF_TEXT.to_bytes(4, "little")
+        spelt = [*map(self.known.__getitem__, names), END_OF_TEXT.to_bytes(4, "little")]
+        sizes = np.fromiter(map(len, spelt), np.int32, len(spelt)) // 4
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32)
+        pool = np.frombuffer(b"".join(spelt), "<u4")
+        word = np.insert(coded.indices.to_numpy(), ends, len(names))
+        size = sizes[word]
+        at = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat((begins[word] - at[:-1]).astype(np.int32), size)
+        place += np.arange(at[-1], dtype=np.int32)
+        return pool[place], at[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
 
 
 _tokenizers: dict[str, WordTokens] = {}
@@ -153,11 +199,12 @@ def _packer(path: str):
             open_pieces.clear()
             return packed
 
-        for batch in text_slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist()), strict=True):
-                tokens = len(ids) // 4
+        for batch in text_slices(batches, chunk_bytes=CHUNK_BYTES):
+            ids, at = words.ids(batch.column(1))
+            for k, (doc_id, tokens) in enumerate(zip(batch.column(0).to_pylist(), np.diff(at).tolist(), strict=True)):
                 for start, length in cuts(tokens):
-                    piece = (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), tokens)
+                    first = at[k] + start
+                    piece = (doc_id, start, length, zlib.crc32(ids[first : first + length]), tokens)
                     if length == CAPACITY:
                         rows.append((*piece, sequence, 0))
                         sequence += 1
