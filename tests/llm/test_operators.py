@@ -108,6 +108,23 @@ def test_lines_against_brute_force(spark):
     assert kept[4] == [None] and kept[5] == [""] and kept[6] == ["ok\nok\nok"] and kept[7] == ["", ""]
 
 
+def test_similar_lines_are_found_down_to_the_bound(spark):
+    rng = random.Random(21)
+    pairs = []
+    for k in range(240):
+        n = (5, 10, 20, 35, 60, 120)[k % 6]
+        line = [rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n)]
+        other = list(line)
+        for i in rng.sample(range(n), n // 5):
+            other[i] = f"new{k}x{i}"
+        assert line_dedup.edit_similarity(line, other) >= 0.8
+        pairs.append((" ".join(line), " ".join(other)))
+    docs = [(2 * k + i, line) for k, pair in enumerate(pairs) for i, line in enumerate(pair)]
+    removed = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).where("n_lines_removed = 1").collect()}
+    # every pair is at the bound itself, where 0.97 are to be found
+    assert removed <= set(range(1, 480, 2)) and len(removed) >= 0.94 * len(pairs)
+
+
 def test_buckets_of_any_size_meet_the_same(monkeypatch):
     rng = np.random.default_rng(4)
     key = np.sort(rng.integers(0, 12, 600)) << line_dedup.LENGTH_BITS | 20

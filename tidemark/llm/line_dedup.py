@@ -1,32 +1,35 @@
-"""Fuzzy line deduplication by SimHash, pigeonhole blocks and word edit similarity."""
+"""Fuzzy line deduplication by MinHash bands, SimHash and word edit similarity."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located_words, mix64, stage, text_slices, utf8
+from .common import located_words, mix64, owners, stage, text_slices, utf8
 from .components import connected_components
 from .tiles import Linker, forest, grouped, tile_pairs
 
 #: Lines of fewer words are left alone.
 LEAST_WORDS = 3
 SIMILARITY = 0.8
-#: Most bits in which two SimHashes may differ. Of five blocks at least two are then equal: ten keys a line.
-MOST_BITS = 3
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
-KEYS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - MOST_BITS))
+#: Lines at SIMILARITY share two thirds of their words at least. One of BANDS bands of ROWS minima is then equal with
+#: probability 1 - (1 - (2/3)**ROWS)**BANDS = 0.97, and more above.
+BANDS, ROWS = 16, 4
+#: Most bits in which two SimHashes may differ, and most minima that may differ in two of their bits. At SIMILARITY 13 and
+#: 16 are to be expected; three deviations more are let pass, so that the edits decide.
+MOST_BITS, MOST_MINS = 22, 26
 #: Lines of one key that are compared in one go; a key with more is cut into tiles.
 BUCKET = 2048
 TILE_ROWS, TILE_WORDS = 700, 500_000
 
 _LANES = np.array([sum(((byte >> bit) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], np.uint64)
+_TIMES = (mix64(np.arange(1, BANDS * ROWS + 1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_PLUS = (mix64(np.arange(1001, BANDS * ROWS + 1001)) >> np.uint64(32)).astype(np.uint32)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -48,6 +51,31 @@ def simhash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def signatures(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of word hashes its bands, 32 bits each, and two bits of every minimum. No run is empty.
+
+    A word that a run repeats counts as another word each time, so that repeated words don't hide edits.
+    """
+    if len(at) < 2:
+        return np.zeros((0, BANDS), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    own = mix64(hashes + mix64(owners(at) + 1))
+    order = np.argsort(own)
+    first = np.flatnonzero(np.concatenate([[True], own[order[1:]] != own[order[:-1]]]))
+    again = np.empty(len(own), np.uint64)
+    again[order] = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    x = (mix64(hashes + again * _B) >> np.uint64(32)).astype(np.uint32)
+    bands, (mins, more) = np.zeros((len(at) - 1, BANDS), np.uint32), np.zeros((2, len(at) - 1), np.uint64)
+    for band in range(BANDS):
+        joined = np.zeros(len(at) - 1, np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            least = mix64(np.minimum.reduceat(x * _TIMES[k] + _PLUS[k], at[:-1]))
+            joined = mix64(joined * _A + least)
+            mins |= (least & np.uint64(1)) << np.uint64(k)
+            more |= ((least >> np.uint64(1)) & np.uint64(1)) << np.uint64(k)
+        bands[:, band] = joined >> np.uint64(32)
+    return bands, mins, more
+
+
 def line_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lines of at least LEAST_WORDS: all their word hashes, where each line's begin (with an end), the
     index of its text and its number there (from 0, as split at every line end)."""
@@ -75,10 +103,13 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, at, text, number = line_runs(*utf8(batch.column(2)))
         if len(text):
             take = pa.array(text)
+            bands, mins, more = signatures(hashes, at)
+            spelt = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(text), [None, pa.py_buffer(bands.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)),
-                 pa.array(line_hashes(hashes, at).view(np.int64)), pa.array(simhash(hashes, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32))],
-                names=["doc_id", "key", "line", "h", "sim", "n_words"],
+                 pa.array(line_hashes(hashes, at).view(np.int64)), pa.array(simhash(hashes, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32)),
+                 pa.array(mins.view(np.int64)), pa.array(more.view(np.int64)), spelt.cast(pa.binary())],
+                names=["doc_id", "key", "line", "h", "sim", "n_words", "mins", "more", "bands"],
             )
 
 
@@ -87,21 +118,25 @@ LENGTH_BITS = 24
 LENGTH_MASK = (1 << LENGTH_BITS) - 1
 
 
-def pigeonhole(sim: Column, n_words: Column) -> Column:
-    """The keys of a line: the number of a pair of blocks, the bits of both, and the length (held at LENGTH_MASK)."""
-    length = F.least(n_words, F.lit(LENGTH_MASK)).cast("long")
-    keys = []
-    for k, blocks in enumerate(KEYS):
-        key = F.lit(k).cast("long")
-        for block in blocks:
-            low, width = BLOCKS[block]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(sim, low).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(F.shiftleft(key, LENGTH_BITS).bitwiseOR(length))
-    return F.array(*keys)
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, sim, mins, more, n_words, bands) under each of their keys: the number of a band, its bits, and the length (held at LENGTH_MASK)."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        h, sim, mins, more, size = (batch.column(k).to_numpy() for k in range(5))
+        bands = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(-1, BANDS).astype(np.int64)
+        key = (np.arange(BANDS) << (32 + LENGTH_BITS)) | (bands << LENGTH_BITS) | np.minimum(size, LENGTH_MASK).astype(np.int64)[:, None]
+        columns = [key.ravel(), *(np.repeat(x, BANDS) for x in (h, sim, mins, more))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "h", "sim", "mins", "more"])
+
 
+def _differ(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> np.ndarray:
+    """The places where the minima differ, a bit each."""
+    return (a[0] ^ b[0] | a[1] ^ b[1]).view(np.uint64)
 
-def near_in_buckets(key: np.ndarray, sim: np.ndarray, least: float, most: int = MOST_BITS) -> np.ndarray:
-    """For rows sorted by key, the first row that each is connected with by near SimHashes of a like length in one bucket.
+
+def near_in_buckets(key: np.ndarray, sim: np.ndarray, least: float, most: int = MOST_BITS, minima: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """For rows sorted by key, the first row that each is connected with by near SimHashes (and minima) of a like length in one bucket.
 
     A row is compared with those after it until they are too long to be similar to it.
     """
@@ -113,6 +148,8 @@ def near_in_buckets(key: np.ndarray, sim: np.ndarray, least: float, most: int =
         j = i + step
         i = i[(bucket[i] == bucket[j]) & (length[i] >= least * length[j])]
         near = np.bitwise_count(sim[i] ^ sim[i + step]) <= most
+        if minima:
+            near &= np.bitwise_count(_differ([x[i] for x in minima], [x[i + step] for x in minima])) <= MOST_MINS
         left.append(i[near])
         right.append(i[near] + step)
         step += 1
@@ -120,25 +157,39 @@ def near_in_buckets(key: np.ndarray, sim: np.ndarray, least: float, most: int =
     return forest(len(key), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(key))
 
 
+def _clusters(key: np.ndarray, h: np.ndarray, least: float, *sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key, the lines with a near one in their bucket and the cluster there.
+
+    A cluster is named by its lines, so one that several bands find is one.
+    """
+    root = near_in_buckets(key, sketches[0], least, MOST_BITS, sketches[1:])
+    size = np.bincount(root, minlength=len(root))
+    names = np.zeros(len(root), np.uint64)
+    np.add.at(names, root, mix64(h.view(np.uint64) + _A))
+    many = size[root] > 1
+    return h[many], mix64(names)[root[many]].view(np.int64)
+
+
 def _buckets(least: float):
-    """Rows (key, h, sim) sorted by key, as edges (a, b) of forests; the rows of a bucket with too many go out as they came."""
-    names = ["a", "b", "key", "h", "sim"]
+    """Rows (key, h, sim, mins, more) sorted by key, as rows (a, b) of lines and their clusters; the rows of a bucket with too many go out as they came."""
+    names = ["a", "b", "key", "h", "sim", "mins", "more"]
 
-    def edges(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root = near_in_buckets(key, sim, least)
-        child = np.flatnonzero(root != np.arange(len(key)))
-        if len(child):
-            none = pa.nulls(len(child), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[root[child]]), none, none, none], names=names)
+    def edges(key: np.ndarray, h: np.ndarray, *sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = _clusters(key, h, least, *sketches)
+        if len(a):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 5], names=names)
 
-    def defer(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(h), pa.array(sim)], names=names)
+    def defer(*rows: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rows[0]), pa.int64())
+        out = [none, none, *(pa.array(x) for x in rows)]
+        return pa.RecordBatch.from_arrays(out, names=names[: len(out)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held: list[np.ndarray] = []
         deferred = -1  # the bucket whose rows go out
         for batch in batches:
+            held = held or [np.zeros(0, np.int64)] * batch.num_columns
             rows = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
             bucket = rows[0] >> LENGTH_BITS
             stop = int(np.searchsorted(bucket, deferred, side="right"))
@@ -158,7 +209,8 @@ def _buckets(least: float):
             last = np.arange(len(bucket)) >= starts[-2]  # the last bucket may go on in the next batch
             yield from edges(*(x[~big & ~last] for x in rows))
             held = [x[~big & last] for x in rows]
-        yield from edges(*held)
+        if held:
+            yield from edges(*held)
 
     return run
 
@@ -166,12 +218,10 @@ def _buckets(least: float):
 def _tile_buckets(least: float):
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        key, h, sim = (rows.column(c).to_numpy() for c in ("key", "h", "sim"))
+        key, h, *sketches = (rows.column(c).to_numpy() for c in ("key", "h", "sim", "mins", "more"))
         order = np.lexsort((h, key))
-        key, h, sim = key[order], h[order], sim[order]
-        root = near_in_buckets(key, sim, least)
-        child = np.flatnonzero(root != np.arange(len(h)))
-        yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[root[child]])], names=["a", "b"])
+        a, b = _clusters(key[order], h[order], least, *(x[order] for x in sketches))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return work
 
@@ -210,7 +260,7 @@ def _verify(least: float):
         rows = rows.combine_chunks()
         column = lambda name: rows.column(name).to_numpy()
         order = np.lexsort((column("h"), column("tile")))
-        h, sim, tile, n = (column(c)[order] for c in ("h", "sim", "tile", "n"))
+        h, sim, mins, more, tile, n = (column(c)[order] for c in ("h", "sim", "mins", "more", "tile", "n"))
         sim = sim.view(np.uint64)
         lo, hi = int(column("lo")[0]), int(column("hi")[0])
         spelt = rows.column("words").take(pa.array(order))
@@ -222,6 +272,7 @@ def _verify(least: float):
             others = second[second > i] if lo == hi else second
             bits = np.bitwise_count(sim[others] ^ sim[i])
             others = others[np.argsort(bits, kind="stable")][: int((bits <= MOST_BITS).sum())]
+            others = others[np.bitwise_count(_differ((mins[others], more[others]), (mins[i], more[i]))) <= MOST_MINS]
             others = others[np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i])]
             mine = None
             for j in others.tolist():
@@ -260,8 +311,8 @@ class Sieve:
         word = F.shiftright("bit", 6).alias("word")
         set_bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
         words = np.zeros(1 << (cls.BITS - 6), np.int64)
-        rows = bits.groupBy(word).agg(set_bits).toPandas()
-        words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        rows = bits.groupBy(word).agg(set_bits.alias("bits")).toArrow()
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
         return cls(words.view(np.uint64))
 
     def passes(self, h: np.ndarray) -> np.ndarray:
@@ -273,7 +324,7 @@ class Sieve:
 
 
 def _wanted_lines(sieve):
-    """h, sim, n and the word hashes of the lines that pass a broadcast sieve, each once a task."""
+    """h, sketches, n and the word hashes of the lines that pass a broadcast sieve, each once a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -289,9 +340,9 @@ def _wanted_lines(sieve):
             runs = np.concatenate([[0], np.cumsum(size)])
             picked = hashes[np.arange(runs[-1]) + np.repeat(at[first] - runs[:-1], size)]
             spelt = [picked[i:j].astype("<u8").tobytes() for i, j in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(simhash(picked, runs).view(np.int64)), pa.array(size), pa.array(spelt, pa.binary())], names=["h", "sim", "n", "words"]
-            )
+            sketches = simhash(picked, runs), *signatures(picked, runs)[1:]
+            columns = [pa.array(h), *(pa.array(x.view(np.int64)) for x in sketches), pa.array(size), pa.array(spelt, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "sim", "mins", "more", "n", "words"])
 
     return run
 
@@ -299,24 +350,25 @@ def _wanted_lines(sieve):
 def similar_lines(keyed: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
     """Rows (node, component) for the distinct lines that a similar line exists for.
 
-    keyed has doc_id, key and the lower-case text of each document; distinct has h, sim and the first
-    occurrence of each line.
+    keyed has doc_id, key and the lower-case text of each document; distinct has h, sim, mins, more, bands and the first
+    occurrence of each line. Candidates are not followed from one bucket into the next before their words are
+    compared, so clusters of chance don't grow together.
     """
     # a line of so few words has no similar one but itself: one other word is too much
     fewest = math.ceil(1 / (1 - least) - 1e-9) if least < 1 else 1
     long = distinct.where(F.col("n_words") >= fewest)
-    keys = long.select(F.explode(pigeonhole(F.col("sim"), F.col("n_words"))).alias("key"), "h", "sim")
+    keys = long.select("h", "sim", "mins", "more", "n_words", "bands").mapInArrow(_keyed, "key long, h long, sim long, mins long, more long")
     dealt = keys.repartition(F.shiftright("key", LENGTH_BITS)).sortWithinPartitions("key")
-    found = stage(dealt.mapInArrow(_buckets(least), "a long, b long, key long, h long, sim long"))
-    many = found.where("a is null").select("key", "h", "sim", F.shiftright("key", LENGTH_BITS).alias("bucket"), F.lit(1).alias("one"))
+    found = stage(dealt.mapInArrow(_buckets(least), "a long, b long, key long, h long, sim long, mins long, more long"))
+    many = found.where("a is null").select("key", "h", "sim", "mins", "more", F.shiftright("key", LENGTH_BITS).alias("bucket"), F.lit(1).alias("one"))
     tiled = grouped(tile_pairs(many, ["bucket"], "h", "one", TILE_ROWS, TILE_ROWS), ["bucket", "lo", "hi"], _tile_buckets(least), "a long, b long")
-    clusters = connected_components(found.where("a is not null").select("a", "b").union(tiled))
+    clusters = found.where("a is not null").select("a", "b").union(tiled).distinct()
 
     # equal lines have equal words, so any occurrence of a wanted line will do, and one a task is enough
-    clusters = stage(clusters.withColumnsRenamed({"node": "h", "component": "cluster"}))
-    sieve = keyed.sparkSession.sparkContext.broadcast(Sieve.of(clusters))
-    passing = keyed.select("text").mapInArrow(_wanted_lines(sieve), "h long, sim long, n long, words binary")
-    members = stage(passing.join(clusters, "h").dropDuplicates(["h"]))
+    clusters = stage(clusters.withColumnsRenamed({"a": "h", "b": "cluster"}))
+    sieve = keyed.sparkSession.sparkContext.broadcast(Sieve.of(clusters.select("h").distinct()))
+    passing = keyed.select("text").mapInArrow(_wanted_lines(sieve), "h long, sim long, mins long, more long, n long, words binary")
+    members = stage(passing.dropDuplicates(["h"]).join(clusters, "h"))
     tiles = tile_pairs(members, ["cluster"], "h", "n", TILE_WORDS, TILE_ROWS)
     return connected_components(grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long"))
 
@@ -325,15 +377,15 @@ def dedup_lines(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """All rows and columns of the table, text without the lines that occur before, and n_lines_removed.
 
     Lines of equal words (whatever their case, spaces and marks) are one line. Two lines are similar if their
-    SimHashes differ in MOST_BITS at most and their word edit similarity is `least` or more; lines connected by
+    word edit similarity is `least` or more, and are found with the probability at BANDS; lines connected by
     similarity are a group, of which the occurrence with the smallest (doc_id, text hash, line) stays. Lines
     of fewer than LEAST_WORDS words stay. A null text stays null. Rows with equal doc_id and
     text are the same occurrence and keep the same lines. An empty table gives no row.
     """
     keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.lower("text").alias("text"))
-    lines = stage(keyed.mapInArrow(_lines, "doc_id long, key long, line int, h long, sim long, n_words int"))
+    lines = stage(keyed.mapInArrow(_lines, "doc_id long, key long, line int, h long, sim long, n_words int, mins long, more long, bands binary"))
     distinct = stage(
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("sim").alias("sim"), F.first("n_words").alias("n_words"), F.count("*").alias("n"))
+        lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("sim").alias("sim"), F.first("n_words").alias("n_words"), F.first("mins").alias("mins"), F.first("more").alias("more"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     )
     similar = stage(similar_lines(keyed, distinct, least)).withColumnRenamed("node", "h")
     grouped_lines = distinct.join(similar, "h").select("h", "component", "first")
