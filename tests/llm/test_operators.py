@@ -239,6 +239,16 @@ def test_secret_base_and_links(spark):
     assert got[7].spans == "identifier:0:23,secret:29:49,endpoint:50:71" and got[8].n_linked == 0 and got[9].n_linked == 0
 
 
+def test_secret_parts_of_any_length_are_whole():
+    run = "Zx81kQpL0vT5nW3sYb72"
+    for n in (16, 128, 129, 500, 4000):
+        text = f"client_id = svc-billing\nkey: {(run * 200)[:n]}\nend"
+        assert (29, 29 + n, 4) in secret_scan.linked(text, []), n
+    name, host, path = "svc-" + "b" * 100, "db." + "h" * 150, "p" * 300
+    text = f"client_id = {name}\nkey: {run}\nhost={host}\nhttps://x.internal/{path} end"
+    assert sorted(text[s:e] for s, e, _ in secret_scan.linked(text, [])) == sorted([f"client_id = {name}", run, f"host={host}", f"https://x.internal/{path}"])
+
+
 # 6 vectors
 
 

@@ -24,10 +24,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 BASE_KINDS = ("assign", "access", "hex")
 
-#: Parts that say little alone. An identifier or an endpoint is named or typed; a secret is only dense.
-IDENTIFIER = re.compile(r"""\b(?:client|access|account|user|app|tenant|key)[_-]?(?:id|name|key)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@-]{3,64})""", re.I | re.A)
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,200}|\b(?:host|endpoint|server|bucket)(?:name)?["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.:/_-]{3,100}""", re.I | re.A)
-DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+#: Parts that say little alone. An identifier or an endpoint is named or typed; a secret is only dense. Runs of any length are
+#: taken whole.
+IDENTIFIER = re.compile(r"""\b(?:client|access|account|user|app|tenant|key)[_-]?(?:id|name|key)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@-]{3,}+)""", re.I | re.A)
+ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}+|\b(?:host|endpoint|server|bucket)(?:name)?["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.:/_-]{3,}+""", re.I | re.A)
+DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?![A-Za-z0-9+/_=-])")
 #: Bits a character that a dense run carries at least, and how far the scope of a part reaches.
 LEAST_ENTROPY = 3.5
 SCOPE = 240
