@@ -8,11 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step in a Python worker takes together; a longer text is a step of its own.
-CHUNK_BYTES = 1 << 21
-CHUNK_ROWS = 2048
+CHUNK_BYTES = 1 << 19
+#: Most rows of a step, so that short texts don't fill dense blocks of a row each to the brim.
+CHUNK_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +43,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder for the tables of one run, to be given to clear() when its result is written."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Cut the lineage by a written table in the same shared folder: smaller than a checkpoint of many rows."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, folder: str) -> None:
+    """Delete the tables of a run; nothing that is still to be read may come from them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def once(array: Column) -> Column:
+    """The same value, which the optimiser takes to be computed where it stands.
+
+    A filter on the size of an array that is exploded is moved below otherwise, with a copy of all that the array is made of.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, array)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and where each begins (one more offset at the end).
 
@@ -105,20 +126,45 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def located_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _beyond_ascii(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Takes marks beyond ASCII out of `inside`; gives where the characters begin that are words of their own.
+
+    Marks are those of Latin-1, general and ideographic punctuation and the full-width ones. Ideographs, kana, Thai and
+    Lao letters, whose scripts leave no spaces, are a word each.
+    """
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE0))
+    if not len(lead):
+        return lead
+    padded = np.append(data, np.zeros(2, np.uint8))
+    one, two, three = data[lead], padded[lead + 1], padded[lead + 2]
+    latin = lead[(one == 0xC2) & ~np.isin(two, (0xAA, 0xB5, 0xBA))]
+    wide = (one == 0xE2) & (two <= 0x81) | (one == 0xE3) & (two == 0x80)
+    wide |= (one == 0xEF) & ((two == 0xBC) & ((three <= 0x8F) | (three >= 0x9A) & (three <= 0xA0)) | (two == 0xBD) & (three >= 0x9B) & (three <= 0xA5))
+    for at, length in ((latin, 2), (lead[wide], 3)):
+        for k in range(length):
+            inside[np.minimum(at + k, len(data) - 1)] = False
+    return lead[~wide & ((one >= 0xE3) & (one <= 0xE9) | (one == 0xE0) & (two >= 0xB8) & (two <= 0xBB))]
+
+
+def located_words(data: np.ndarray, at: np.ndarray, unspaced: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word in order, and where each begins.
 
-    Words are runs of WORD_BYTE; the texts are to be in one case already. A polynomial prefix hash gives
-    all words at once, with no loop over words.
+    Words are runs of WORD_BYTE but for _beyond_ascii() (whose characters are words of their own if `unspaced`);
+    the texts are to be in one case already. A polynomial prefix hash gives all words at once, with no loop over words.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     inside = WORD_BYTE[data]
+    alone = _beyond_ascii(data, inside)[: None if unspaced else 0]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
+    for cut in (alone, alone + 3):  # a word begins at either, and one before it ends
+        cut = cut[(cut > 0) & (cut < n)]
+        first[cut] = inside[cut]
+        last[cut - 1] = inside[cut - 1]
     edge = at[(at > 0) & (at < n)]
     first[edge] = inside[edge]
     last[edge - 1] = inside[edge - 1]
@@ -130,9 +176,9 @@ def located_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes, start
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, unspaced: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word in order, and the index of the first word of each text (with an end)."""
-    hashes, start = located_words(data, at)
+    hashes, start = located_words(data, at, unspaced)
     return hashes, np.searchsorted(start, at)
 
 
@@ -155,7 +201,14 @@ def trigram_counts(data: np.ndarray, at: np.ndarray, dims: int) -> np.ndarray:
     wide = data.astype(np.uint32)
     code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
     place = (code * np.uint32(2654435761)) >> np.uint32(32 - int(np.log2(dims)))
-    owner = owners(at)
+    owner = owners(at).astype(np.int32)
     same = (owner[:-2] == owner[2:]) & ~((data[:-2] == 32) & (data[1:-1] == 32))
-    cells = owner[:-2][same] * dims + place[same]
-    return np.bincount(cells, minlength=rows * dims).reshape(rows, dims).astype(np.float32)
+    row = owner[:-2][same]
+    cells = row * np.int64(dims) + place[same]
+    out = np.empty((rows, dims), np.float32)
+    # cells come in the order of rows, so a few rows at a time keep the whole numbers small
+    for a in range(0, rows, 64):
+        b = min(a + 64, rows)
+        low, high = np.searchsorted(row, (a, b))
+        out[a:b] = np.bincount(cells[low:high] - a * dims, minlength=(b - a) * dims).reshape(b - a, dims)
+    return out
