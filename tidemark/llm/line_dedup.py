@@ -1,31 +1,35 @@
-"""Fuzzy line deduplication by MinHash bands, SimHash and word edit similarity."""
+"""Fuzzy line deduplication by sketch blocks of neighbouring words, SimHash and word edit similarity."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import located_words, mix64, owners, stage, text_slices, utf8
+from .common import clear, located_words, mix64, new_folder, stage, text_slices, utf8
 from .components import connected_components
 from .tiles import Linker, forest, grouped, tile_pairs
 
-#: Lines of fewer words are left alone.
-LEAST_WORDS = 3
 SIMILARITY = 0.8
-#: Lines at SIMILARITY share two thirds of their words at least. One of BANDS bands of ROWS minima is then equal with
-#: probability 1 - (1 - (2/3)**ROWS)**BANDS = 0.97, and more above.
-BANDS, ROWS = 16, 4
-#: Most bits in which two SimHashes may differ, and most minima that may differ in two of their bits. At SIMILARITY 13 and
-#: 16 are to be expected; three deviations more are let pass, so that the edits decide.
-MOST_BITS, MOST_MINS = 22, 26
-#: Lines of one key that are compared in one go; a key with more is cut into tiles.
+#: Two lines of n words at SIMILARITY differ by n / 5 edits, each of which touches two of the n + 1 pairs of neighbouring words (line
+#: ends are neighbours too): they share 0.43 of all their pairs at least. One of BANDS bands of ROWS minima is then equal
+#: with probability 1 - (1 - 0.43**ROWS)**BANDS = 0.91, and more above and where edits stand together.
+BANDS, ROWS = 12, 2
+#: Bits of a band's hash in a key, below the number of the band.
+BAND_BITS = 42
+#: Most bits in which the SimHashes of two lines may differ. At SIMILARITY 13 are to be expected; three deviations more are let
+#: pass, so that the edits decide.
+MOST_BITS = 22
+#: Lines of one key that are named together; the rows of a larger bucket go on under its key, to be cut into tiles.
 BUCKET = 2048
 TILE_ROWS, TILE_WORDS = 700, 500_000
+#: Distinct lines that a task remembers, so that each comes to a bucket about once a task.
+REMEMBERED = 1_000_000
 
 _LANES = np.array([sum(((byte >> bit) & 1) << (8 * bit) for bit in range(8)) for byte in range(256)], np.uint64)
 _TIMES = (mix64(np.arange(1, BANDS * ROWS + 1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -33,6 +37,11 @@ _PLUS = (mix64(np.arange(1001, BANDS * ROWS + 1001)) >> np.uint64(32)).astype(np
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
+def fewest_words(least: float) -> int:
+    """A line of fewer words has no similar one but itself: one other word is too much."""
+    return math.ceil(1 / (1 - least) - 1e-9) if least < 1 else 1
+
+
 def simhash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 64-bit SimHash of each run of word hashes, every word weighing one. No run is empty."""
     size = np.diff(at)
@@ -51,43 +60,42 @@ def simhash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def signatures(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of word hashes its bands, 32 bits each, and two bits of every minimum. No run is empty.
+def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of each run of word hashes: a row of BANDS, each of minima over its pairs of neighbours. No run is empty.
 
-    A word that a run repeats counts as another word each time, so that repeated words don't hide edits.
+    A pair that a run repeats counts as another one each time, so that repeated words don't hide edits.
     """
     if len(at) < 2:
-        return np.zeros((0, BANDS), np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    own = mix64(hashes + mix64(owners(at) + 1))
+        return np.zeros((0, BANDS), np.int64)
+    left, right = np.insert(hashes, at[:-1], np.uint64(1)), np.insert(hashes, at[1:], np.uint64(2))
+    pairs, begin = mix64(left * _A + right * _B), at[:-1] + np.arange(len(at) - 1)
+    own = mix64(pairs + mix64(np.repeat(np.arange(len(at) - 1), np.diff(at) + 1) + 1))
     order = np.argsort(own)
     first = np.flatnonzero(np.concatenate([[True], own[order[1:]] != own[order[:-1]]]))
     again = np.empty(len(own), np.uint64)
     again[order] = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
-    x = (mix64(hashes + again * _B) >> np.uint64(32)).astype(np.uint32)
-    bands, (mins, more) = np.zeros((len(at) - 1, BANDS), np.uint32), np.zeros((2, len(at) - 1), np.uint64)
+    x = (mix64(pairs + again * _B) >> np.uint64(32)).astype(np.uint32)
+    keys = np.empty((len(at) - 1, BANDS), np.int64)
     for band in range(BANDS):
         joined = np.zeros(len(at) - 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            least = mix64(np.minimum.reduceat(x * _TIMES[k] + _PLUS[k], at[:-1]))
-            joined = mix64(joined * _A + least)
-            mins |= (least & np.uint64(1)) << np.uint64(k)
-            more |= ((least >> np.uint64(1)) & np.uint64(1)) << np.uint64(k)
-        bands[:, band] = joined >> np.uint64(32)
-    return bands, mins, more
+            joined = mix64(joined * _A + mix64(np.minimum.reduceat(x * _TIMES[k] + _PLUS[k], begin)))
+        keys[:, band] = (joined >> np.uint64(64 - BAND_BITS)).astype(np.int64) | (band << BAND_BITS)
+    return keys
 
 
 def line_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of at least LEAST_WORDS: all their word hashes, where each line's begin (with an end), the
-    index of its text and its number there (from 0, as split at every line end)."""
+    """The lines that have a word: all their word hashes, where each line's begin (with an end), the index of
+    its text and its number there (from 0, as split at every line end)."""
     hashes, start = located_words(data, at)
     breaks = np.flatnonzero(data == 10) + 1
     begin = np.sort(np.concatenate([at[:-1], breaks]))
     first = np.arange(len(at) - 1) + np.searchsorted(breaks, at[:-1], side="right")
     line = np.searchsorted(begin, start, side="right") - 1
     count = np.bincount(line, minlength=len(begin))
-    kept = np.flatnonzero(count >= LEAST_WORDS)
+    kept = np.flatnonzero(count)
     text = np.searchsorted(first, kept, side="right") - 1
-    return hashes[(count >= LEAST_WORDS)[line]], np.concatenate([[0], np.cumsum(count[kept])]), text, kept - first[text]
+    return hashes, np.concatenate([[0], np.cumsum(count[kept])]), text, kept - first[text]
 
 
 def line_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -98,132 +106,83 @@ def line_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(hashes * _A + place.astype(np.uint64) * _B), at[:-1]))
 
 
-def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        hashes, at, text, number = line_runs(*utf8(batch.column(2)))
-        if len(text):
+def _lines(fewest: int):
+    """doc_id, key, line, h of every line, and its words (32 bits of each) if it has so many and is new to the task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in text_slices(batches):
+            hashes, at, text, number = line_runs(*utf8(batch.column(2)))
+            if not len(text):
+                continue
+            h, size = line_hashes(hashes, at).view(np.int64), np.diff(at)
+            new = np.zeros(len(h), bool)
+            new[np.unique(h, return_index=True)[1]] = True
+            new &= size >= fewest
+            place = np.minimum(np.searchsorted(seen, h), max(len(seen) - 1, 0))
+            if len(seen):
+                new &= seen[place] != h
+            seen = np.sort(np.concatenate([seen if len(seen) < REMEMBERED else seen[:0], h[new]]))
+            offsets = np.concatenate([[0], 4 * np.cumsum(np.where(new, size, 0))]).astype(np.int32)
+            spelt = hashes[np.repeat(new, size)].astype("<u4")
+            words = pa.Array.from_buffers(pa.binary(), len(h), [pa.array(new).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(spelt)])
             take = pa.array(text)
-            bands, mins, more = signatures(hashes, at)
-            spelt = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS), len(text), [None, pa.py_buffer(bands.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)),
-                 pa.array(line_hashes(hashes, at).view(np.int64)), pa.array(simhash(hashes, at).view(np.int64)), pa.array(np.diff(at).astype(np.int32)),
-                 pa.array(mins.view(np.int64)), pa.array(more.view(np.int64)), spelt.cast(pa.binary())],
-                names=["doc_id", "key", "line", "h", "sim", "n_words", "mins", "more", "bands"],
-            )
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(h), words],
+                names=["doc_id", "key", "line", "h", "words"],
+            )
+
+    return run
 
 
-#: Low bits of a key that hold the line's length, so that rows sorted by it are sorted by length within a bucket.
-LENGTH_BITS = 24
-LENGTH_MASK = (1 << LENGTH_BITS) - 1
+def spelt_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words given by 32 bits, and where each line's begin (with an end)."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    raw = np.frombuffer(data, "<u4", count=at[-1]) if data is not None else np.zeros(0, np.uint32)
+    return mix64(raw[at[0] :].astype(np.uint64) + np.uint64(1)), at - at[0]
 
 
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, sim, mins, more, n_words, bands) under each of their keys: the number of a band, its bits, and the length (held at LENGTH_MASK)."""
+    """Lines (h, words) under each of their keys."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        h, sim, mins, more, size = (batch.column(k).to_numpy() for k in range(5))
-        bands = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(-1, BANDS).astype(np.int64)
-        key = (np.arange(BANDS) << (32 + LENGTH_BITS)) | (bands << LENGTH_BITS) | np.minimum(size, LENGTH_MASK).astype(np.int64)[:, None]
-        columns = [key.ravel(), *(np.repeat(x, BANDS) for x in (h, sim, mins, more))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "h", "sim", "mins", "more"])
-
-
-def _differ(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> np.ndarray:
-    """The places where the minima differ, a bit each."""
-    return (a[0] ^ b[0] | a[1] ^ b[1]).view(np.uint64)
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            keys = band_keys(*spelt_words(part.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "h"])
 
 
-def near_in_buckets(key: np.ndarray, sim: np.ndarray, least: float, most: int = MOST_BITS, minima: tuple[np.ndarray, ...] = ()) -> np.ndarray:
-    """For rows sorted by key, the first row that each is connected with by near SimHashes (and minima) of a like length in one bucket.
+def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, h) sorted so, as rows (h, cluster) of lines that share a bucket with another.
 
-    A row is compared with those after it until they are too long to be similar to it.
+    A cluster is named by its lines, so one that several bands find is one; one too large to hold is named by
+    its key, and its rows go on as they come.
     """
-    sim = sim.view(np.uint64)  # bits are counted of the absolute value else
-    bucket, length = key >> LENGTH_BITS, key & LENGTH_MASK
-    left, right = [], []
-    i, step = np.arange(len(key) - 1), 1
-    while len(i):
-        j = i + step
-        i = i[(bucket[i] == bucket[j]) & (length[i] >= least * length[j])]
-        near = np.bitwise_count(sim[i] ^ sim[i + step]) <= most
-        if minima:
-            near &= np.bitwise_count(_differ([x[i] for x in minima], [x[i + step] for x in minima])) <= MOST_MINS
-        left.append(i[near])
-        right.append(i[near] + step)
-        step += 1
-        i = i[i + step < len(key)]
-    return forest(len(key), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(key))
-
-
-def _clusters(key: np.ndarray, h: np.ndarray, least: float, *sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key, the lines with a near one in their bucket and the cluster there.
-
-    A cluster is named by its lines, so one that several bands find is one.
-    """
-    root = near_in_buckets(key, sketches[0], least, MOST_BITS, sketches[1:])
-    size = np.bincount(root, minlength=len(root))
-    names = np.zeros(len(root), np.uint64)
-    np.add.at(names, root, mix64(h.view(np.uint64) + _A))
-    many = size[root] > 1
-    return h[many], mix64(names)[root[many]].view(np.int64)
-
-
-def _buckets(least: float):
-    """Rows (key, h, sim, mins, more) sorted by key, as rows (a, b) of lines and their clusters; the rows of a bucket with too many go out as they came."""
-    names = ["a", "b", "key", "h", "sim", "mins", "more"]
-
-    def edges(key: np.ndarray, h: np.ndarray, *sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = _clusters(key, h, least, *sketches)
-        if len(a):
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 5], names=names)
-
-    def defer(*rows: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(rows[0]), pa.int64())
-        out = [none, none, *(pa.array(x) for x in rows)]
-        return pa.RecordBatch.from_arrays(out, names=names[: len(out)])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        deferred = -1  # the bucket whose rows go out
-        for batch in batches:
-            held = held or [np.zeros(0, np.int64)] * batch.num_columns
-            rows = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
-            bucket = rows[0] >> LENGTH_BITS
-            stop = int(np.searchsorted(bucket, deferred, side="right"))
-            if stop:
-                yield defer(*(x[:stop] for x in rows))
-                rows, bucket = [x[stop:] for x in rows], bucket[stop:]
-            if not len(bucket):
-                held = rows
+    key, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large = -1  # the key of a bucket whose rows go on
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            key, h = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([h, batch.column(1).to_numpy()])
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+            key, h = key[fresh], h[fresh]
+            if not len(key):
                 continue
-            starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-            size = np.diff(starts)
-            big = np.repeat(size > BUCKET, size)
-            if big.any():
-                yield defer(*(x[big] for x in rows))
-                if big[-1]:
-                    deferred = int(bucket[-1])
-            last = np.arange(len(bucket)) >= starts[-2]  # the last bucket may go on in the next batch
-            yield from edges(*(x[~big & ~last] for x in rows))
-            held = [x[~big & last] for x in rows]
-        if held:
-            yield from edges(*held)
-
-    return run
-
-
-def _tile_buckets(least: float):
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        key, h, *sketches = (rows.column(c).to_numpy() for c in ("key", "h", "sim", "mins", "more"))
-        order = np.lexsort((h, key))
-        a, b = _clusters(key[order], h[order], least, *(x[order] for x in sketches))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return work
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(key)))
+        names, big = np.zeros(len(starts), np.uint64), (size > BUCKET) | (key[starts] == large)
+        if len(starts):
+            names = mix64(np.add.reduceat(mix64(h.view(np.uint64) + _A), starts))
+        cluster = np.where(np.repeat(big, size), key, np.repeat(names, size).view(np.int64))
+        ready = np.repeat(big | (size > 1), size)
+        held = np.zeros(len(key), bool)
+        if batch is not None and not big[-1]:  # the last bucket may go on in the next batch
+            held[starts[-1] :] = True
+        large = int(key[-1]) if len(key) and big[-1] else -1
+        go = ready & ~held
+        if go.any():
+            yield pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(cluster[go])], names=["h", "cluster"])
+        key, h = key[held], h[held]
 
 
 def edit_distance(a: Sequence[int], b: Sequence[int]) -> int:
@@ -260,11 +219,11 @@ def _verify(least: float):
         rows = rows.combine_chunks()
         column = lambda name: rows.column(name).to_numpy()
         order = np.lexsort((column("h"), column("tile")))
-        h, sim, mins, more, tile, n = (column(c)[order] for c in ("h", "sim", "mins", "more", "tile", "n"))
-        sim = sim.view(np.uint64)
+        h, tile = column("h")[order], column("tile")[order]
         lo, hi = int(column("lo")[0]), int(column("hi")[0])
-        spelt = rows.column("words").take(pa.array(order))
-        read = lambda i: np.frombuffer(spelt[i].as_py(), "<u8").tolist()
+        hashes, at = spelt_words(rows.column("words").combine_chunks().take(pa.array(order)))
+        sim, n = simhash(hashes, at), np.diff(at)
+        read = lambda i: hashes[at[i] : at[i + 1]].tolist()
         first = np.flatnonzero(tile == lo)
         second = first if lo == hi else np.flatnonzero(tile == hi)
         linker, edges = Linker(len(h)), []
@@ -272,7 +231,6 @@ def _verify(least: float):
             others = second[second > i] if lo == hi else second
             bits = np.bitwise_count(sim[others] ^ sim[i])
             others = others[np.argsort(bits, kind="stable")][: int((bits <= MOST_BITS).sum())]
-            others = others[np.bitwise_count(_differ((mins[others], more[others]), (mins[i], more[i]))) <= MOST_MINS]
             others = others[np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i])]
             mine = None
             for j in others.tolist():
@@ -290,116 +248,107 @@ def _verify(least: float):
 
 
 class Sieve:
-    """A Bloom filter of fixed size over line hashes: what it lets pass may be wanted, what it holds back is not."""
+    """A Bloom filter over line hashes: what it lets pass may be wanted, what it holds back is not."""
 
-    BITS = 27  # 16 MB, however many lines are wanted
     TIMES = 4
+    #: Its size is twelve bits a line within these powers of two, so that at most 128 MB go to the driver and to each executor.
+    LEAST_BITS, MOST_BITS = 16, 30
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @classmethod
-    def columns(cls, h: Column) -> Column:
-        """The places of a hash: the bits of three shifts and of the hash itself."""
-        mask = F.lit((1 << cls.BITS) - 1)
-        return F.array(*[F.shiftrightunsigned(h, 12 * k).bitwiseAND(mask) for k in range(cls.TIMES)])
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
     @classmethod
-    def of(cls, wanted: DataFrame) -> Sieve:
-        """From a table with column h. Bits are joined into words on Spark; the driver gets at most 2**(BITS - 6) words."""
-        bits = wanted.select(F.explode(cls.columns(F.col("h"))).alias("bit"))
-        word = F.shiftright("bit", 6).alias("word")
+    def of(cls, wanted: DataFrame, count: int) -> Sieve | None:
+        """From a table with column h and so many rows; none if they are too many for it.
+
+        Bits are joined into words on Spark; the driver gets at most 2**(MOST_BITS - 6) words.
+        """
+        bits = max(cls.LEAST_BITS, math.ceil(math.log2(12 * count + 1)))
+        if bits > cls.MOST_BITS:
+            return None
+        mask = F.lit((1 << bits) - 1)
+        places = wanted.select(F.explode(F.array(*[F.shiftrightunsigned("h", 11 * k).bitwiseAND(mask) for k in range(cls.TIMES)])).alias("bit"))
         set_bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-        words = np.zeros(1 << (cls.BITS - 6), np.int64)
-        rows = bits.groupBy(word).agg(set_bits.alias("bits")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.int64)
+        rows = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(set_bits).toArrow()
         words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-        return cls(words.view(np.uint64))
+        return cls(words.view(np.uint64), bits)
 
     def passes(self, h: np.ndarray) -> np.ndarray:
         h, ok = h.view(np.uint64), np.ones(len(h), bool)
         for k in range(self.TIMES):
-            bit = (h >> np.uint64(12 * k)) & np.uint64((1 << self.BITS) - 1)
+            bit = (h >> np.uint64(11 * k)) & np.uint64((1 << self.bits) - 1)
             ok &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
         return ok
 
 
-def _wanted_lines(sieve):
-    """h, sketches, n and the word hashes of the lines that pass a broadcast sieve, each once a task."""
+def _passing(sieve):
+    """The rows (h, words) that pass a broadcast sieve."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        for batch in text_slices(batches):
-            hashes, at, _, _ = line_runs(*utf8(batch.column(0)))
-            h, first = np.unique(line_hashes(hashes, at).view(np.int64), return_index=True)
-            fresh = sieve.value.passes(h) & ~np.isin(h, seen)
-            h, first = h[fresh], first[fresh]
-            if not len(h):
-                continue
-            seen = np.union1d(seen, h)
-            size = at[first + 1] - at[first]
-            runs = np.concatenate([[0], np.cumsum(size)])
-            picked = hashes[np.arange(runs[-1]) + np.repeat(at[first] - runs[:-1], size)]
-            spelt = [picked[i:j].astype("<u8").tobytes() for i, j in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True)]
-            sketches = simhash(picked, runs), *signatures(picked, runs)[1:]
-            columns = [pa.array(h), *(pa.array(x.view(np.int64)) for x in sketches), pa.array(size), pa.array(spelt, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "sim", "mins", "more", "n", "words"])
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.value.passes(batch.column(0).to_numpy())))
 
     return run
 
 
-def similar_lines(keyed: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+def similar_lines(lines: DataFrame, least: float, folder: str | None = None) -> DataFrame:
     """Rows (node, component) for the distinct lines that a similar line exists for.
 
-    keyed has doc_id, key and the lower-case text of each document; distinct has h, sim, mins, more, bands and the first
-    occurrence of each line. Candidates are not followed from one bucket into the next before their words are
-    compared, so clusters of chance don't grow together.
+    lines has h and the words of each line that may have a similar one, once at least. Candidates are not followed from one bucket into the
+    next before their words are compared, so clusters of chance don't grow together. Tables between go to `folder`.
     """
-    # a line of so few words has no similar one but itself: one other word is too much
-    fewest = math.ceil(1 / (1 - least) - 1e-9) if least < 1 else 1
-    long = distinct.where(F.col("n_words") >= fewest)
-    keys = long.select("h", "sim", "mins", "more", "n_words", "bands").mapInArrow(_keyed, "key long, h long, sim long, mins long, more long")
-    dealt = keys.repartition(F.shiftright("key", LENGTH_BITS)).sortWithinPartitions("key")
-    found = stage(dealt.mapInArrow(_buckets(least), "a long, b long, key long, h long, sim long, mins long, more long"))
-    many = found.where("a is null").select("key", "h", "sim", "mins", "more", F.shiftright("key", LENGTH_BITS).alias("bucket"), F.lit(1).alias("one"))
-    tiled = grouped(tile_pairs(many, ["bucket"], "h", "one", TILE_ROWS, TILE_ROWS), ["bucket", "lo", "hi"], _tile_buckets(least), "a long, b long")
-    clusters = found.where("a is not null").select("a", "b").union(tiled).distinct()
-
-    # equal lines have equal words, so any occurrence of a wanted line will do, and one a task is enough
-    clusters = stage(clusters.withColumnsRenamed({"a": "h", "b": "cluster"}))
-    sieve = keyed.sparkSession.sparkContext.broadcast(Sieve.of(clusters.select("h").distinct()))
-    passing = keyed.select("text").mapInArrow(_wanted_lines(sieve), "h long, sim long, mins long, more long, n long, words binary")
-    members = stage(passing.dropDuplicates(["h"]).join(clusters, "h"))
+    spelt = lines.where("words is not null").select("h", "words")
+    dealt = spelt.select("h", "words").mapInArrow(_keyed, "key long, h long").repartition("key").sortWithinPartitions("key", "h")
+    clusters = stage(dealt.mapInArrow(_bucketed, "h long, cluster long").distinct(), folder)
+    wanted = clusters.select("h").distinct()
+    sieve = Sieve.of(wanted, wanted.count())
+    if sieve is not None:
+        spelt = spelt.mapInArrow(_passing(lines.sparkSession.sparkContext.broadcast(sieve)), "h long, words binary")
+    members = stage(spelt.dropDuplicates(["h"]).join(clusters, "h").withColumn("n", (F.length("words") / 4).cast("int")), folder)
     tiles = tile_pairs(members, ["cluster"], "h", "n", TILE_WORDS, TILE_ROWS)
-    return connected_components(grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long"))
+    return connected_components(grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long"), folder=folder)
 
 
-def dedup_lines(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """All rows and columns of the table, text without the lines that occur before, and n_lines_removed.
+def repeated_lines(documents: DataFrame, least: float, folder: str | None = None) -> DataFrame:
+    """Rows (doc_id, key, extra): the numbers of the lines that go from the texts with this id and hash.
 
-    Lines of equal words (whatever their case, spaces and marks) are one line. Two lines are similar if their
-    word edit similarity is `least` or more, and are found with the probability at BANDS; lines connected by
-    similarity are a group, of which the occurrence with the smallest (doc_id, text hash, line) stays. Lines
-    of fewer than LEAST_WORDS words stay. A null text stays null. Rows with equal doc_id and
-    text are the same occurrence and keep the same lines. An empty table gives no row.
+    Of a group of lines the smallest doc_id keeps one (only if none of its texts has an id, one without), the first in
+    order of (text hash, line) there.
     """
     keyed = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.lower("text").alias("text"))
-    lines = stage(keyed.mapInArrow(_lines, "doc_id long, key long, line int, h long, sim long, n_words int, mins long, more long, bands binary"))
-    distinct = stage(
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("sim").alias("sim"), F.first("n_words").alias("n_words"), F.first("mins").alias("mins"), F.first("more").alias("more"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    )
-    similar = stage(similar_lines(keyed, distinct, least)).withColumnRenamed("node", "h")
-    grouped_lines = distinct.join(similar, "h").select("h", "component", "first")
-    keep = grouped_lines.groupBy("component").agg(F.min("first").alias("keep"))
-    fuzzy = grouped_lines.join(keep, "component").select("h", "keep")
-    exact = distinct.where("n > 1").join(similar, "h", "left_anti").select("h", F.col("first").alias("keep"))
+    lines = stage(keyed.mapInArrow(_lines(fewest_words(least)), "doc_id long, key long, line int, h long, words binary"), folder)
+    distinct = stage(lines.groupBy("h").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")), folder)
+    similar = stage(similar_lines(lines, least, folder), folder).withColumnsRenamed({"node": "h", "component": "group"})
+    grouped_lines = distinct.join(similar, "h").select("h", "group", "keep")
+    keep = grouped_lines.groupBy("group").agg(F.min("keep").alias("keep"))
+    fuzzy = grouped_lines.drop("keep").join(keep, "group").select("h", "group", "keep")
+    exact = distinct.where("n > 1").join(similar, "h", "left_anti").select("h", F.col("h").alias("group"), "keep")
     decided = fuzzy.union(exact).repartition("keep", "h")
-    extra = (
-        lines.join(decided, "h")
-        .where(~F.struct("doc_id", "key", "line").eqNullSafe(F.col("keep")))
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set("line").alias("extra"))
-        .withColumnsRenamed({"doc_id": "_extra_id", "key": "_extra_key", "extra": "_extra"})
-    )
+    found = lines.select("doc_id", "key", "line", "h").join(decided, "h")
+    found = stage(found.select("doc_id", "key", "line", "group", F.col("doc_id").eqNullSafe(F.col("keep")).alias("here")), folder)
+    here = found.where("here")
+    first = here.groupBy("group").agg(F.min(F.struct("key", "line")).alias("first"))
+    again = here.join(first, "group").where(F.struct("key", "line") != F.col("first"))
+    extra = found.where("not here").select("doc_id", "key", "line").union(again.select("doc_id", "key", "line"))
+    return extra.groupBy("doc_id", "key").agg(F.collect_set("line").alias("extra"))
+
+
+def dedup_lines(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """All rows and columns of the table, text without the lines that occur before, and n_lines_removed.
+
+    Lines of equal words (whatever their case, spaces and marks) are one line; a character of a script without spaces is
+    a word. Two lines are similar if their word edit similarity is `least` or more, and are found with
+    the probability at BANDS; lines connected by similarity are a group, of which the occurrence with the smallest
+    (doc_id, text hash, line) stays, one without a doc_id only if none has one. Lines without a word stay, and so does a null text.
+    Rows with equal doc_id and text are the same occurrence and keep the same lines. Columns of any other name are carried
+    along. An empty table gives no row.
+    """
+    spark = documents.sparkSession
+    folder, kept = new_folder(spark), new_folder(spark)
+    extra = repeated_lines(documents, least, folder).withColumnsRenamed({"doc_id": "_extra_id", "key": "_extra_key", "extra": "_extra"})
+    extra = stage(extra, kept)
+    clear(spark, folder)
     split = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_extra"))
     text = F.when(F.col("_extra").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
