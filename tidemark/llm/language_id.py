@@ -73,7 +73,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) ->
     """Fit on rows (doc_id, text, lang).
 
     Document frequencies count every labelled text. The centroids come from about `sample` texts per
-    language (never much more), chosen by a hash of doc_id; each language is clustered by one task.
+    language (never much more), drawn row by row with a fixed seed, so that repeated or missing ids and equal texts don't
+    come all together; each language is clustered by one task.
     """
     texts = labelled.where("text is not null and lang is not null").select("doc_id", F.lower("text").alias("text"), "lang")
     counts = texts.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
@@ -82,8 +83,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) ->
     idf = (np.log((1 + found.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
 
     sizes = texts.groupBy("lang").agg(F.count("*").alias("rows"))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = texts.join(F.broadcast(sizes), "lang").where(spread < sample / F.col("rows")).select("lang", "text")
+    chosen = texts.withColumn("draw", F.rand(3)).join(F.broadcast(sizes), "lang").where(F.col("draw") < sample / F.col("rows")).select("lang", "text")
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         batch = pa.RecordBatch.from_pandas(group[["text"]])
@@ -108,7 +108,8 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     score is the cosine with the nearest centroid of all. A text that is null or has no letter is `und`
     with score 0, and so is every text if nothing was learned. rejected marks texts farther from their
     centroid than nearly all it was made of; the nearest language is still given. Ties take the first
-    language in order. Only the text is an input.
+    language in order. Only the text is an input, read whole whatever its length; repeated and null doc ids keep a row
+    each; columns of other names play no part; an empty table gives no row.
     """
     langs, width = np.array([*model.langs, UNKNOWN], dtype=object), len(model.langs)
 

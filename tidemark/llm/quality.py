@@ -38,15 +38,30 @@ LABELLERS = (
     ("repeated_triples", 0.1, 0.3, 20, 2),
     ("stuttering", 0.05, 0.25, 6, 2),
     ("decorated_words", 0.05, 0.3, 1, 0),
+    ("insult_share", 0.001, 0.008, 1, 3),
+    ("insults", 0.0, 0.25, 1, 3),
+    ("different_insults", 0.0, 0.25, 1, 3),
 )
+# Plain insults and words of abuse.
+INSULTS = (
+    "bastard bastards bitch clown creep cretin degenerate despicable disgusting dumb dumbass dumb filth filthy fool foolish garbage hateful "
+    "idiot idiotic idiots imbecile jerk loser losers lowlife moron moronic morons parasite pathetic pig repulsive scum scumbag slut sucker "
+    "stupid trash trashy ugly vermin vile whore worthless wretch "
+    "abschaum arschloch bloedmann depp drecksack dumm dummkopf ekelhaft erbärmlich hurensohn idioten schwachkopf trottel versager wertlos widerlich "
+    "abruti connard connasse crétin débile dégueulasse imbécile minable ordure salaud salope stupide "
+    "asqueroso basura cabrón estúpido estúpida gilipollas idiota imbécil inútil miserable patético patética tonto"
+).split()
 KIND = np.array([x[4] for x in LABELLERS])
 
 
+_INSULTS = np.unique(words(*utf8(pa.array(INSULTS)))[0])
+
+
 def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The measures of LABELLERS, a row a text, and the number of words; the texts keep their case."""
+    """The measures of LABELLERS, a row a text, and the number of words; the texts keep their case. Insults are counted in eighths."""
     length = np.maximum(np.diff(at), 1)
     letters = np.maximum(totals(_LOWER[data], at) + totals(_UPPER[data], at), 1)
-    hashes, first = words(data, at)
+    hashes, first = words(np.where(_UPPER[data], data | 32, data), at, unspaced=False)
     n = np.diff(first)
     some = np.maximum(n, 1)
     owner = owners(first)
@@ -60,6 +75,10 @@ def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stutter = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
     whole = owner[:-2] == owner[2:]
     triples = (hashes[:-2] * np.uint64(3) + hashes[1:-1] * np.uint64(5) + hashes[2:] * np.uint64(7))[whole]
+    place = np.minimum(np.searchsorted(_INSULTS, hashes), len(_INSULTS) - 1)
+    abuse = np.flatnonzero(_INSULTS[place] == hashes)
+    count = np.bincount(owner[abuse], minlength=len(at) - 1)
+    different = np.bincount(np.unique(owner[abuse] * len(_INSULTS) + place[abuse]) // len(_INSULTS), minlength=len(at) - 1)
     symbol = _SYMBOL[data]
     start = symbol.copy()
     start[1:] &= ~symbol[:-1]  # runs of symbols, about one for each word that wears one
@@ -72,6 +91,9 @@ def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         repeated(triples, owner[:-2][whole]) / np.maximum(n - 2, 1),
         np.bincount(owner[1:][stutter], minlength=len(at) - 1) / some,
         totals(start, at) / some,
+        count / some,
+        count / 8,
+        different / 8,
     )
     return np.column_stack(columns), n
 
@@ -173,19 +195,21 @@ class Scorer:
     labels: LabelModel
     weights: np.ndarray
 
-    def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and posterior of each text."""
+    def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score, posterior and probability of abuse of each text."""
         values, n = measures(data, at)
         v = votes(values, n)
         p = 1 / (1 + np.exp(-np.clip(hashed(data, at, values) @ self.weights[:-1] + self.weights[-1], -30, 30)))
-        return np.where(n == 0, 0.0, p), self.labels.posterior(v)
+        classes = self.labels.classes(v)
+        return np.where(n == 0, 0.0, p), classes[:, 0], classes[:, -1]
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Every document's votes are counted by pattern, of which there are 3 to the number of labellers at most.
 
     EM over the counts gives each labeller's accuracy on good and on bad documents; no given label is used.
-    The posteriors of about `sample` documents, chosen by a hash of doc_id and text, train the linear scorer.
+    The posteriors of about `sample` documents, drawn row by row with a fixed seed (so that repeated or missing ids and equal
+    texts don't come all together), train the linear scorer.
     """
     texts = documents.select("doc_id", "text")
     counted = texts.select("text").mapInArrow(_patterns, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
@@ -195,8 +219,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Scorer:
     counts = np.array([r["n"] for r in counted], np.float64)
     labels = fit_labels(patterns, counts)
 
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = texts.where(spread < min(1.0, sample / counts.sum()))
+    chosen = texts.withColumn("draw", F.rand(10)).where(F.col("draw") < min(1.0, sample / counts.sum())).select("doc_id", "text")
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at, values, v in _rows(batches, 1):
@@ -215,18 +238,19 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Scorer:
 def score(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, score, posterior, keep, by a scorer fitted on the same documents.
 
-    A null or empty text, or one without a word, scores 0 and is not kept. Rows of one doc_id and null
-    doc ids are scored by their own text. An empty table gives no row.
+    A null or empty text, or one without a word, scores 0 and is not kept; a text of any length is measured whole. Rows
+    of one doc_id and null doc ids are scored by their own text, so equal texts score the same. toxicity is the probability of the latent
+    class of abuse. Columns of other names play no part. An empty table gives no row.
     """
     scorer = fit(documents, sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            p, posterior = scorer.score(*utf8(batch.column(1)))
-            arrays = [batch.column(0), pa.array(p), pa.array(posterior), pa.array(p >= threshold)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "posterior", "keep"])
+            p, posterior, toxic = scorer.score(*utf8(batch.column(1)))
+            arrays = [batch.column(0), pa.array(p), pa.array(posterior), pa.array(p >= threshold), pa.array(toxic)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "posterior", "keep", "toxicity"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, posterior double, keep boolean")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, posterior double, keep boolean, toxicity double")
 
 
 def keep_good(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +259,7 @@ def keep_good(documents: DataFrame, sample: int = SAMPLE, threshold: float = THR
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            p, _ = scorer.score(*utf8(batch.column(place)))
+            p, *_ = scorer.score(*utf8(batch.column(place)))
             yield batch.filter(pa.array(p >= threshold))
 
     return documents.mapInArrow(run, documents.schema)
