@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +95,22 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     taken = [(s, e) for s, e, _ in base]
     out: list[Span] = []
     for k in (3, 4, 5):
-        for s, e, kk in zip(start[met].tolist(), end[met].tolist(), kind[met].tolist(), strict=True):
-            if kk == k and (s, e, k) not in out and not any(s < y and x < e for x, y in taken):
+        begins, reach = _reach(taken)
+        mine = sorted({(s, e) for s, e, kk in zip(start[met].tolist(), end[met].tolist(), kind[met].tolist(), strict=True) if kk == k})
+        for s, e in mine:
+            before = bisect_left(begins, e)  # of those that begin before it ends, does one end after it begins
+            if not before or reach[before - 1] <= s:
                 out.append((s, e, k))
-        taken += [(s, e) for s, e, kk in out if kk == k]
+                taken.append((s, e))
     return out
 
 
+def _reach(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The starts of the spans in order, and how far they reach up to each."""
+    spans = sorted(spans)
+    return [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+
 def spell(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
@@ -131,8 +142,9 @@ def scan(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     Spans are kind:start:end in code points. The parts of a credential lie in one document, so they are
-    joined where the document is read and nothing is shuffled. A null text is empty and has no span;
-    repeated and null doc ids keep a row each; an empty table gives none.
+    joined where the document is read and nothing is shuffled; a text of any length takes n log n steps. Parts that tie
+    or repeat are reported each at its place. A null text is empty and has no span; repeated and null doc ids keep a row each;
+    columns of other names play no part; an empty table gives no row.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
     return documents.select("doc_id", "text").mapInArrow(_scan, schema)
