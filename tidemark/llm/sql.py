@@ -1,7 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .url_reputation import SUFFIXES
+
 #: Rules in order of length, so that the last that fits is the longest.
-OP7_SQL = """
+OP7_SQL = f"""
 WITH u AS (
   SELECT page_id,
          CASE WHEN instr(url, '://') > 0
@@ -15,16 +17,19 @@ p AS (
 marks AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 outcome AS (
-  SELECT page_id, max(bad) AS bad FROM p JOIN marks ON try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1), '') AS BIGINT) = doc_id
+  SELECT page_id, max(bad) AS bad FROM p JOIN marks ON try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) = doc_id
   GROUP BY page_id),
 h0 AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_replace(host, ':[0-9]*$', '') AS bare
   FROM p LEFT JOIN outcome USING (page_id) GROUP BY host),
 h AS (
-  SELECT host, n, k, string_split(bare, '.')[-1] AS suffix,
-         CASE WHEN len(string_split(bare, '.')) < 2 THEN bare
-              ELSE string_split(bare, '.')[-2] || '.' || string_split(bare, '.')[-1] END AS domain
-  FROM h0),
+  SELECT host, n, k,
+         CASE WHEN address THEN bare WHEN two IN {SUFFIXES} THEN two ELSE labels[-1] END AS suffix,
+         CASE WHEN address THEN bare WHEN two IN {SUFFIXES} AND len(labels) > 2 THEN labels[-3] || '.' || two ELSE two END AS domain
+  FROM (SELECT *, string_split(bare, '.') AS labels, regexp_full_match(bare, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS address,
+               CASE WHEN len(string_split(bare, '.')) < 2 THEN bare
+                    ELSE string_split(bare, '.')[-2] || '.' || string_split(bare, '.')[-1] END AS two
+        FROM h0)),
 total AS (SELECT (sum(k) + 1)::DOUBLE / (sum(n) + 2) AS mean FROM h),
 s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, (SELECT mean FROM total) AS m FROM h GROUP BY suffix),
 s_str AS (
