@@ -190,9 +190,10 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     Texts of equal words are one class from the start, however many there are; their smallest doc_id stands
     for them. Texts that share a band form candidate clusters; inside a cluster, pairs of tiles verify every
     pair by exact probability Jaccard unless it is connected already, so a large group of near copies costs
-    about one verified pair a text. Texts below five words are one shingle. Texts without a word and null
+    about one verified pair a text. A pair is skipped there if its signatures agree in so few registers that its similarity is below
+    `least` but for one case in a million (LEAST_AGREEMENT). Texts below five words are one shingle. Texts without a word and null
     texts are classes of their own. Rows of one doc_id count as one document, which links all its texts;
-    rows without a doc_id are left out. An empty table gives no row.
+    rows without a doc_id, which the result could not name, are left out. Columns of other names play no part. An empty table gives no row.
     """
     rows = documents.where("doc_id is not null").select("doc_id", F.lower("text").alias("text"))
     sketches = stage(rows.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, bands array<long>"))
@@ -222,6 +223,16 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
 
 
 def drop_near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of the document with the smallest doc_id of each class, with all columns; rows without a doc_id stay."""
+    """One row of the document with the smallest doc_id of each class, with all columns.
+
+    Of several rows of that doc_id the one of the smallest text hash stays. Rows without a doc_id, which no class can name, stay all.
+    """
     away = near_duplicates(documents, least).where("doc_id != class_id").select("doc_id")
-    return documents.join(away, "doc_id", "left_anti").select(*documents.columns)
+    left = documents.join(away, "doc_id", "left_anti").select(*documents.columns)
+    again = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
+    again = stage(again)
+    if again.isEmpty():
+        return left
+    repeated = left["doc_id"] == again["_again"]
+    one = left.join(again, repeated, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.xxhash64("text")).alias("_row"))
+    return left.join(again, repeated, "left_anti").union(one.select("_row.*"))

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -17,11 +17,20 @@ COSINE = 0.98
 #: Nearest pivots that describe a vector, and how many of them two candidates share at least.
 NEAREST = 8
 SHARED = 2
-#: Pivots: twice the root of the number of distinct vectors within these bounds.
-FEWEST, MOST = 64, 1024
+#: Pivots: twice the root of the number of distinct vectors within these bounds, so that lists grow with the root too. The most
+#: are reached at 67 million vectors and take some MB; lists of any length are verified whole beyond that.
+FEWEST, MOST = 64, 1 << 14
+#: Vectors that are compared with all pivots in one go.
+BLOCK = 256
 TILE_ROWS = 700
 
 
+def numbers(embeddings: DataFrame) -> Column:
+    """The embedding as 32-bit floats if the table holds such, which lose nothing, else as double ones."""
+    own = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    return F.col("embedding") if own else F.col("embedding").cast("array<double>")
+
+
 def distinct_vectors(embeddings: DataFrame) -> DataFrame:
     """One row per label and distinct usable vector: label, vector, rep (smallest vec_id), copies."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -29,7 +38,7 @@ def distinct_vectors(embeddings: DataFrame) -> DataFrame:
     return (
         embeddings.where("label is not null and vec_id is not null and embedding is not null")
         .where(usable)
-        .groupBy(F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+        .groupBy(F.col("label").cast("long").alias("label"), numbers(embeddings).alias("vector"))
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     )
 
@@ -47,10 +56,12 @@ def index(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
             near = np.zeros((len(sizes), nearest), np.int32)
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
-                x = flat[at[mine][:, None] + np.arange(dim)]
+                x = flat[at[mine][:, None] + np.arange(dim)].astype(np.float64)
                 x = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True)
                 width = min(dim, pivots.shape[1])  # vectors of another length are described by what they have
-                near[mine] = np.argsort(-(x[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :nearest]
+                for a in range(0, len(mine), BLOCK):
+                    far = -(x[a : a + BLOCK, :width] @ pivots[:, :width].T)
+                    near[mine[a : a + BLOCK]] = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
             count = len(sizes) * nearest
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(np.sort(near, axis=1), nearest, axis=0).ravel()), nearest)
             again = pa.array(np.repeat(np.arange(len(sizes)), nearest))
@@ -60,8 +71,9 @@ def index(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
             assert len(arrays[2]) == count
             yield pa.RecordBatch.from_arrays(arrays, names=["label", "dim", "pivot", "rep", "copies", "near", "vector"])
 
+    kind = vectors.schema["vector"].dataType.simpleString()
     return vectors.select("label", "rep", "copies", "vector").mapInArrow(
-        run, "label long, dim int, pivot int, rep long, copies long, near array<int>, vector array<double>"
+        run, f"label long, dim int, pivot int, rep long, copies long, near array<int>, vector {kind}"
     )
 
 
@@ -80,7 +92,7 @@ def _verify(cosine: float, shared: int):
         order = np.lexsort((rep, tile))
         rep, copies, tile = rep[order], copies[order], tile[order]
         flatten = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)[order]
-        x, near = flatten("vector"), flatten("near")
+        x, near = flatten("vector").astype(np.float64), flatten("near")
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         names, place = np.unique(near, return_inverse=True)
@@ -151,7 +163,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE, nearest: int = N
         .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
         .repartition("component_id", "vector")
     )
-    rows = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), numbers(embeddings).alias("vector"))
     rows = rows.withColumn("vector", F.when(F.col("vec_id").isNotNull(), F.col("vector")))
     component = F.coalesce("component_id", "vec_id")
     return rows.join(classes, ["label", "vector"], "left").select(
