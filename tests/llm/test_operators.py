@@ -46,10 +46,18 @@ def test_words_and_lines_of_ragged_texts():
     hashes, first = common.words(data, at)
     assert np.diff(first).tolist() == [0, 5, 0, 3, 1]
     _, runs, text, number = line_dedup.line_runs(data, at)
-    assert list(zip(text.tolist(), number.tolist(), np.diff(runs).tolist(), strict=True)) == [(1, 1, 3), (3, 2, 3)]
+    assert list(zip(text.tolist(), number.tolist(), np.diff(runs).tolist(), strict=True)) == [(1, 0, 2), (1, 1, 3), (3, 2, 3), (4, 0, 1)]
     assert len(set(hashes.tolist())) == 9
 
 
+def test_words_of_scripts_without_spaces_and_marks():
+    count = lambda text, **how: np.diff(common.words(*common.utf8(pa.array([text])), **how)[1]).tolist()
+    assert count("今天天气好。我们去公园，好吗") == [12] and count("今天天气好", unspaced=False) == [1]
+    assert count("abc日本def") == [4] and count("« naïve – “x” »") == [2] and count("สวัสดี") == [6] and count("한국 사람") == [2]
+    one = common.words(*common.utf8(pa.array(["wo—rd", "“wo” rd", "日本", "日 本。"])))
+    assert one[0][:2].tolist() == one[0][2:4].tolist() and one[0][4:6].tolist() == one[0][6:].tolist()
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 600 + i) for i in range(40)]
@@ -90,62 +98,80 @@ def test_simhash_against_votes():
     assert line_dedup.simhash(hashes, at).tolist() == want
 
 
-def test_lines_against_brute_force(spark):
-    base = prose(7, 120, 60).split("\n")
-    changed = base[0].split(" ")
-    changed[5] = "zzz"
-    docs = [(1, "\n".join(base)), (2, f"{base[0].upper()}!\nfresh words stand here alone"), (3, " ".join(changed) + "\nok"), (4, None), (5, ""), (6, "ok\nok\nok"), (7, base[1]), (7, base[1]), (None, base[1])]
-    got = line_dedup.dedup_lines(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS + ", extra string, key int"))
-    assert got.columns == ["doc_id", "text", "extra", "key", "n_lines_removed"]
+def kept_lines(spark, docs, schema=DOCS + ", extra string, key int", more=("x", 1)):
+    got = line_dedup.dedup_lines(spark.createDataFrame([(d, t, *more) for d, t in docs], schema))
     kept = defaultdict(list)
     for r in got.collect():
         kept[r.doc_id].append(r.text)
-    sim = [line_dedup.simhash(*common.words(*common.utf8(pa.array([" ".join(x)]))))[0] for x in (base[0].split(), changed)]
-    near = int(np.bitwise_count(sim[0] ^ sim[1])) <= line_dedup.MOST_BITS
-    # the row without a doc_id comes first in order, so it keeps the line that it shares
-    assert kept[None] == [base[1]] and kept[1] == [base[0]] and kept[2] == ["fresh words stand here alone"]
-    assert kept[3] == ["ok" if near else " ".join(changed) + "\nok"]
-    assert kept[4] == [None] and kept[5] == [""] and kept[6] == ["ok\nok\nok"] and kept[7] == ["", ""]
+    return got.columns, kept
+
+
+def test_lines_of_all_kinds(spark):
+    base = prose(7, 120, 60).split("\n")
+    changed = base[0].split(" ")
+    changed[5] = "zzz"
+    docs = [(1, "\n".join(base)), (2, f"{base[0].upper()}!\nfresh words stand here alone"), (3, " ".join(changed) + "\nok"), (4, None), (5, ""), (6, "ok\n...\nok\n..."), (7, base[1]), (7, base[1]), (None, base[1]), (None, "only here"), (8, "今天天气好。"), (9, "今天天气好"), (10, "x " * 200_000 + "\nok")]
+    columns, kept = kept_lines(spark, docs)
+    assert columns == ["doc_id", "text", "extra", "key", "n_lines_removed"]
+    # a row without a doc_id comes last in order
+    assert kept[1] == ["\n".join(base)] and kept[2] == ["fresh words stand here alone"] and kept[3] == ["ok"] and kept[7] == ["", ""]
+    assert kept[4] == [None] and kept[5] == [""] and kept[6] == ["...\n..."] and sorted(kept[None]) == ["", "only here"]
+    assert kept[8] == ["今天天气好。"] and kept[9] == [""] and kept[10] == ["x " * 200_000]
+    assert kept_lines(spark, [])[1] == {}
 
 
-def test_similar_lines_are_found_down_to_the_bound(spark):
+def test_similar_lines_against_brute_force(spark):
     rng = random.Random(21)
-    pairs = []
+    lines = []
     for k in range(240):
         n = (5, 10, 20, 35, 60, 120)[k % 6]
         line = [rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n)]
         other = list(line)
         for i in rng.sample(range(n), n // 5):
-            other[i] = f"new{k}x{i}"
-        assert line_dedup.edit_similarity(line, other) >= 0.8
-        pairs.append((" ".join(line), " ".join(other)))
-    docs = [(2 * k + i, line) for k, pair in enumerate(pairs) for i, line in enumerate(pair)]
-    removed = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).where("n_lines_removed = 1").collect()}
-    # every pair is at the bound itself, where 0.97 are to be found
-    assert removed <= set(range(1, 480, 2)) and len(removed) >= 0.94 * len(pairs)
-
-
-def test_buckets_of_any_size_meet_the_same(monkeypatch):
+            if rng.random() < 0.6:
+                other[i] = f"new{k}x{i}"
+            else:
+                other[i] = ""
+        lines += [line, [w for w in other if w]]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.edit_similarity(lines[i], lines[j]) >= 0.8]
+    root = classes(near, range(len(lines)))
+    removed = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], DOCS)).where("n_lines_removed = 1").collect()}
+    away = {i for i in root if root[i] != i}
+    # nearly every pair is at the bound itself, where the bands find the fewest
+    assert len(away) > 200 and removed <= away and len(removed) >= 0.9 * len(away)
+
+
+def test_buckets_of_any_size_and_batch_meet_the_same(monkeypatch):
     rng = np.random.default_rng(4)
-    key = np.sort(rng.integers(0, 12, 600)) << line_dedup.LENGTH_BITS | 20
-    sim = rng.integers(0, 1 << 10, 600)
-    h = np.arange(600)
-    want = line_dedup.near_in_buckets(key, sim, 0.8, 1)
-    monkeypatch.setattr(line_dedup, "MOST_BITS", 1)
-    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 37]) for x in (key, h, sim)], names=["key", "h", "sim"]) for i in range(0, 600, 37)]
-
-    def joined(bucket):
+    rows = sorted(set(zip(rng.integers(0, 90, 600).tolist(), rng.integers(0, 400, 600).tolist(), strict=True)) | {(200, 5)})
+    key, h = (np.array(x) for x in zip(*sorted(rows + rows[:300]), strict=True))
+    members = defaultdict(set)
+    for k, x in rows:
+        members[k].add(x)
+    want = {frozenset(m) for m in members.values() if len(m) > 1}
+    for bucket, step in ((1000, 37), (1000, 5), (4, 37), (4, 1)):
         monkeypatch.setattr(line_dedup, "BUCKET", bucket)
-        out = [r for b in line_dedup._buckets(0.8)(iter(batches)) for r in b.to_pylist()]
-        return [(r["a"], r["b"]) for r in out if r["a"] is not None], [r["h"] for r in out if r["a"] is None]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (key, h)], names=["key", "h"]) for i in range(0, len(key), step)]
+        found = defaultdict(set)
+        for b in line_dedup._bucketed(iter(batches)):
+            for r in b.to_pylist():
+                found[r["cluster"]].add(r["h"])
+        assert {frozenset(m) for m in found.values()} == want, (bucket, step)
 
-    pairs, deferred = joined(1000)
-    assert not deferred
-    monkeypatch.setattr(line_dedup, "near_in_buckets", line_dedup.near_in_buckets)
-    few, many = joined(40)
-    sizes = np.bincount(key >> line_dedup.LENGTH_BITS)
-    assert sorted(many) == [int(i) for i in h if sizes[key[i] >> line_dedup.LENGTH_BITS] > 40]
-    assert len(set(few)) <= len(set(pairs)) and len(want) == 600
+
+def test_large_clusters_are_tiled(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TILE_ROWS", 7)
+    lines = [" ".join(f"w{i}" if i != k % 20 else f"n{k}" for i in range(20)) for k in range(60)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect()
+    assert [r.doc_id for r in out if r.n_lines_removed == 0] == [0]
+
+
+def test_sieve_lets_wanted_lines_pass(spark):
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(1 << 63), 1 << 63, 5000)
+    sieve = line_dedup.Sieve.of(spark.createDataFrame([(int(x),) for x in h], "h long"), len(h))
+    assert sieve.passes(h).all() and sieve.passes(rng.integers(-(1 << 63), 1 << 63, 5000)).mean() < 0.02
+    assert line_dedup.Sieve.of(spark.createDataFrame([], "h long"), 1 << 40) is None
 
 
 # 2 decontamination
@@ -164,11 +190,54 @@ def test_leaks_with_replaced_words(spark):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5] and left.columns == ["doc_id", "text", "overlap"]
 
 
+BENCH = "item_id long, text string"
+
+
 def test_decontamination_of_nothing(spark):
-    none = spark.createDataFrame([], "item_id long, text string")
+    none = spark.createDataFrame([], BENCH)
     docs = spark.createDataFrame([(1, "a b c d e f g")], DOCS)
     assert decontamination.contaminated(docs, none).count() == 0
-    assert decontamination.contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")).count() == 0
+    assert decontamination.contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, prose(1, 30))], BENCH)).count() == 0
+
+
+def aligned(words, item):
+    """The best overlap of an item over all starts, and its first start, by brute force."""
+    best = (0, 0)
+    for start in range(1 - len(item), len(words)):
+        met = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(item)]
+        enough = sum(met) >= max(len(item) / 2, min(len(item), 8)) or any(sum(met[i : i + 24]) >= 20 for i in range(len(item) - 23))
+        if enough and (sum(met) / len(item), -start) > best:
+            best = (sum(met) / len(item), -start)
+    return best
+
+
+def test_leaks_by_replacement_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"{w}{i}" for w in WORDS for i in range(20)]
+    items = {k: [rng.choice(vocabulary) for _ in range(rng.randint(15, 59))] for k in range(40)}
+    items |= {100: ["solo7"], 101: ["two", "parts"], 102: [rng.choice(vocabulary) for _ in range(7)], 103: items[3]}
+    docs, planted = {}, defaultdict(list)
+    for d in range(240):
+        k, rate = d % 40, (0, 0.1, 0.2, 0.3, 0.4, 0.5)[d // 40]
+        item = list(items[k])
+        for i in rng.sample(range(len(item)), int(rate * len(item))):
+            item[i] = f"q{rng.randrange(10**6)}"
+        docs[d] = [rng.choice(vocabulary) for _ in range(rng.randrange(40))] + item + [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        planted[rate].append((d, k))
+    docs |= {900: ["a", "two", "parts", "b"], 901: ["parts", "two"], 902: ["solo7"], 903: items[102], 904: items[102][:6], 905: [*items[5][:24], *vocabulary[:30]], 906: ["x"] * 200_000 + items[7], 907: items[9] + ["y"] + items[9]}
+    got = decontamination.contaminated(
+        spark.createDataFrame([(d, " ".join(w), "x", 1) for d, w in docs.items()], DOCS + ", item_id string, start int"),
+        spark.createDataFrame([(k, " ".join(w), 1) for k, w in items.items()], BENCH + ", doc_id int"),
+    ).collect()
+    found = {(r.doc_id, r.item_id): (r.overlap, r.start) for r in got}
+    want = {(d, k): aligned(docs[d], items[k]) for d in docs if d != 906 for k in items}
+    want = {p: b for p, b in want.items() if b[0]}
+    assert all(d == 906 or (d, k) in want and want[d, k] == (pytest.approx(o, abs=1e-6), -s) for (d, k), (o, s) in found.items())
+    for rate, pairs in planted.items():
+        pairs = [p for p in pairs if p in want]
+        assert sum(p in found for p in pairs) >= (0.85 if rate == 0.5 else 0.95 if rate == 0.4 else 1) * len(pairs) and len(pairs) > 15, rate
+    assert {(900, 101), (902, 100), (903, 102), (906, 7), (3, 103)} <= set(found) and not {(901, 101), (904, 102)} & set(found)
+    assert found[906, 7][1] == 200_000 and found[907, 9][1] == 0
 
 
 # 3 language
@@ -249,6 +318,35 @@ def test_secret_parts_of_any_length_are_whole():
     assert sorted(text[s:e] for s, e, _ in secret_scan.linked(text, [])) == sorted([f"client_id = {name}", run, f"host={host}", f"https://x.internal/{path}"])
 
 
+def test_secret_links_against_brute_force():
+    rng = random.Random(5)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    for seed in range(12):
+        parts = []
+        for _ in range(80):
+            parts.append(rng.choice([f"client_id = svc-{rng.randrange(99)}", "".join(rng.choice(letters) for _ in range(30)) + "7a", f"https://h{rng.randrange(9)}.internal/p", "plain words " * rng.randrange(20), "\n\n", "AKIA" + "Z" * 16]))
+        text = " ".join(parts)
+        base = secret_scan.base_spans(text)
+        every = sorted(secret_scan.weak_parts(text) + [(s, e, 3 if k == 1 else 4) for s, e, k in base])
+        breaks = [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+        block = lambda at, breaks=breaks: sum(b <= at for b in breaks)
+        met = [p for p in every if any((p[2] == 4) != (q[2] == 4) and block(p[0]) == block(q[0]) and q[0] <= p[1] + 240 and p[0] <= q[1] + 240 for q in every)]
+        taken, want = [(s, e) for s, e, _ in base], []
+        for k in (3, 4, 5):
+            mine = [p for p in dict.fromkeys(met) if p[2] == k and not any(p[0] < y and x < p[1] for x, y in taken)]
+            want += mine
+            taken += [p[:2] for p in mine]
+        assert secret_scan.linked(text, base) == want and want, seed
+
+
+def test_secret_scan_of_long_and_odd_rows(spark):
+    dense = "\n".join(f"client_id = svc-{i}\nkey: Zx81kQpL0vT5nW3sYb{i:04d}" for i in range(4000))
+    rows = [(1, dense, "x"), (1, None, "y"), (None, dense[:5000], "z")]
+    got = secret_scan.scan(spark.createDataFrame(rows, DOCS + ", spans string")).collect()
+    assert sorted((r.doc_id or 0, r.n_linked) for r in got)[-1] == (1, 8000) and len(got) == 3
+    assert secret_scan.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # 6 vectors
 
 
@@ -274,6 +372,20 @@ def test_vector_links_against_brute_force(spark):
     assert vector_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vector_recall_on_long_lists(spark, kind, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "TILE_ROWS", 50)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(500, 32))
+    x = np.vstack([base, base[rng.integers(0, 500, 1000)] + 0.08 * rng.normal(size=(1000, 32)), base[:1] + 0.02 * rng.normal(size=(300, 32))])
+    x = x.astype(np.float32).astype(float)
+    got = vector_dedup.link_vectors(spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], f"vec_id long, embedding array<{kind}>, label int")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    found = {r.vec_id: r.n_links for r in got}
+    assert all(found[i] <= link[i].sum() for i in found) and sum(found.values()) >= 0.97 * link.sum() > 80_000
+
+
 # 7 urls
 
 
@@ -297,6 +409,20 @@ def test_reputation_shrinks_to_the_parents(spark):
     assert got["new.a.com"].n == 0 and 0.3 < got["new.a.com"].rate < 0.7 and got["one.b.org"].bound < 0.5
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "me.github.io": ("me.github.io", "github.io"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", url_reputation.registered_domain(F.col("host")).alias("d"), url_reputation.suffix(F.col("host")).alias("s")).collect()}
+    assert got == hosts
+
+
+def test_outcomes_take_the_whole_number(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/7.html"), (2, "http://a.com/en/1234567890123456789"), (3, "http://a.com/en/99999999999999999999"), (1, "http://a.com/en/8"), (4, "http://a.com/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (123456789012345678, 0, 0), (1234567890123456789, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((r.page_id, r.bad) for r in url_reputation.page_outcomes(pages, labels).collect()) == [(1, 1), (2, 0)]
+    assert url_reputation.filter_urls(pages, url_reputation.page_outcomes(pages, labels)).count() == 5
+
+
 # 8 near duplicates
 
 
@@ -331,7 +457,8 @@ def test_near_duplicates_against_brute_force(spark):
     links = [(a, b) for a in shingled for b in shingled if a < b and len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
     assert got == classes(links, [k for k, _ in docs if k is not None])
     left = minhash_dedup.drop_near_duplicates(spark.createDataFrame([(*d, 1) for d in docs], DOCS + ", class_id int"))
-    assert left.columns == ["doc_id", "text", "class_id"] and {r.doc_id for r in left.collect()} == {*got.values(), None}
+    ids = [r.doc_id for r in left.collect()]
+    assert left.columns == ["doc_id", "text", "class_id"] and set(ids) == {*got.values(), None} and len(ids) == len(set(ids))
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -358,11 +485,64 @@ def test_pii_base_against_re(spark):
     assert pii.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def planted_personal_data(n: int):
+    """Documents with personal data that the base patterns miss (and where), beside base matches and plain numbers."""
+    rng = random.Random(17)
+    docs, where = [], []
+    for d in range(n):
+        digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))  # noqa: B023, E731
+        word = lambda: rng.choice(WORDS)  # noqa: B023, E731
+        parts = [word() for _ in range(6)]
+        parts += rng.choice([["call", f"+1 ({digits(3)}) 555-{digits(4)}"], ["mail", f"{word()}.{digits(2)}@{word()}.example.com"], ["server", f"10.{rng.randrange(256)}.3.{rng.randrange(256)}"], [f"order {digits(9)}"], [f"isbn {digits(13)}"], [f"total {digits(12)} units"]])
+        parts += [word() for _ in range(5)]
+        hidden = rng.choice([None, f"{word()}.{word()} (at) {word()}.example.com", f"{word()} at {word()} dot org", f"10[.]{rng.randrange(256)}[.]7[.]{rng.randrange(256)}", f"1 ({digits(3)}) 555-{digits(4)}", f"({digits(3)}) 555-{digits(4)}"])
+        text = " ".join(parts) + ". "
+        if hidden:
+            text += "Please contact "
+            where.append((d, len(text), len(text) + len(hidden)))
+            text += hidden
+        docs.append((d, text + f", {word()} in section {digits(2)} of {digits(4)}."))
+    return docs, where
+
+
+def test_pii_method_adds_what_the_base_misses(spark):
+    docs, where = planted_personal_data(1500)
+    got = pii.scan(spark.createDataFrame(docs, DOCS)).collect()
+    base = {"email", "ip", "card", "phone"}
+    added = set()
+    for r in got:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        extra = [(r.doc_id, a, b) for k, a, b in spans if k not in base]
+        assert len(extra) == r.n_added and len(spans) == r.n_spans
+        assert all(b <= c or d <= a for i, (_, a, b) in enumerate(spans) for k, c, d in spans[i + 1 :] if k not in base)
+        added |= set(extra)
+    hit = sum(w in added for w in where)
+    assert hit >= 0.9 * len(where) and hit >= 0.95 * len(added)
+
+
+def test_pii_of_long_and_odd_rows(spark):
+    dense = " ".join(f"x{i}@mail.example.com +1 (212) 555-{i % 10000:04d} call 030/{i:07d} z{i} (at) q.org" for i in range(6000))
+    docs, _ = planted_personal_data(300)
+    rows = [(5000, dense), (5001, dense[:3000]), (5001, dense[:3000]), (None, dense[:200]), (5002, "\x01a@b.cd\x01"), *docs]
+    got = [r for r in pii.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS + ", n_email int, spans string")).collect() if r.doc_id is None or r.doc_id >= 5000]
+    assert sorted((r.doc_id or 0, r.n_email, r.n_phone) for r in got)[-1] == (5002, 1, 0) and len(got) == 5
+    long = next(r for r in got if r.doc_id == 5000)
+    assert (long.n_email, long.n_phone) == (6000, 6000) and long.n_added >= 6000
+
+
+def test_starts_are_sums_before(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 127, 128, 129, 1000):
+        xs = [rng.randrange(9) for _ in range(n)]
+        got = spark.createDataFrame([(xs,)], "xs array<int>").select(pii._starts(F.col("xs")).alias("s")).first().s
+        assert got == [sum(xs[:i]) for i in range(n)]
+
+
 def test_boosted_trees_learn_a_rule():
     cells = [({f: (i >> k) & 1 for k, f in enumerate(pii.FEATURES)}, 10 * ((i & 3) == 3), 10 * ((i & 3) != 3)) for i in range(64)]
     trees = pii.boost(cells)
     least = pii.threshold(trees, cells)
-    assert all((sum(t.value(x) for t in trees) >= least) == (yes > 0) for x, yes, _ in cells)
+    assert all((sum(t.value(x) for t in trees) >= least - 1e-6) == (yes > 0) for x, yes, _ in cells)
     assert pii.threshold(pii.boost([]), []) == float("inf")
 
 
@@ -382,12 +562,61 @@ def test_quality_of_clear_texts(spark):
 
 def test_label_model_finds_kinds_of_badness():
     rng = np.random.default_rng(0)
-    kind = rng.choice([-1, 0, 1, 2], 4000, p=[0.8, 0.08, 0.07, 0.05])
+    kind = rng.choice([-1, 0, 1, 2, 3], 4000, p=[0.77, 0.08, 0.06, 0.05, 0.04])
     blame = np.where(quality.KIND == kind[:, None], 0.85, 0.03)
     v = (rng.random(blame.shape) >= blame).astype(np.int8)
     v[rng.random(v.shape) < 0.2] = -1  # abstains
     found, counts = np.unique(v, axis=0, return_counts=True)
     model = quality.fit_labels(found, counts.astype(float))
-    own = quality.KIND[:, None] == np.arange(3)
-    assert ((model.posterior(v) > 0.5) == (kind < 0)).mean() > 0.9 and abs(model.share[0] - 0.8) < 0.05
+    own = quality.KIND[:, None] == np.arange(4)
+    assert ((model.posterior(v) > 0.5) == (kind < 0)).mean() > 0.9 and abs(model.share[0] - 0.77) < 0.05
     assert (model.good[:, 0] > 0.95).all() and (model.good[:, 1:][own] < 0.4).all() and (model.good[:, 1:][~own] > 0.9).all()
+
+
+def test_quality_rejects_abuse(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        words = prose(i, 120).split(" ")
+        if i % 8 == 0:
+            for word in ("Idiot", "worthless", "stupid", "scum"):
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[i].keep for i in got if i % 8 == 0) and all(got[i].keep for i in got if i % 8)
+    assert all((got[i].toxicity > 0.5) == (i % 8 == 0) for i in got)
+
+
+def test_samples_are_bounded_for_equal_rows_and_missing_ids(spark):
+    text = prose(1, 40)
+    rows = [(None, text, "en")] * 3000 + [(7, text, "en")] * 3000 + [(i, prose(i, 30) + " ö ß", "de") for i in range(100, 300)]
+    df = spark.createDataFrame(rows, DOCS + ", lang string").repartition(4)
+    got = quality.score(df, sample=200).collect()
+    assert len(got) == 6200 and len({(r.score, r.keep) for r in got if r.doc_id in (None, 7)}) == 1
+    found = language_id.label_documents(df).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == {"en": 6000, "de": 200}
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_held_out_accuracy(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = language_id.label_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    assert found.where("lang = lang_pred").count() >= 0.98 * found.count() > 200
+    labels = spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
+    scored = quality.score(docs).join(labels, "doc_id")
+    clean, bad = scored.where("quality = 1 and toxic = 0"), scored.where("quality = 0")
+    assert clean.where("keep").count() >= 0.99 * clean.count() > 200 and bad.where("not keep").count() >= 0.97 * bad.count() > 40
+
+
+def test_language_and_quality_of_very_long_texts(spark):
+    docs = [(1, prose(1, 300_000)), (1, prose(1, 300)), (2, "ñandú " * 400_000)] + [(i, prose(i, 60), ) for i in range(10, 60)]
+    df = spark.createDataFrame([(*r, "en", 0.1) for r in docs], DOCS + ", lang string, score double")
+    assert {r.lang_pred for r in language_id.label_documents(df).where("doc_id = 1").collect()} == {"en"}
+    assert quality.score(df).count() == len(docs)
+
+
+def test_packing_of_repeated_and_missing_ids(spark):
+    public = pytest.importorskip("public_tokenizers")
+    rows = [(1, "same words", 5), (1, "same words", 6), (None, "no id", 7), (None, None, 8)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS + ", length int"), public.path("word_bpe_49k.json")).collect()
+    assert len(got) == 4 and sum(r.doc_id is None for r in got) == 2 and len({(r.sequence_id, r.offset) for r in got}) == 4
