@@ -153,35 +153,35 @@ def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, h) sorted so, as rows (h, cluster) of lines that share a bucket with another.
+    """Rows (key, h) sorted so, as rows (h, cluster, head) of lines that share a bucket with another.
 
-    A cluster is named by its lines, so one that several bands find is one; one too large to hold is named by
-    its key, and its rows go on as they come.
+    head is the bucket's first line. A cluster is named by its lines, so one that several bands find is one; one too
+    large to hold is named by its key, and its rows go on as they come.
     """
     key, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    large = -1  # the key of a bucket whose rows go on
+    large, its_head = -1, 0  # the key of a bucket whose rows go on, and its first line
     for batch in chain(batches, [None]):
         if batch is not None:
             key, h = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([h, batch.column(1).to_numpy()])
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
             key, h = key[fresh], h[fresh]
-            if not len(key):
-                continue
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(starts, len(key)))
-        names, big = np.zeros(len(starts), np.uint64), (size > BUCKET) | (key[starts] == large)
-        if len(starts):
-            names = mix64(np.add.reduceat(mix64(h.view(np.uint64) + _A), starts))
-        cluster = np.where(np.repeat(big, size), key, np.repeat(names, size).view(np.int64))
-        ready = np.repeat(big | (size > 1), size)
+        big, heads = (size > BUCKET) | (key[starts] == large), h[starts]
+        if key[0] == large:
+            heads[0] = its_head
+        names = mix64(np.add.reduceat(mix64(h.view(np.uint64) + _A), starts)).view(np.int64)
+        cluster = np.repeat(np.where(big, key[starts], names), size)
         held = np.zeros(len(key), bool)
         if batch is not None and not big[-1]:  # the last bucket may go on in the next batch
             held[starts[-1] :] = True
-        large = int(key[-1]) if len(key) and big[-1] else -1
-        go = ready & ~held
+        large, its_head = (int(key[-1]), int(heads[-1])) if big[-1] else (-1, 0)
+        go = np.repeat(big | (size > 1), size) & ~held
         if go.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(cluster[go])], names=["h", "cluster"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(cluster[go]), pa.array(np.repeat(heads, size)[go])], names=["h", "cluster", "head"])
         key, h = key[held], h[held]
 
 
@@ -214,31 +214,77 @@ def edit_similarity(a: Sequence[int], b: Sequence[int]) -> float:
     return 1 - edit_distance(a, b) / max(len(a), len(b), 1)
 
 
+def most_edits(n: np.ndarray, least: float) -> np.ndarray:
+    """The edits that two lines may be apart, the longer of which has n words."""
+    return np.floor((1 - least) * n + 1e-9).astype(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two lines' words are similar; what they begin and end with alike needs no edit."""
+    n, short = max(len(a), len(b)), min(len(a), len(b))
+    most = int(most_edits(np.int64(n), least))
+    if n - short > most:
+        return False
+    begin = a[:short] != b[:short]
+    if len(a) == len(b) and begin.sum() <= most:
+        return True
+    first = int(begin.argmax()) if begin.any() else short
+    end = a[::-1][: short - first] != b[::-1][: short - first]
+    last = int(end.argmax()) if end.any() else short - first
+    if n - first - last <= most:
+        return True
+    return edit_distance(a[first : len(a) - last].tolist(), b[first : len(b) - last].tolist()) <= most
+
+
+def _pairs(least: float):
+    """Rows (h, words, head, other): the pairs (a, b) that are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                (x, i), (y, j) = spelt_words(batch.column(1)), spelt_words(batch.column(3))
+                n, m = np.diff(i), np.diff(j)
+                long, short = np.maximum(n, m), np.minimum(n, m)
+                most = most_edits(long, least)
+                # of lines of one length the words that differ in place, which are no fewer than the edits
+                own = np.repeat(np.arange(len(n)), short)
+                place = np.arange(len(own)) - np.repeat(np.cumsum(short) - short, short)
+                differ = np.bincount(own[x[i[:-1][own] + place] != y[j[:-1][own] + place]], minlength=len(n))
+                near = (n == m) & (differ <= most)
+                likely = ~near & (long - short <= most)
+                likely[likely] = (np.bitwise_count(simhash(x, i)[likely] ^ simhash(y, j)[likely])) <= MOST_BITS
+                near[[k for k in np.flatnonzero(likely).tolist() if similar(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], least)]] = True
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in (0, 2)], names=["a", "b"])
+
+    return run
+
+
 def _verify(least: float):
+    """The links between lines of one cluster that are not in one component yet."""
+
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         column = lambda name: rows.column(name).to_numpy()
         order = np.lexsort((column("h"), column("tile")))
         h, tile = column("h")[order], column("tile")[order]
+        component = np.unique(column("component")[order], return_inverse=True)[1]
         lo, hi = int(column("lo")[0]), int(column("hi")[0])
         hashes, at = spelt_words(rows.column("words").combine_chunks().take(pa.array(order)))
         sim, n = simhash(hashes, at), np.diff(at)
-        read = lambda i: hashes[at[i] : at[i + 1]].tolist()
         first = np.flatnonzero(tile == lo)
         second = first if lo == hi else np.flatnonzero(tile == hi)
-        linker, edges = Linker(len(h)), []
+        linker, edges = Linker(int(component.max()) + 1), []
         for i in first.tolist():
             others = second[second > i] if lo == hi else second
-            bits = np.bitwise_count(sim[others] ^ sim[i])
-            others = others[np.argsort(bits, kind="stable")][: int((bits <= MOST_BITS).sum())]
+            others = others[component[others] != component[i]]
             others = others[np.minimum(n[others], n[i]) >= least * np.maximum(n[others], n[i])]
-            mine = None
-            for j in others.tolist():
-                if linker.top(i) == linker.top(j):
-                    continue
-                mine = mine or read(i)
-                if edit_similarity(mine, read(j)) >= least:
-                    linker.join(i, j)
+            bits = np.bitwise_count(sim[others] ^ sim[i])
+            for j in others[np.argsort(bits, kind="stable")][: int((bits <= MOST_BITS).sum())].tolist():
+                one, other = int(component[i]), int(component[j])
+                if linker.top(one) != linker.top(other) and similar(hashes[at[i] : at[i + 1]], hashes[at[j] : at[j + 1]], least):
+                    linker.join(one, other)
                     edges.append((i, j))
         if edges:
             a, b = np.array(edges).T
@@ -295,19 +341,32 @@ def _passing(sieve):
 def similar_lines(lines: DataFrame, least: float, folder: str | None = None) -> DataFrame:
     """Rows (node, component) for the distinct lines that a similar line exists for.
 
-    lines has h and the words of each line that may have a similar one, once at least. Candidates are not followed from one bucket into the
-    next before their words are compared, so clusters of chance don't grow together. Tables between go to `folder`.
+    lines has h and the words of each line that may have a similar one, once at least. Every line of a bucket is compared with the
+    bucket's head, and a pair that many buckets have is compared once: so a large group of near copies costs about one
+    comparison a line. In the clusters that this leaves in several components, all pairs of different ones are compared.
+    Candidates are not followed from one bucket into the next before their words are compared, so clusters of chance don't
+    grow together. Tables between go to `folder`.
     """
     spelt = lines.where("words is not null").select("h", "words")
-    dealt = spelt.select("h", "words").mapInArrow(_keyed, "key long, h long").repartition("key").sortWithinPartitions("key", "h")
-    clusters = stage(dealt.mapInArrow(_bucketed, "h long, cluster long").distinct(), folder)
+    dealt = spelt.mapInArrow(_keyed, "key long, h long").repartition("key").sortWithinPartitions("key", "h")
+    clusters = stage(dealt.mapInArrow(_bucketed, "h long, cluster long, head long"), folder)
     wanted = clusters.select("h").distinct()
     sieve = Sieve.of(wanted, wanted.count())
     if sieve is not None:
         spelt = spelt.mapInArrow(_passing(lines.sparkSession.sparkContext.broadcast(sieve)), "h long, words binary")
-    members = stage(spelt.dropDuplicates(["h"]).join(clusters, "h").withColumn("n", (F.length("words") / 4).cast("int")), folder)
+    words = stage(spelt.dropDuplicates(["h"]), folder)
+    pairs = clusters.where("h <> head").select("h", "head").distinct()
+    both = pairs.join(words, "h").join(words.select(F.col("h").alias("head"), F.col("words").alias("other")), "head")
+    links = stage(both.select("h", "words", "head", "other").mapInArrow(_pairs(least), "a long, b long"), folder)
+
+    known = stage(connected_components(links, folder=folder), folder).select(F.col("node").alias("h"), "component")
+    rows = clusters.select("h", "cluster").distinct().join(known, "h", "left").select("h", "cluster", F.coalesce("component", "h").alias("component"))
+    rows = stage(rows, folder)
+    mixed = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high")
+    members = stage(rows.join(mixed.select("cluster"), "cluster").join(words, "h").withColumn("n", (F.length("words") / 4).cast("int")), folder)
     tiles = tile_pairs(members, ["cluster"], "h", "n", TILE_WORDS, TILE_ROWS)
-    return connected_components(grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long"), folder=folder)
+    more = grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long")
+    return connected_components(known.select(F.col("h").alias("a"), F.col("component").alias("b")).union(more), folder=folder)
 
 
 def repeated_lines(documents: DataFrame, least: float, folder: str | None = None) -> DataFrame:
