@@ -120,6 +120,19 @@ def test_lines_of_all_kinds(spark):
     assert kept_lines(spark, [])[1] == {}
 
 
+def test_similar_is_what_the_edit_distance_says():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = [rng.randrange(9) for _ in range(rng.randrange(1, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(9)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = [rng.randrange(9)] * rng.randrange(2)
+        if b:
+            want = line_dedup.edit_similarity(a, b) >= 0.8 - 1e-9
+            assert line_dedup.similar(np.array(a, np.uint64), np.array(b, np.uint64), 0.8) == want, (a, b)
+
+
 def test_similar_lines_against_brute_force(spark):
     rng = random.Random(21)
     lines = []
@@ -156,6 +169,7 @@ def test_buckets_of_any_size_and_batch_meet_the_same(monkeypatch):
         for b in line_dedup._bucketed(iter(batches)):
             for r in b.to_pylist():
                 found[r["cluster"]].add(r["h"])
+                assert r["head"] in {min(m) for m in members.values() if r["h"] in m}
         assert {frozenset(m) for m in found.values()} == want, (bucket, step)
 
 
