@@ -60,14 +60,17 @@ def simhash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+def band_keys(hashes: np.ndarray, at: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The keys of each run of word hashes: a row of BANDS, each of minima over its pairs of neighbours. No run is empty.
 
-    A pair that a run repeats counts as another one each time, so that repeated words don't hide edits.
+    A pair that a run repeats counts as another one each time, so that repeated words don't hide edits. Pairs of two common
+    words (of a sorted array) come after all others, so that lines don't meet by what most lines hold.
     """
     if len(at) < 2:
         return np.zeros((0, BANDS), np.int64)
     left, right = np.insert(hashes, at[:-1], np.uint64(1)), np.insert(hashes, at[1:], np.uint64(2))
+    often = np.isin(hashes, common)
+    last = (np.insert(often, at[:-1], True) & np.insert(often, at[1:], True)).astype(np.uint32) << np.uint32(31)
     pairs, begin = mix64(left * _A + right * _B), at[:-1] + np.arange(len(at) - 1)
     own = mix64(pairs + mix64(np.repeat(np.arange(len(at) - 1), np.diff(at) + 1) + 1))
     order = np.argsort(own)
@@ -79,7 +82,7 @@ def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     for band in range(BANDS):
         joined = np.zeros(len(at) - 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            joined = mix64(joined * _A + mix64(np.minimum.reduceat(x * _TIMES[k] + _PLUS[k], begin)))
+            joined = mix64(joined * _A + mix64(np.minimum.reduceat((x * _TIMES[k] + _PLUS[k]) >> np.uint32(1) | last, begin)))
         keys[:, band] = (joined >> np.uint64(64 - BAND_BITS)).astype(np.int64) | (band << BAND_BITS)
     return keys
 
@@ -143,13 +146,40 @@ def spelt_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix64(raw[at[0] :].astype(np.uint64) + np.uint64(1)), at - at[0]
 
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (h, words) under each of their keys."""
+#: Share of all words from which on a word is common: there are fewer than its inverse.
+COMMON = 0.001
+
+
+def _often(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that are half as often in some batch as common ones, with their count, and all words under 0."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 4096):
-            part = batch.slice(a, 4096)
-            keys = band_keys(*spelt_words(part.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "h"])
+        hashes, _ = spelt_words(batch.column(0))
+        found, n = np.unique(hashes, return_counts=True)
+        often = n > COMMON / 2 * len(hashes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found[often].view(np.int64), 0)), pa.array(np.append(n[often], len(hashes)))], names=["word", "n"])
+
+
+def common_words(spelt: DataFrame) -> np.ndarray:
+    """The sorted hashes of the words that are more than COMMON of all; the driver gets as many at most."""
+    counts = spelt.select("words").mapInArrow(_often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.where("word = 0").first()
+    if total is None:
+        return np.zeros(0, np.uint64)
+    rows = counts.where((F.col("word") != 0) & (F.col("n") > COMMON * total["n"])).collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+
+
+def _keyed(common: np.ndarray):
+    """Lines (h, words) under each of their keys."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                keys = band_keys(*spelt_words(part.column(1)), common)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "h"])
+
+    return run
 
 
 def _bucketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +378,7 @@ def similar_lines(lines: DataFrame, least: float, folder: str | None = None) ->
     grow together. Tables between go to `folder`.
     """
     spelt = lines.where("words is not null").select("h", "words")
-    dealt = spelt.mapInArrow(_keyed, "key long, h long").repartition("key").sortWithinPartitions("key", "h")
+    dealt = spelt.mapInArrow(_keyed(common_words(spelt)), "key long, h long").repartition("key").sortWithinPartitions("key", "h")
     clusters = stage(dealt.mapInArrow(_bucketed, "h long, cluster long, head long"), folder)
     wanted = clusters.select("h").distinct()
     sieve = Sieve.of(wanted, wanted.count())
