@@ -28,6 +28,8 @@ MOST_BITS = 22
 #: Lines of one key that are named together; the rows of a larger bucket go on under its key, to be cut into tiles.
 BUCKET = 2048
 TILE_ROWS, TILE_WORDS = 700, 500_000
+#: Lines of a cluster that is compared together with others; a larger one is compared alone, in tiles.
+SMALL = 128
 #: Distinct lines that a task remembers, so that each comes to a bucket about once a task.
 REMEMBERED = 1_000_000
 
@@ -64,14 +66,17 @@ def band_keys(hashes: np.ndarray, at: np.ndarray, common: np.ndarray) -> np.ndar
     """The keys of each run of word hashes: a row of BANDS, each of minima over its pairs of neighbours. No run is empty.
 
     A pair that a run repeats counts as another one each time, so that repeated words don't hide edits. Pairs of two common
-    words (of a sorted array) come after all others, so that lines don't meet by what most lines hold.
+    words (of a sorted array) come after all others, so that lines don't meet by what most lines hold, but not in a line
+    half of which is such pairs.
     """
     if len(at) < 2:
         return np.zeros((0, BANDS), np.int64)
     left, right = np.insert(hashes, at[:-1], np.uint64(1)), np.insert(hashes, at[1:], np.uint64(2))
     often = np.isin(hashes, common)
-    last = (np.insert(often, at[:-1], True) & np.insert(often, at[1:], True)).astype(np.uint32) << np.uint32(31)
     pairs, begin = mix64(left * _A + right * _B), at[:-1] + np.arange(len(at) - 1)
+    last = np.insert(often, at[:-1], True) & np.insert(often, at[1:], True)
+    few = 2 * np.add.reduceat(last.astype(np.int64), begin) < np.diff(at) + 1
+    last = (last & np.repeat(few, np.diff(at) + 1)).astype(np.uint32) << np.uint32(31)
     own = mix64(pairs + mix64(np.repeat(np.arange(len(at) - 1), np.diff(at) + 1) + 1))
     order = np.argsort(own)
     first = np.flatnonzero(np.concatenate([[True], own[order[1:]] != own[order[:-1]]]))
@@ -263,7 +268,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     last = int(end.argmax()) if end.any() else short - first
     if n - first - last <= most:
         return True
-    return edit_distance(a[first : len(a) - last].tolist(), b[first : len(b) - last].tolist()) <= most
+    a, b = a[first : len(a) - last].tolist(), b[first : len(b) - last].tolist()
+    own, other = set(a), set(b)
+    shared = len(own & other) + min(len(a) - len(own), len(b) - len(other))  # words in common at most
+    return max(len(a), len(b)) - shared <= most and edit_distance(a, b) <= most
 
 
 def _pairs(least: float):
@@ -323,6 +331,72 @@ def _verify(least: float):
     return work
 
 
+def _verify_small(least: float):
+    """Rows (low, cluster, h, component, words) sorted so, of clusters of SMALL lines at most: the links between components.
+
+    Clusters are compared many at a time: each line with the next, the one after, and so on within its cluster.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+        refused: set[tuple[int, int]] = set()
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            cluster, h, component = (rows.column(c).to_numpy() for c in ("cluster", "h", "component"))
+            hashes, at = spelt_words(rows.column("words").combine_chunks())
+            sim, n = simhash(hashes, at), np.diff(at)
+            left, right = [], []
+            i, step = np.arange(len(h) - 1), 1
+            while len(i):
+                i = i[cluster[i] == cluster[i + step]]
+                j = i + step
+                near = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+                near[near] = np.bitwise_count(sim[i[near]] ^ sim[j[near]]) <= MOST_BITS
+                left.append(i[near])
+                right.append(j[near])
+                step += 1
+                i = i[i + step < len(h)]
+            if not left:
+                return
+            i, j = np.concatenate(left), np.concatenate(right)
+            order = np.argsort(np.bitwise_count(sim[i] ^ sim[j]), kind="stable")
+            found = []
+            for i, j in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                one, other = top(int(component[i])), top(int(component[j]))
+                pair = (int(h[i]), int(h[j]))
+                if one == other or pair in refused:
+                    continue
+                if similar(hashes[at[i] : at[i + 1]], hashes[at[j] : at[j + 1]], least):
+                    above[max(one, other)] = min(one, other)
+                    found.append(pair)
+                elif len(refused) < REMEMBERED:
+                    refused.add(pair)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                cluster = part.column(1).to_numpy()
+                other = np.flatnonzero(cluster != cluster[-1])
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last cluster may go on
+                if cut:
+                    yield from links(pa.Table.from_batches([*held, part.slice(0, cut)]).combine_chunks())
+                    held = []
+                held.append(part.slice(cut))
+        if held:
+            yield from links(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
 class Sieve:
     """A Bloom filter over line hashes: what it lets pass may be wanted, what it holds back is not."""
 
@@ -392,10 +466,14 @@ def similar_lines(lines: DataFrame, least: float, folder: str | None = None) ->
     known = stage(connected_components(links, folder=folder), folder).select(F.col("node").alias("h"), "component")
     rows = clusters.select("h", "cluster").distinct().join(known, "h", "left").select("h", "cluster", F.coalesce("component", "h").alias("component"))
     rows = stage(rows, folder)
-    mixed = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high")
-    members = stage(rows.join(mixed.select("cluster"), "cluster").join(words, "h").withColumn("n", (F.length("words") / 4).cast("int")), folder)
-    tiles = tile_pairs(members, ["cluster"], "h", "n", TILE_WORDS, TILE_ROWS)
-    more = grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long")
+    mixed = rows.groupBy("cluster").agg(F.count("*").alias("lines"), F.min("component").alias("low"), F.max("component").alias("high")).where("lines > 2 and low <> high")
+    members = rows.join(mixed.select("cluster", "lines", "low"), "cluster").join(words, "h").withColumn("n", (F.length("words") / 4).cast("int"))
+    members = stage(members, folder)
+    small = members.where(F.col("lines") <= SMALL).select("low", "cluster", "h", "component", "words")
+    # clusters of one group lie together, so that what one of them has linked the next needn't compare; a group is salted
+    small = small.repartition("low", F.pmod("cluster", F.lit(4))).sortWithinPartitions("low", "cluster", "h")
+    tiles = tile_pairs(members.where(F.col("lines") > SMALL), ["cluster"], "h", "n", TILE_WORDS, TILE_ROWS)
+    more = small.mapInArrow(_verify_small(least), "a long, b long").union(grouped(tiles, ["cluster", "lo", "hi"], _verify(least), "a long, b long"))
     return connected_components(known.select(F.col("h").alias("a"), F.col("component").alias("b")).union(more), folder=folder)
 
 
