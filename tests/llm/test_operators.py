@@ -173,11 +173,15 @@ def test_buckets_of_any_size_and_batch_meet_the_same(monkeypatch):
         assert {frozenset(m) for m in found.values()} == want, (bucket, step)
 
 
-def test_large_clusters_are_tiled(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 5, 128])
+def test_clusters_of_any_size(spark, monkeypatch, small):
     monkeypatch.setattr(line_dedup, "TILE_ROWS", 7)
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     lines = [" ".join(f"w{i}" if i != k % 20 else f"n{k}" for i in range(20)) for k in range(60)]
-    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect()
-    assert [r.doc_id for r in out if r.n_lines_removed == 0] == [0]
+    chain = [" ".join(f"c{i}" if i >= 4 * k else f"d{i}" for i in range(40)) for k in range(9)]  # each like the next alone
+    docs = list(enumerate(lines + chain))
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()
+    assert [r.doc_id for r in out if r.n_lines_removed == 0] == [0, 60]
 
 
 def test_sieve_lets_wanted_lines_pass(spark):
