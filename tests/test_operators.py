@@ -153,3 +153,19 @@ def test_keyed_state_in_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("key long, hit boolean").parquet(f"{tmp_path}/in")
     got = {r.key: (round(r.power, 6), r.n) for r in events.run_available(events.explain_power(stream), str(tmp_path), "update").collect()}
     assert got == {1: (0.8, 3), 2: (0.45, 1)}
+
+
+def test_flow_score_of_plain_cases(spark):
+    from tidemark.functions import finance
+
+    names = "conviction double, distance double, close double, a double, b double, c double, rsi double"
+    rows = [
+        (100.0, 5.0, 120.0, 110.0, 100.0, 90.0, 60.0),  # 35 + 25 + 1.5 * 15 + 15
+        (0.0, 15.0, 120.0, 110.0, 100.0, 130.0, 50.0),  # a young trend below the long average: 15 + 7.5
+        (0.0, 20.0, 80.0, 110.0, 100.0, 100.0, 30.0),  # only the averages are in order: 7.5
+        (None, None, None, None, None, None, None),  # no RSI counts as 50
+        (0.0, 0.0, 120.0, 110.0, 110.0, None, 80.0),  # no long average, a zero distance
+    ]
+    df = spark.createDataFrame(rows, names).coalesce(1)
+    got = [r.s for r in df.select(finance.flow_score("conviction", "distance", "close", "a", "b", "c", "rsi").alias("s")).collect()]
+    assert got == [97.5, 22.5, 7.5, 7.5, 15.0]

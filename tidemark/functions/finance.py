@@ -128,11 +128,15 @@ def ripple_significance(magnitude, probability, elasticity, lag_months) -> Colum
 
 
 def flow_score(conviction, distance_pct, close, sma20, sma50, sma200, rsi) -> Column:
-    """Technical flow 0 to 100: conviction, nearness to the high (a zero distance counts as 15), trend and RSI band."""
-    d = F.when(F.coalesce(_col(distance_pct), F.lit(0.0)) == 0, 15.0).otherwise(_col(distance_pct))
-    c, a, b, e = _col(close), _col(sma20), _col(sma50), _col(sma200)
-    trend = F.when((c > a) & (a > b) & (b > e), 1.5).when((c > b) & (b > e), 1.0).when(c > e, 0.5).otherwise(0.0)
-    band = F.when(_col(rsi).between(55, 75), 1.0).when((_col(rsi) >= 45) & (_col(rsi) < 55), 0.5).otherwise(0.0)
+    """Technical flow 0 to 100: conviction, nearness to the high (none or zero counts as 15), trend and RSI band (none or zero counts as 50).
+
+    A close above the short average that isn't below the middle one is a trend, and a middle average not below the long one is half of one more.
+    """
+    none = lambda x: F.coalesce(_col(x).cast("double"), F.lit(0.0))
+    d, r = (F.when(none(x) == 0, otherwise).otherwise(none(x)) for x, otherwise in ((distance_pct, 15.0), (rsi, 50.0)))
+    c, a, b, e = none(close), none(sma20), none(sma50), none(sma200)
+    trend = F.when((c > a) & (a >= b), 1.0).otherwise(0.0) + F.when((e > 0) & (b >= e), 0.5).otherwise(0.0)
+    band = F.when(r.between(55, 75), 1.0).when((r >= 45) & (r < 55), 0.5).otherwise(0.0)
     total = 0.35 * F.coalesce(_col(conviction), F.lit(0.0)) + 2.5 * F.greatest(F.lit(0.0), 15 - d) + 15 * trend + 15 * band
     return F.greatest(F.least(total, F.lit(100.0)), F.lit(0.0))
 

@@ -20,7 +20,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     terms = wanted.select("term").distinct()
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few:
         terms, wanted = F.broadcast(terms), F.broadcast(wanted)
     split = docs.select("doc_id", tokens("text").alias("w"))
     size = split.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean")).first()
@@ -31,7 +32,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / size["mean"]))
-    scored = tf.join(F.broadcast(df) if terms is not wanted else df, "term").select("doc_id", "term", weight.alias("weight"))
+    scored = tf.join(F.broadcast(df) if few else df, "term").select("doc_id", "term", weight.alias("weight"))
     return scored.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
 
 

@@ -111,7 +111,7 @@ def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED = f"""{PANEL}, i AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) AS back, round(avg(close) OVER (w ROWS 4 PRECEDING), 2) AS s5, round(avg(close) OVER (w ROWS 9 PRECEDING), 2) AS s10, round(avg(close) OVER (w ROWS 19 PRECEDING), 2) AS s20,
 round(100 * (max(high) OVER (w ROWS 249 PRECEDING) - close) / nullif(max(high) OVER (w ROWS 249 PRECEDING), 0), 2) AS dist, coalesce(round(delivery_qty / nullif(avg(delivery_qty) OVER (w ROWS 19 PRECEDING), 0), 2), 1.0) AS spike,
 round(100 * delivery_qty / nullif(volume, 0), 2) AS dpct, 100 * (close / lag(close) OVER w - 1) AS chg FROM panel WINDOW w AS (PARTITION BY entity_id ORDER BY date)),
-l AS (SELECT *, CASE WHEN coalesce(dist, 0) = 0 THEN 15.0 ELSE dist END AS d0, CASE WHEN close > s5 AND s5 > s10 AND s10 > s20 THEN 1.5 WHEN close > s10 AND s10 > s20 THEN 1.0 WHEN close > s20 THEN 0.5 ELSE 0.0 END AS trend FROM i WHERE back = 1),
+l AS (SELECT *, CASE WHEN coalesce(dist, 0) = 0 THEN 15.0 ELSE dist END AS d0, CASE WHEN close > s5 AND s5 >= s10 THEN 1.0 ELSE 0.0 END + CASE WHEN s20 > 0 AND s10 >= s20 THEN 0.5 ELSE 0.0 END + 0.5 AS trend FROM i WHERE back = 1),
 c AS (SELECT entity_id, date, turnover, chg, dpct, greatest(least(0.35 * spike * dpct + 2.5 * greatest(0.0, 15 - d0) + 15 * trend, 100.0), 0.0) AS flow, least(30 * (spike >= 2)::INT + 40 * (chg < 0)::INT + least(0.2 * spike * dpct, 40.0), 100.0) AS smart,
 CASE WHEN turnover > 50000 THEN 60.0 ELSE 40.0 END AS fundamental FROM l)"""
 
@@ -160,16 +160,25 @@ def call_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entity_id", "date", rounded(target, 4).alias("target"), rounded(stop, 4).alias("stop"))
 
 
-@query(f"""WITH {PANEL}, p AS (SELECT *, row_number() OVER w AS i FROM panel WINDOW w AS (PARTITION BY entity_id ORDER BY date)), a AS (SELECT entity_id, i, close, close * 1.5 AS target, close * 0.6 AS stop FROM p WHERE i % 10 = 1),
-h AS (SELECT a.entity_id, a.i, a.close, a.target, a.stop, p.i AS pos, p.date, CASE WHEN p.low <= a.stop THEN 'stop' WHEN p.high >= a.target THEN 'target' END AS how FROM a JOIN p ON p.entity_id = a.entity_id AND p.i > a.i AND p.i <= a.i + 60)
-SELECT entity_id, i::INT AS entry, arg_min(how, pos) AS outcome, min(date) AS closed FROM h WHERE how IS NOT NULL GROUP BY 1, 2""")
+@query(f"""WITH {PANEL}, p AS (SELECT *, row_number() OVER w AS i FROM panel WINDOW w AS (PARTITION BY entity_id ORDER BY date)),
+h AS (SELECT a.entity_id, a.i, p.i AS pos, p.date, CASE WHEN p.low <= a.close * 0.6 THEN 'stop' WHEN p.high >= a.close * 1.5 THEN 'target' END AS how FROM p a JOIN p ON p.entity_id = a.entity_id AND p.i > a.i),
+c AS (SELECT entity_id, i, arg_min(how, pos) AS how, min(date) AS closed FROM h WHERE how IS NOT NULL GROUP BY 1, 2)
+SELECT p.entity_id, p.i::INT AS entry, coalesce(c.how, 'open') AS outcome, c.closed FROM p LEFT JOIN c USING (entity_id, i)""")
 def marked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls opened every tenth row: the first later row at stop or target, the stop counting first on one row."""
-    p = panel(spark, sf_dir).withColumn("i", F.row_number().over(windows.by_date()))
-    calls = p.where("i % 10 = 1").select(F.col("entity_id").alias("of"), F.col("i").alias("entry"), (F.col("close") * 1.5).alias("target"), (F.col("close") * 0.6).alias("stop"))
-    later = calls.join(p, (F.col("of") == F.col("entity_id")) & (F.col("i") > F.col("entry")) & (F.col("i") <= F.col("entry") + 60))
-    how = F.when(F.col("low") <= F.col("stop"), "stop").when(F.col("high") >= F.col("target"), "target")
-    return later.withColumn("how", how).where("how is not null").groupBy("entity_id", "entry").agg(F.min_by("how", "i").alias("outcome"), F.min("date").alias("closed"))
+    """A call opened at every row: the first later row at stop or target, the stop counting first on one row, or still open.
+
+    The rows of an entity, one a session, are held in order as one array, which the calendar bounds; no pairs of rows are made.
+    """
+    row = F.struct("date", "low", "high", "close")
+    paths = panel(spark, sf_dir).groupBy("entity_id").agg(F.array_sort(F.collect_list(row)).alias("path"))
+
+    def call(now, k):
+        how = lambda r: F.when(r["low"] <= now["close"] * 0.6, "stop").when(r["high"] >= now["close"] * 1.5, "target")
+        later = F.filter(F.slice("path", k + 2, F.size("path")), lambda r: how(r).isNotNull())
+        first = F.get(F.transform(F.slice(later, 1, 1), lambda r: F.struct(how(r).alias("how"), r["date"].alias("date"))), F.lit(0))
+        return F.struct((k + 1).alias("entry"), F.coalesce(first["how"], F.lit("open")).alias("outcome"), first["date"].alias("closed"))
+
+    return paths.select("entity_id", F.inline(F.transform("path", call)))
 
 
 @query(f"""WITH {MONTHLY}, e AS (SELECT period, quantile_cont(del, 1.0 / 3) AS a, quantile_cont(del, 2.0 / 3) AS b FROM x GROUP BY 1)
