@@ -246,8 +246,8 @@ ev AS (SELECT l_partkey AS entity_id, CAST(l_shipdate AS DATE) AS date, sum(l_di
 k AS (SELECT entity_id, date FROM ev QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY size DESC, date) = 1),
 p AS (SELECT *, row_number() OVER ({W}) AS i, avg(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS base FROM panel),
 a AS (SELECT k.entity_id, p.i, p.close, p.volume / p.base AS mult FROM k JOIN p USING (entity_id, date)),
-o AS (SELECT entity_id, i AS zero, close AS base, mult, i + unnest(range(-5, 6)) AS i FROM a)
-SELECT entity_id, i - zero AS "offset", round(100 * (p.close / base - 1), 4) AS cum_return_pct, round(mult, 4) AS volume_multiple
+o AS (SELECT entity_id, i AS zero, close AS close_0, mult, i + unnest(range(-5, 6)) AS i FROM a)
+SELECT entity_id, i - zero AS "offset", round(100 * (p.close / close_0 - 1), 4) AS cum_return_pct, round(mult, 4) AS volume_multiple
 FROM o JOIN p USING (entity_id, i)""")
 def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative returns five rows around each entity's largest event, and its volume over the twenty rows before."""
