@@ -17,17 +17,17 @@ from tidemark.llm.queries import VOCABULARY
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier keeps."""
+    """The documents that the quality classifier keeps: none without a word, so no null or empty text."""
     return quality.keep_good(docs)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur before; one that had nothing else goes.
 
-    n_chars follows the text where lines went.
+    n_chars follows the text where lines went. A null text stays; rows of equal doc_id and text keep the same lines.
     """
     cleaned = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_lines_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    emptied = (F.col("n_lines_removed") > 0) & ~F.col("text").rlike(r"\S")
     columns = [
         F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
         for c in docs.columns
@@ -36,17 +36,17 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class; of several rows of its doc_id one. Rows without a doc_id stay."""
     return minhash_dedup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage."""
+    """The documents that hold no benchmark passage; a null text holds none, and rows of one doc_id go together."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; a null or empty text is a piece of one token."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
