@@ -169,3 +169,47 @@ def test_flow_score_of_plain_cases(spark):
     df = spark.createDataFrame(rows, names).coalesce(1)
     got = [r.s for r in df.select(finance.flow_score("conviction", "distance", "close", "a", "b", "c", "rsi").alias("s")).collect()]
     assert got == [97.5, 22.5, 7.5, 7.5, 15.0]
+
+
+def test_fiscal_labels_of_plain_cases(spark):
+    from tidemark.functions import periods
+
+    cases = [
+        ("2026-07-01", "2026-09-30", 3, "Q2FY27"), ("2026-04-01", "2026-09-30", 3, "H1FY27"), ("2026-04-01", "2026-12-31", 3, "9MFY27"), ("2025-04-01", "2026-03-31", 3, "FY26"),
+        ("2025-10-01", "2026-03-31", 3, "H2FY26"), ("2025-10-01", "2026-09-30", 3, "TTM to Q2FY27"), (None, "2026-09-30", 3, "30 Sep 2026"), ("2026-01-01", "2026-03-31", 12, "Q1FY26"),
+        ("2026-09-01", "2026-09-30", 3, "Sep 2026"), ("2026-04-01", "2026-08-31", 3, "YTD to 31 Aug 2026"), ("2026-05-01", "2026-08-31", 3, None), ("2026-05-01", "2026-05-01", 3, None),
+        ("2026-05-02", "2026-05-01", 3, None), (None, None, 3, None),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "s string, e string, ends int").selectExpr("cast(s as date) s", "cast(e as date) e", "ends").coalesce(1)
+    got = [r.label3 if r.ends == 3 else r.label12 for r in df.select("ends", *[periods.fiscal_label(F.col("s"), F.col("e"), n).alias(f"label{n}") for n in (3, 12)]).collect()]
+    assert got == [c[3] for c in cases]
+    labels = ["FY26", "Q1FY27", "Q2FY27", "H1FY27", "9M FY27", "H2FY2027", "FY27", "what"]
+    order = [r.o for r in spark.createDataFrame([(x,) for x in labels], "label string").coalesce(1).select(periods.label_order(F.col("label")).alias("o")).collect()]
+    assert order == sorted(order) and len(set(order)) == len(order)
+
+
+def test_period_ends_in_texts(spark):
+    from tidemark.functions import periods
+
+    cases = {"ended 30th June, 2024": "2024-06-30", "Ending on 31-12-2023 and ended 31 Dec 2023": "2023-12-31", "ended 31.03.2024, year ended 31/03/2023": None, "ended 30 February 2024": None, "met on 5 May 2024": None, "": None}
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").coalesce(1)
+    assert [r.d and str(r.d) for r in df.select(periods.parse_period_end(F.col("t")).alias("d")).collect()] == [*cases.values(), None]
+
+
+def test_months_covered_by_cells(spark):
+    from tidemark.operators import statements
+
+    rows = [("a", "2024-01-01", "2024-01-15", 1.0), ("a", "2024-01-10", "2024-01-31", 2.0), ("b", "2024-01-01", "2024-01-15", 1.0), ("b", "2024-01-17", "2024-01-31", 2.0), ("c", "2024-01-01", "2024-02-01", 1.0), ("d", "2024-01-02", "2024-01-31", 1.0), ("e", "2024-01-01", "2024-01-30", 1.0)]
+    cells = spark.createDataFrame(rows, "k string, s string, e string, value double").selectExpr("k", "cast(s as date) period_start", "cast(e as date) period_end", "value")
+    got = {(r.k, str(r.month)): (r.total, r.refusal) for r in statements.covered_months(cells, ["k"]).collect()}
+    bad = (None, "incomplete_month")
+    assert got == {("a", "2024-01-01"): (3.0, None), **{(k, "2024-01-01"): bad for k in "bcde"}, ("c", "2024-02-01"): bad}
+
+
+def test_ratios_refuse(spark):
+    from tidemark.functions.ratios import reading
+
+    df = spark.createDataFrame([(10.0, 2.0), (10.0, -2.0), (10.0, 0.0), (None, 2.0)], "close double, eps_ttm double").coalesce(1)
+    assert [(r.r.value, r.r.refusal) for r in df.select(reading("pe").alias("r")).collect()] == [(5.0, None), (None, "not_positive"), (None, "not_positive"), (None, "missing_input")]
+    df = spark.createDataFrame([(1.0, 0.0)], "current_assets double, current_liabilities double")
+    assert df.select(reading("current_ratio").alias("r")).first().r.refusal == "zero_denominator"
