@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corporate, fact_queries, prices, ratios, relations, research, streams, texts  # noqa: F401
+from . import corporate, fact_queries, gaps, prices, ratios, relations, research, streams, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "rolling_indicators"
