@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, minhash_dedup, packing, pii, quality, secret_scan, url_reputation, vector_dedup
+from . import conversation_trie, decontamination, language_id, line_dedup, minhash_dedup, packing, pii, quality, secret_scan, url_reputation, vector_dedup
 from .common import table
 from .sql import OP7_SQL
 
@@ -57,11 +57,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_decontamination, op3_language_id, op4_packing, op5_secret_scan,
-        op6_vector_dedup, op7_url_filter, op8_minhash_dedup, op9_pii, op10_quality,
+        op6_vector_dedup, op7_url_filter, op8_minhash_dedup, op9_pii, op10_quality, op11_prefix_trie,
     )
 }
 SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
