@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontamination, language_id, line_dedup, minhash_dedup, packing, pii, quality, secret_scan, url_reputation, vector_dedup
+from . import conversation_repair, conversation_trie, decontamination, language_id, line_dedup, minhash_dedup, packing, pii, quality, secret_scan, token_files, url_reputation, vector_dedup
 from .common import table
 from .sql import OP7_SQL
 
 #: The vocabulary that op4 packs with, by name in the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
+#: That of op13.
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +63,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_decontamination, op3_language_id, op4_packing, op5_secret_scan,
         op6_vector_dedup, op7_url_filter, op8_minhash_dedup, op9_pii, op10_quality, op11_prefix_trie,
+        op12_conversation_repair, op13_token_files,
     )
 }
 SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
