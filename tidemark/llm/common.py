@@ -48,11 +48,11 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
+def stage(df: DataFrame, folder: str | None = None, compression: str | None = None) -> DataFrame:
     """Cut the lineage by a written table in the same shared folder: smaller than a checkpoint of many rows."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,7 +82,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chunk_bytes: int = CHUNK_BYTES, chunk_rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
     """Whole rows in slices of about chunk_bytes of text, so that what a worker holds stays bounded."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -91,7 +91,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chunk_byt
         begin = 0
         while begin < batch.num_rows:
             end = int(np.searchsorted(at, at[begin] + chunk_bytes, side="right")) - 1
-            end = min(max(end, begin + 1), begin + CHUNK_ROWS, batch.num_rows)
+            end = min(max(end, begin + 1), begin + chunk_rows, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
 

@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,26 +25,29 @@ LIMIT = 16
 #: Ids of a block, and ids between two bit offsets inside it.
 BLOCK = 1 << 20
 CHECKPOINT = 128
-#: Bytes of text whose pieces are numbered together, distinct pieces that a worker keeps, and pieces tokenized as one text.
+#: Bytes and rows of text whose pieces are numbered together, and distinct pieces that a worker keeps.
 CHUNK_BYTES = 1 << 23
+CHUNK_ROWS = 10_000
 CACHE_PIECES = 1_000_000
-JOINED = 5_000
 MAGIC = b"TMTOK1\n"
 
 # ---- tokens
 
-#: White space beyond single spaces and line ends; texts that hold any are cut with more care.
-_ODD = r"[\x00\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: White space beyond single spaces and line ends, stops and commas after anything but letters and digits, and what may be a
+#: special token: texts that hold any are cut with more care.
+_ODD = r"[\x00\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z|[^\p{L}\p{N}][.,]|\A[.,]|<\|"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_PLAIN = re.compile(r"[ \n]\S+").fullmatch
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on in order.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: chr(b) if b in _PRINTED else chr(256 + sum(c not in _PRINTED for c in range(b))) for b in range(256)}
 
 
 class PieceTokens:
     """Token ids of texts from those of their distinct pieces.
 
     The byte-level tokenizer begins a token at a space, and around a line end, that stands alone between other characters,
-    so a text has the tokens of its pieces from one such place to the next. Every piece is tokenized by the library, once
-    while it is kept.
+    and at a stop or comma after a letter, so a text has the tokens of its pieces from one such place to the next. Every
+    piece is tokenized by the library, once while it is kept.
     """
 
     def __init__(self, path: str):
@@ -52,25 +56,20 @@ class PieceTokens:
 
         self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True  # how a space and a line end are spelt
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = self.tokenizer.model
 
     def learn(self, pieces: list[str]) -> None:
         plain, others = [], []
         for piece in pieces:
-            (plain if _PLAIN(piece) else others).append(piece)
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(some):  # not met: each for itself then
-                others += some
-                continue
-            raw, edges = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            self.known.update((p, raw[a:b]) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True))
+            (plain if piece.removeprefix(" ").isalpha() else others).append(piece)
+        # letters, perhaps after a space, need no pattern to part them: the library's model takes them as they are spelt in bytes
+        spelt = "\n".join(plain).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])
+        merge, known = self.model.tokenize, self.known
+        for piece, word in zip(plain, spelt, strict=False):
+            known[piece] = array("I", [t.id for t in merge(word)]).tobytes()
         coded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(others, coded, strict=True))
+        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(others, coded, strict=True))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END_OF_TEXT, and where each begins (with an end)."""
@@ -79,7 +78,8 @@ class PieceTokens:
         texts = texts.cast(pa.large_string()).fill_null("")
         odd = pc.match_substring_regex(texts, _ODD)
         even = pc.replace_with_mask(texts, odd, pa.scalar("", pa.large_string())) if pc.any(odd).as_py() else texts
-        even = pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n")
+        for mark, cut in ((" ", "\0 "), (".", "\0."), (",", "\0,"), ("\n", "\0\n\0")):
+            even = pc.replace_substring(even, mark, cut)
         pieces = pc.split_pattern(even, "\0")
         if pc.any(odd).as_py():
             cut = [_CUT.split(t.as_py()) if o else None for t, o in zip(texts, odd.to_pylist(), strict=True)]
@@ -88,10 +88,13 @@ class PieceTokens:
         ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
         coded = pieces.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        fresh = set(names).difference(self.known)
+        spelt = list(map(self.known.get, names))
+        fresh = [k for k, ids in enumerate(spelt) if ids is None]
         if fresh:
-            self.learn(list(fresh))
-        spelt = [*map(self.known.__getitem__, names), END_OF_TEXT.to_bytes(4, "little")]
+            self.learn([names[k] for k in fresh])
+            for k in fresh:
+                spelt[k] = self.known[names[k]]
+        spelt.append(END_OF_TEXT.to_bytes(4, "little"))
         sizes = np.fromiter(map(len, spelt), np.int32, len(spelt)) // 4
         begins = (np.cumsum(sizes) - sizes).astype(np.int32)
         pool = np.frombuffer(b"".join(spelt), "<u4")
@@ -106,36 +109,42 @@ class PieceTokens:
 _tokenizers: dict[str, PieceTokens] = {}
 
 
+_IDS = "doc_id long, ids binary, width int, counts binary"
+
+
 def _tokenize(path: str):
+    """Rows of _IDS: a row a document, and last how often the task met each id, with no document."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:  # kept for the tasks that the worker runs later
             _tokenizers[path] = PieceTokens(path)
         pieces = _tokenizers[path]
-        for batch in text_slices(batches, chunk_bytes=CHUNK_BYTES):
+        names = [c.split()[0] for c in _IDS.split(", ")]
+        counts = np.zeros(pieces.size, np.int64)
+        width = 2 if pieces.size <= 1 << 16 else 4
+        for batch in text_slices(batches, chunk_bytes=CHUNK_BYTES, chunk_rows=CHUNK_ROWS):
             ids, at = pieces.ids(batch.column(1))
-            narrow = ids.astype("<u2" if len(pieces.begins) <= 1 << 16 else "<u4")
-            offsets = at * narrow.itemsize
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(narrow)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), data.cast(pa.binary()), pa.array(np.full(len(data), narrow.itemsize, np.int32))], ["doc_id", "ids", "width"])
+            counts += np.bincount(ids, minlength=pieces.size)
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
+            n = len(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), data.cast(pa.binary()), pa.array(np.full(n, width, np.int32)), pa.nulls(n, pa.binary())], names)
+        used = np.flatnonzero(counts)
+        met = np.stack([used, counts[used]], 1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([met])], names)
 
     return run
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, ids, width): each document's ids in little-endian integers of `width` bytes, END_OF_TEXT last."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path), "doc_id long, ids binary, width int")
+    """_IDS: each document's ids in little-endian integers of `width` bytes, END_OF_TEXT last; rows with `counts` are no documents."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path), _IDS)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros(0, np.int64)
     for batch in batches:
-        for raw, width in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
-            if len(found) > len(totals):
-                totals, found = found, totals
-            totals[: len(found)] += found
-    used = np.flatnonzero(totals)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(totals[used], pa.int64())], ["id", "n"])
+        for raw in batch.column(0):
+            met = np.frombuffer(raw.as_buffer(), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(met[:, 1])], ["id", "n"])
 
 
 # ---- the code
@@ -365,8 +374,8 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, folder: str | None =
     spark = documents.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     scratch = new_folder(spark)
-    ids = stage(tokenize(documents, tokenizer_path), scratch)
-    counted = ids.select("ids", "width").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    ids = stage(tokenize(documents, tokenizer_path), scratch, "zstd")
+    counted = ids.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -374,7 +383,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, folder: str | None =
     lengths = code_lengths(counts, max(LIMIT, needed + 1))
     # equal doc_ids may span ranges too
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids").asc()]
-    sorted_ids = ids.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
+    sorted_ids = ids.where("ids is not null").select("doc_id", "ids", "width").repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     written = sorted_ids.mapInArrow(_write(folder, lengths), "part int, file string, n_ids long, n_docs long")
     written.write.parquet(f"{folder}/files")
     clear(spark, scratch)
