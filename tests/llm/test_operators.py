@@ -348,7 +348,7 @@ def test_secret_links_against_brute_force():
         every = sorted(secret_scan.weak_parts(text) + [(s, e, 3 if k == 1 else 4) for s, e, k in base])
         breaks = [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
         block = lambda at, breaks=breaks: sum(b <= at for b in breaks)
-        met = [p for p in every if any((p[2] == 4) != (q[2] == 4) and block(p[0]) == block(q[0]) and q[0] <= p[1] + 240 and p[0] <= q[1] + 240 for q in every)]
+        met = [p for p in every if any((p[2] == 4) != (q[2] == 4) and block(p[0]) == block(q[0]) and (0 <= q[0] - p[1] <= 240 or 0 <= p[0] - q[1] <= 240) for q in every)]
         taken, want = [(s, e) for s, e, _ in base], []
         for k in (3, 4, 5):
             mine = [p for p in dict.fromkeys(met) if p[2] == k and not any(p[0] < y and x < p[1] for x, y in taken)]
@@ -357,6 +357,31 @@ def test_secret_links_against_brute_force():
         assert secret_scan.linked(text, base) == want and want, seed
 
 
+def test_a_secret_part_does_not_confirm_itself():
+    for alone in (
+        "client_id = 9f8e7d6c5b4a3928Zz1706aaee", "https://example.com/a1B2c3D4e5F6g7H8i9", "see https://example.com/a1B2c3D4e5F6g7H8i9?k=Zx81kQpL0vT5nW3sYb72 there",
+        "user_id=9f8e7d6c5b4a39281706aaee9f8e7d6c", "client_id=Zx81kQpL0vT5nW3sYb72", "account_key: 'Zx81kQpL0vT5nW3sYb72'", "host=a1B2c3D4e5F6g7H8i9j0",
+    ):
+        assert secret_scan.linked(alone, secret_scan.base_spans(alone)) == [], alone
+    # and one that another follows is confirmed by that alone
+    text = "client_id = 9f8e7d6c5b4a3928Zz1706aaee then Zx81kQpL0vT5nW3sYb72"
+    assert secret_scan.linked(text, []) == [(0, 38, 3), (44, 64, 4)]
+
+
+def test_planted_credentials_are_all_found():
+    rng = random.Random(8)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    for _ in range(200):
+        value = "".join(rng.choice(letters) for _ in range(24)) + "".join(rng.choice("23456789") for _ in range(8))
+        parts = [(f"client_id = svc-{rng.randrange(999)}", 3), (value, 4), (f"https://h{rng.randrange(9)}.internal/path", 5)]
+        rng.shuffle(parts)
+        text, want = "words before it. ", []
+        for part, kind in parts:
+            want.append((len(text), len(text) + len(part), kind))
+            text += part + rng.choice([" ", "\n", " and some words between, "])
+        assert sorted(secret_scan.linked(text, [])) == want
+
+
 def test_secret_scan_of_long_and_odd_rows(spark):
     dense = "\n".join(f"client_id = svc-{i}\nkey: Zx81kQpL0vT5nW3sYb{i:04d}" for i in range(4000))
     rows = [(1, dense, "x"), (1, None, "y"), (None, dense[:5000], "z")]

@@ -58,11 +58,15 @@ def entropy(run: str) -> float:
 
 
 def weak_parts(text: str) -> list[Span]:
-    """Identifiers, dense runs of letters and digits, and endpoints, whatever the base scan found."""
+    """Identifiers, endpoints, and dense runs of letters and digits that are no piece of either, whatever the base scan found."""
     parts = [(m.start(), m.end(), 3) for m in IDENTIFIER.finditer(text)]
     parts += [(m.start(), m.end(), 5) for m in ENDPOINT.finditer(text)]
+    begins, reach = _reach([(s, e) for s, e, _ in parts])
     for m in DENSE.finditer(text):
         run = m[0]
+        before = bisect_left(begins, m.end())
+        if before and reach[before - 1] > m.start():
+            continue
         if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and entropy(run) >= LEAST_ENTROPY:
             parts.append((m.start(), m.end(), 4))
     return parts
@@ -72,8 +76,9 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     """The weak parts that a complementary part confirms.
 
     The scope of a part is its span, SCOPE further on both sides, within its block between blank lines.
-    A secret and an identifier or endpoint are linked if each lies in the other's scope; base spans take
-    part, an access key as an identifier and the others as secrets. The join sweeps the parts by start, so
+    A secret and an identifier or endpoint are linked if each lies in the other's scope and none of their characters
+    is in both, so that nothing confirms itself; base spans take part, an access key as an identifier and the
+    others as secrets. The join sweeps the parts by start, so
     it takes n log n steps. A part inside a base span or inside a part of an earlier kind isn't reported.
     """
     if "://" not in text and "=" not in text and ":" not in text and "AKIA" not in text:
@@ -89,9 +94,10 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     met = np.zeros(len(parts), bool)
     for one, other in ((kind == 4, kind != 4), (kind != 4, kind == 4)):
         begins, ends = np.sort((start + apart)[other]), np.sort((end + apart)[other])
-        before = np.searchsorted(begins, (end + apart)[one] + SCOPE, side="right")
-        over = np.searchsorted(ends, (start + apart)[one] - SCOPE, side="left")
-        met[one] = before > over  # some begin before the scope ends and haven't ended before it begins
+        first, last = (start + apart)[one], (end + apart)[one]
+        after = np.searchsorted(begins, last + SCOPE, side="right") > np.searchsorted(begins, last, side="left")
+        before = np.searchsorted(ends, first, side="right") > np.searchsorted(ends, first - SCOPE, side="left")
+        met[one] = after | before  # some begin in the scope after it, or end in the scope before it
     taken = [(s, e) for s, e, _ in base]
     out: list[Span] = []
     for k in (3, 4, 5):
