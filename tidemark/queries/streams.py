@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..sources import files, pages
 from ..streaming import events as st
+from ..streaming import products
 from .base import query, table
 
 
@@ -80,3 +82,32 @@ def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.chunks(table(spark, sf_dir, "documents"))
+
+
+KEEP = 5
+#: Days that one run delivers.
+PER_RUN = 10
+
+
+@query("""WITH o AS (SELECT user_id AS key, ts::DATE AS day, count(*)::DOUBLE AS x, sum(value) AS y FROM events GROUP BY 1, 2),
+v AS (SELECT key, x, CASE WHEN day(day) % 7 = 3 THEN y * 1.1 ELSE y END AS y, day(day) % 7 = 5 AS late FROM o)
+SELECT key AS user_id, count(*) AS n, CASE WHEN sum(x * x) - sum(x) * sum(x) / count(*) > 1e-9 AND sum(y * y) - sum(y) * sum(y) / count(*) > 1e-9 THEN round((sum(x * y) - sum(x) * sum(y) / count(*)) / sqrt((sum(x * x) - sum(x) * sum(x) / count(*)) * (sum(y * y) - sum(y) * sum(y) / count(*))), 6) END AS r,
+count(*) FILTER (WHERE late) AS refused FROM v GROUP BY 1""")
+def streamed_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts and sums of each user, delivered day by day with corrections, some of them too late; each run goes on from the last one's state."""
+    events = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("x"), F.sum("value").alias("y"))
+    first = events.select("key", "day", F.col("day").alias("delivered"), "x", "y", F.lit(1).alias("version"))
+    again = lambda rest, factor, after: events.where(F.day("day") % 7 == rest).select("key", "day", F.date_add("day", after).alias("delivered"), "x", (F.col("y") * factor).alias("y"), F.lit(2).alias("version"))
+    deliveries = first.unionAll(again(3, 1.1, 2)).unionAll(again(5, 2.0, 10))
+    folder = f"{_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    deliveries.write.parquet(f"{folder}/all")
+    whole = spark.read.parquet(f"{folder}/all")
+    ends = whole.agg(F.min("delivered").alias("a"), F.datediff(F.max("delivered"), F.min("delivered")).alias("n")).first()
+    whole.limit(0).write.parquet(f"{folder}/in")
+    stream = products.running_products(spark.readStream.schema(whole.schema).parquet(f"{folder}/in"), KEEP)
+    for begin in range(0, (ends["n"] if ends["n"] is not None else -1) + 1, PER_RUN):
+        since = F.datediff("delivered", F.lit(ends["a"]))
+        whole.where((since >= begin) & (since < begin + PER_RUN)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        products.run_delivery(stream, folder)
+    last = products.latest(spark, folder, stream.schema)
+    return last.select(F.col("key").alias("user_id"), F.col("n").cast("long").alias("n"), rounded(products.correlation(), 6).alias("r"), "refused")
