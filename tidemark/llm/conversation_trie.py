@@ -14,7 +14,7 @@ from .common import clear, new_folder, stage
 from .ordered import running
 
 #: Rows of turns that a container holds at most; a larger one bursts.
-CONTAINER = 20_000
+CONTAINER = 1_000
 #: Conversations of one number that share opening turns, and how many turns they may share.
 FAMILY = 20
 OPENINGS = 4
