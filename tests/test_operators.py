@@ -1,6 +1,7 @@
 """What SQL doesn't hold against the queries: traps of time, parsers, folds and state."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,9 +120,43 @@ def test_bm25_of_nothing(spark):
 def test_html_spans_and_pipes():
     html = "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>"
     assert pages.html_cells(html) == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "a"), (0, 1, 1, "c")]
-    assert pages.markdown_cells("x | y\n---|---\n1 | 2") == [(0, 0, 0, "x"), (0, 0, 1, "y"), (0, 1, 0, "1"), (0, 1, 1, "2")]
-    assert pages.html_cells(None) == [] and pages.sentence_chunks(None) == []
-    assert pages.sentence_chunks("One two. Three four.", 9) == ["One two.", "Three four."]
+    assert pages.html_cells(None) == []
+
+
+def markdown_cells(text):
+    out, table, row, inside = [], -1, 0, False
+    for line in (text or "").split("\n"):
+        bare = line.strip()
+        if "|" not in bare:
+            inside = False
+            continue
+        if not inside:
+            table, row, inside = table + 1, 0, True
+        if re.fullmatch(r"\|?[\s:|-]*-[\s:|-]*", bare):
+            continue
+        out += [(table, row, c, cell.strip()) for c, cell in enumerate(re.split(r"(?<!\\)\|", bare.strip("|")))]
+        row += 1
+    return out
+
+
+def sentence_chunks(text, target):
+    out, size = [], 0
+    for part in re.findall(r"[^.!?\n]+[.!?]*\s*|\n+|[.!?]+\s*", text or ""):
+        if out and size + len(part) <= target:
+            out[-1], size = out[-1] + part, size + len(part)
+        else:
+            out.append(part)
+            size = len(part)
+    return [x.strip() for x in out if x.strip()]
+
+
+def test_pipe_tables_and_chunks_of_texts(spark):
+    texts = ["x | y\n---|---\n1 | 2", None, "", "One two. Three four.", "a|b\n\n |c\\|d| e|\nplain\n|-:|\n||", "no pipe", "!! ? One\n\ntwo... three " * 9, "x" * 40 + ". y."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, pages.markdown_tables(df).collect())) == [(k, *c) for k, t in enumerate(texts) for c in markdown_cells(t)]
+    for target in (9, 30, 1200):
+        want = [(k, n, c) for k, t in enumerate(texts) for n, c in enumerate(sentence_chunks(t, target))]
+        assert sorted(map(tuple, pages.chunks(df, target).collect())) == want
 
 
 def test_formats_round_trip(spark, tmp_path):

@@ -242,13 +242,13 @@ def average_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PANEL},
-ev AS (SELECT l_partkey AS entity_id, CAST(l_shipdate AS DATE) AS date, sum(l_discount * l_extendedprice) AS size FROM lineitem GROUP BY 1, 2),
-k AS (SELECT entity_id, date FROM ev QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY size DESC, date) = 1),
-p AS (SELECT *, row_number() OVER ({W}) AS i, avg(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS base FROM panel),
-a AS (SELECT k.entity_id, p.i, p.close, p.volume / p.base AS mult FROM k JOIN p USING (entity_id, date)),
-o AS (SELECT entity_id, i AS zero, close AS close_0, mult, i + unnest(range(-5, 6)) AS i FROM a)
-SELECT entity_id, i - zero AS "offset", round(100 * (p.close / close_0 - 1), 4) AS cum_return_pct, round(mult, 4) AS volume_multiple
-FROM o JOIN p USING (entity_id, i)""")
+ev AS MATERIALIZED (SELECT l_partkey AS entity_id, CAST(l_shipdate AS DATE) AS date, sum(l_discount * l_extendedprice) AS size FROM lineitem GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT entity_id, date FROM (SELECT entity_id, date, row_number() OVER (PARTITION BY entity_id ORDER BY size DESC, date) AS nth FROM ev) WHERE nth = 1),
+p AS MATERIALIZED (SELECT entity_id, date, close, volume, row_number() OVER ({W}) AS i, avg(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS base FROM panel),
+a AS MATERIALIZED (SELECT p.entity_id, p.i AS zero, p.close AS close_0, p.volume / p.base AS mult FROM p JOIN k ON k.entity_id = p.entity_id AND k.date = p.date),
+o AS MATERIALIZED (SELECT a.entity_id, a.zero, a.close_0, a.mult, a.zero + d.d AS i FROM a, (VALUES (-5), (-4), (-3), (-2), (-1), (0), (1), (2), (3), (4), (5)) d(d))
+SELECT o.entity_id, o.i - o.zero AS "offset", round(100 * (p.close / o.close_0 - 1), 4) AS cum_return_pct, round(o.mult, 4) AS volume_multiple
+FROM o JOIN p ON p.entity_id = o.entity_id AND p.i = o.i""")
 def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative returns five rows around each entity's largest event, and its volume over the twenty rows before."""
     events = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("entity_id"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.col("l_discount") * F.col("l_extendedprice")).alias("size"))

@@ -74,12 +74,21 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", links.alias("link")).groupBy("link").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE contains(text, '|'))),
+p AS (SELECT doc_id, line, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS bare FROM l WHERE contains(raw, '|')), b AS (SELECT *, CASE WHEN line - lag(line) OVER w = 1 THEN 0 ELSE 1 END AS begins FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+t AS (SELECT doc_id, line, bare, sum(begins) OVER (PARTITION BY doc_id ORDER BY line)::INT - 1 AS table_no FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_no ORDER BY line)::INT - 1 AS row_no FROM t WHERE NOT regexp_full_match(bare, '\|?[\s:|-]*-[\s:|-]*')),
+c AS (SELECT doc_id, table_no, row_no, string_split(regexp_replace(replace(bare, '\|', chr(1)), '^[|]+|[|]+$', '', 'g'), '|') AS a FROM r)
+SELECT doc_id, table_no, row_no, generate_subscripts(a, 1)::INT - 1 AS column_no, regexp_replace(replace(unnest(a), chr(1), '\|'), '^\s+|\s+$', '', 'g') AS cell FROM c""")
 def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.markdown_tables(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*\s*|\n+|[.!?]+\s*') AS a FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_transform(a, lambda x: {'out': [x], 'size': length(x)}) AS a FROM p WHERE len(a) > 0),
+r AS (SELECT doc_id, list_reduce(a, lambda s, x: CASE WHEN s.size + x.size <= 1200 THEN {'out': list_concat(s.out[:-2], [s.out[-1] || x.out[1]]), 'size': s.size + x.size} ELSE {'out': list_concat(s.out, x.out), 'size': x.size} END).out AS a FROM s),
+k AS (SELECT doc_id, list_filter(list_transform(a, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS a FROM r)
+SELECT doc_id, generate_subscripts(a, 1)::INT - 1 AS chunk_no, unnest(a) AS chunk FROM k""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.chunks(table(spark, sf_dir, "documents"))
 

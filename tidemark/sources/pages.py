@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 class _Tables(HTMLParser):
@@ -72,39 +73,6 @@ def html_cells(html: str | None) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def markdown_cells(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(table, row, column, text) of pipe tables: neighbouring lines with pipes, but for the rule under the head."""
-    out, table, row = [], -1, 0
-    inside = False
-    for line in (text or "").split("\n"):
-        bare = line.strip()
-        if "|" not in bare:
-            inside = False
-            continue
-        if not inside:
-            table, row, inside = table + 1, 0, True
-        if re.fullmatch(r"\|?[\s:|-]*-[\s:|-]*", bare):
-            continue
-        for c, cell in enumerate(re.split(r"(?<!\\)\|", bare.strip("|"))):
-            out.append((table, row, c, cell.strip()))
-        row += 1
-    return out
-
-
-def sentence_chunks(text: str | None, target: int = 1200) -> list[str]:
-    """Sentences joined up to about `target` characters; a longer sentence stands alone."""
-    out: list[str] = []
-    size = 0
-    for part in re.findall(r"[^.!?\n]+[.!?]*\s*|\n+|[.!?]+\s*", text or ""):
-        if out and size + len(part) <= target:
-            out[-1] += part
-            size += len(part)
-        else:
-            out.append(part)
-            size = len(part)
-    return [x.strip() for x in out if x.strip()]
-
-
 def _explode(df: DataFrame, key: str, text: str, parse, schema: str) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -121,10 +89,42 @@ def html_tables(pages: DataFrame) -> DataFrame:
     return _explode(pages, "page_id", "html", html_cells, "table_no int, row_no int, column_no int, cell string")
 
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def markdown_tables(docs: DataFrame) -> DataFrame:
-    return _explode(docs, "doc_id", "text", markdown_cells, "table_no int, row_no int, column_no int, cell string")
+    """(doc_id, table_no, row_no, column_no, cell) of pipe tables: neighbouring lines with pipes, but for the rule under the head.
+
+    A pipe after a backslash is text. Lines without a pipe go before anything is ordered.
+    """
+    lines = docs.where(F.contains("text", F.lit("|"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    piped = lines.where(F.contains("raw", F.lit("|"))).select("doc_id", "line", _bare(F.col("raw")).alias("bare"))
+    by_line = Window.partitionBy("doc_id").orderBy("line")
+    begins = F.coalesce((F.col("line") - F.lag("line").over(by_line) != 1).cast("int"), F.lit(1))
+    numbered = piped.withColumn("begins", begins).withColumn("table_no", F.sum("begins").over(by_line).cast("int") - 1)
+    rows = numbered.where(~F.col("bare").rlike(r"^\|?[\s:|-]*-[\s:|-]*$"))
+    row_no = F.row_number().over(Window.partitionBy("doc_id", "table_no").orderBy("line")) - 1
+    cells = F.split(F.regexp_replace("bare", r"^\|+|\|+$", ""), r"(?<!\\)\|")
+    return rows.withColumn("row_no", row_no).select("doc_id", "table_no", "row_no", F.posexplode(cells).alias("column_no", "cell")).withColumn("cell", _bare(F.col("cell")))
+
+
+#: A sentence with what ends it, line ends, or marks alone.
+SENTENCE = r"[^.!?\n]+[.!?]*\s*|\n+|[.!?]+\s*"
 
 
 def chunks(docs: DataFrame, target: int = 1200) -> DataFrame:
-    """A row per chunk of each document."""
-    return _explode(docs, "doc_id", "text", lambda t: list(enumerate(sentence_chunks(t, target))), "chunk_no int, chunk string")
+    """(doc_id, chunk_no, chunk): sentences joined up to about `target` characters; a longer sentence stands alone."""
+    parts = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("open"))
+
+    def join(state: Column, part: Column) -> Column:
+        fits = F.length(state["open"]) + F.length(part) <= target
+        return F.struct(
+            F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"),
+            F.when(fits, F.concat(state["open"], part)).otherwise(part).alias("open"),
+        )
+
+    joined = F.aggregate(parts, start, join, lambda state: F.concat(state["done"], F.array(state["open"])))
+    kept = F.filter(F.transform(joined, _bare), lambda chunk: chunk != "")
+    return docs.select("doc_id", F.posexplode(kept).alias("chunk_no", "chunk"))
