@@ -42,3 +42,23 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence
     value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
     q = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", value_at.alias("v")))).alias("_q")).select(*keys, F.col("_q.v").alias("q"))
     return q.unionByName(exact(given.join(large, keys, "left_anti"))).drop("_all")
+
+
+#: Ranges that a group's values are cut into for ranking.
+RANGES = 64
+
+
+def average_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """Adds `name`: the rank from 1 of a value in its group, ties sharing their mean; a null has none.
+
+    Approximate quantiles cut a group into ranges, which are ranked apart; what lies in the ranges before is added. Equal values are
+    in one range, so any cut gives the same ranks.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("_cuts"))
+    ranged = rows.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    equal = ranged.where(F.col(value).isNotNull()).groupBy(*by, "_range", value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = equal.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).drop("_n")
+    ranks = equal.withColumn("_to", upto).join(before, [*by, "_range"]).select(*by, "_range", value, (F.col("_before") + F.col("_to") - (F.col("_c") - 1) / 2).alias(name))
+    return ranged.drop("_cuts").join(ranks, [*by, "_range", value], "left").drop("_range")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def multiset_except(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Left rows but, of each key, as many as right has of it: the first in `order` go."""
@@ -30,20 +32,15 @@ def to_long(rows: DataFrame, ids: Sequence[str], measures: dict[str, str]) -> Da
 def table_diff(base: DataFrame, head: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that were added, removed or changed between two tables of equal columns."""
     rest = [c for c in base.columns if c not in key]
-    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rest]).alias("digest")
-    b, h = base.select(*key, digest), head.select(*key, digest)
-    both = b.withColumnRenamed("digest", "before").join(h.withColumnRenamed("digest", "after"), list(key), "full")
-    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
+    whole = F.struct(F.lit(True).alias("_there"), *rest)
+    both = base.select(*key, whole.alias("_before")).join(head.select(*key, whole.alias("_after")), list(key), "full")
+    before, after = F.col("_before"), F.col("_after")
+    change = F.when(before.isNull(), "added").when(after.isNull(), "removed").when(~before.eqNullSafe(after), "changed")
     return both.select(*key, change.alias("change")).where("change is not null")
 
 
 def quantile_cut(rows: DataFrame, by: Sequence[str], value: str, parts: int, name: str) -> DataFrame:
     """Which of `parts` value ranges a row is in, from 1: edges are interpolated percentiles of its group,
     a value on an edge is in the lower range, and equal edges are one."""
-    edges = rows.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]))).alias("_edges"))
+    edges = exact_quantiles(rows, by, value, [k / parts for k in range(1, parts)]).select(*by, F.array_distinct("q").alias("_edges"))
     return rows.join(edges, list(by)).withColumn(name, F.size(F.filter("_edges", lambda e: F.col(value) > e)) + 1).drop("_edges")
-
-
-def average_rank(value: str, by: Sequence[str]) -> Column:
-    """Ranks from 1 whose ties share their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(value).over(Window.partitionBy(*by, value)) - 1) / 2

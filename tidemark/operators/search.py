@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
-#: Most query terms that are sent to all executors; more are joined by a shuffle.
+#: Most rows of query and term that are sent to all executors; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Most query vectors that a row of vectors is compared with at once.
+BROADCAST_VECTORS = 20_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -20,7 +22,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     terms = wanted.select("term").distinct()
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     if few:
         terms, wanted = F.broadcast(terms), F.broadcast(wanted)
     split = docs.select("doc_id", tokens("text").alias("w"))
@@ -57,13 +59,19 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rows (query_id, vec_id, cosine, rank): the k nearest vectors of each of a bounded set of queries.
 
-    queries (query_id, q) go to every executor, which its caller has counted; every row of vectors
-    (vec_id, v) is compared with all of them where it is read, and only the k best of each partition are shuffled.
+    queries (query_id, q) are counted: up to BROADCAST_VECTORS go to every executor, and every row of vectors (vec_id, v) is compared
+    with them where it is read; more are cut into parts of that size, which every row of vectors meets one by one. Only the k
+    best of each partition are shuffled on.
     """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     left = queries.select("query_id", "q", norm("q").alias("qn"))
     right = vectors.select("vec_id", "v", norm("v").alias("vn"))
-    pairs = right.crossJoin(F.broadcast(left)).where("query_id <> vec_id")
+    parts = -(-left.count() // BROADCAST_VECTORS)
+    if parts <= 1:
+        pairs = right.crossJoin(F.broadcast(left)).where("query_id <> vec_id")
+    else:
+        dealt = left.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        pairs = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(dealt, "_part").where("query_id <> vec_id")
     scored = pairs.select("query_id", "vec_id", F.try_divide(dot(F.col("v"), F.col("q")), F.col("vn") * F.col("qn")).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import average_rank, quantile_cut
+from .quantiles import average_ranks, exact_quantiles
+from .relational import quantile_cut
 
 
 def winsor_z(rows: DataFrame, by: Sequence[str], value: str, tail: float = 0.01) -> DataFrame:
@@ -17,7 +18,7 @@ def winsor_z(rows: DataFrame, by: Sequence[str], value: str, tail: float = 0.01)
 
     The percentiles are aggregated and joined, not windowed, so a group may be of any size.
     """
-    edges = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("_e"))
+    edges = exact_quantiles(rows, by, value, [tail, 1 - tail]).withColumnRenamed("q", "_e")
     held = rows.join(edges, list(by)).withColumn("_x", F.greatest(F.least(F.col(value), F.get("_e", F.lit(1))), F.get("_e", F.lit(0))))
     moments = held.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_s"))
     return held.join(moments, list(by)).withColumn("z", F.try_divide(F.col("_x") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")))).drop("_e", "_x", "_m", "_s")
@@ -26,7 +27,7 @@ def winsor_z(rows: DataFrame, by: Sequence[str], value: str, tail: float = 0.01)
 def rank_ic(rows: DataFrame, by: Sequence[str], factor: str, target: str, least: int = 20) -> DataFrame:
     """Rank correlation of a factor with a target in each group that has enough pairs and more than two values of each."""
     both = rows.where(F.col(factor).isNotNull() & F.col(target).isNotNull())
-    ranked = both.withColumns({"_f": average_rank(factor, by), "_t": average_rank(target, by)})
+    ranked = average_ranks(average_ranks(both, by, factor, "_f"), by, target, "_t")
     r = ranked.groupBy(*by).agg(F.corr("_f", "_t").alias("ic"), F.count("*").alias("n"), F.count_distinct(factor).alias("_u"), F.count_distinct(target).alias("_v"))
     return r.where((F.col("n") >= least) & (F.col("_u") > 2) & (F.col("_v") > 2)).drop("_u", "_v")
 

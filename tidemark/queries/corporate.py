@@ -143,14 +143,19 @@ def crisis_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier) SELECT a.s_suppkey, b.s_suppkey AS peer, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS place
 FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey QUALIFY place <= 10""")
 def nearest_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten peers of the same group by nearness of one measure.
+    """Ten peers of the same group by nearness of one measure; of equally near ones the smaller keys.
 
-    The nearest ten on a line are among the ten before and the ten after in its order, so windows find them
-    and no group is paired with itself.
+    Of equal values only the eleven smallest keys can be among anyone's ten. With those alone in order, the ten are
+    among the twenty before and the twenty after, so places are joined and no group is paired with itself.
     """
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
+    key, n = ["s_nationkey"], 10
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    around = F.array(*[f("at", k).over(w) for k in range(1, 11) for f in (F.lag, F.lead)])
-    near = s.withColumn("at", F.struct("s_suppkey", "s_acctbal")).withColumn("around", around).withColumn("peer", F.explode("around")).where("peer is not null")
-    place = F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.abs(F.col("s_acctbal") - F.col("peer.s_acctbal")), F.col("peer.s_suppkey")))
-    return near.select("s_suppkey", F.col("peer.s_suppkey").alias("peer"), place.cast("long").alias("place")).where("place <= 10")
+    equal = F.row_number().over(Window.partitionBy(*key, "s_acctbal").orderBy("s_suppkey"))
+    up = Window.partitionBy(*key).orderBy("s_acctbal", "s_suppkey")
+    few = s.withColumn("nth", equal)
+    at = few.withColumn("place", F.sum(F.when(F.col("nth") <= n + 1, 1).otherwise(0)).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    others = at.where(F.col("nth") <= n + 1).select(*key, F.col("s_suppkey").alias("peer"), F.col("s_acctbal").alias("other"), F.col("place").alias("near"))
+    anchors = at.select(*key, "s_suppkey", "s_acctbal", F.explode(F.sequence(F.col("place") - 2 * n - 1, F.col("place") + 2 * n + 1)).alias("near"))
+    met = anchors.join(others, [*key, "near"]).where("s_suppkey <> peer")
+    place = F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.abs(F.col("s_acctbal") - F.col("other")), "peer"))
+    return met.withColumn("place", place.cast("long")).where(F.col("place") <= n).select("s_suppkey", "peer", "place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..operators import relational, temporal
+from ..operators import quantiles, relational, temporal
 from .base import ORDERS, PANEL, orders, panel, query, table
 
 
@@ -140,9 +140,8 @@ def pooled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
 def percentile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p"))
-    return rows.select("event_type", *[rounded(F.get("p", F.lit(i)), 6).alias(f"p{n}") for i, n in enumerate(("05", "50", "95"))])
+    rows = quantiles.exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.05, 0.5, 0.95])
+    return rows.select("event_type", *[rounded(F.get("q", F.lit(i)), 6).alias(f"p{n}") for i, n in enumerate(("05", "50", "95"))])
 
 
 @query("""SELECT year(o_orderdate) AS year, count(*) AS n, count(o_totalprice) AS n_price, count(DISTINCT o_custkey) AS customers, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0 END), 6) AS large_share FROM orders GROUP BY 1""")

@@ -40,7 +40,7 @@ def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of the same queries, by BM25 and by common terms, fused by reciprocal rank."""
     d, q = docs(spark, sf_dir), item_queries(spark, sf_dir)
     lexical = search.ranked(search.bm25(d, q).withColumn("score", rounded("score", 6)), "score", 50)
-    wanted = F.broadcast(q.select("query_id", F.explode(F.array_distinct(tx.tokens("text"))).alias("term")))
+    wanted = q.select("query_id", F.explode(F.array_distinct(tx.tokens("text"))).alias("term"))
     common = d.select("doc_id", F.explode(F.array_distinct(tx.tokens("text"))).alias("term")).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("common"))
     fused = search.reciprocal_rank_fusion([lexical, search.ranked(common, "common", 50)])
     return fused.withColumn("fused", rounded("fused", 6))
