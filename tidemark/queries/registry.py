@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corporate, fact_queries, fulltext, gaps, links, peers, prices, ratios, relations, research, screens, stated, stepwise, streams, texts  # noqa: F401
+from . import corporate, estimates, fact_queries, fulltext, gaps, links, peers, prices, ratios, relations, research, screens, stated, stepwise, streams, texts  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "rolling_indicators"
