@@ -52,7 +52,7 @@ def robust_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FEATURES}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, peer) AS place FROM pr QUALIFY place <= 10)
-SELECT t.id, t.peer, any_value(place)::BIGINT AS place, round(any_value(sim), 6) AS similarity, any_value(shared)::BIGINT AS shared, any_value(t.families)::BIGINT AS families,
+SELECT t.id, t.peer, any_value(place)::BIGINT AS place, any_value(sim) AS similarity, any_value(shared)::BIGINT AS shared, any_value(t.families)::BIGINT AS families,
 coalesce(array_to_string((list(a.f ORDER BY floor(a.z * b.z * 1e9 + 0.5) DESC, a.f) FILTER (WHERE floor(a.z * b.z * 1e9 + 0.5) > 0))[1:3], ','), '') AS drivers
 FROM t JOIN z a ON a.id = t.id JOIN z b ON b.id = t.peer AND b.f = a.f GROUP BY 1, 2""")
 def peer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def peer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = peers.neighbours(z, "id", FAMILIES, 10)
     told = peers.drivers(found, z, "id", NAMES)
     return told.select(
-        "id", "peer", F.col("place").cast("long").alias("place"), rounded("similarity", 6).alias("similarity"), F.col("shared").cast("long").alias("shared"),
+        "id", "peer", F.col("place").cast("long").alias("place"), "similarity", F.col("shared").cast("long").alias("shared"),
         F.col("families").cast("long").alias("families"), F.array_join("drivers", ",").alias("drivers"),
     )
 
@@ -76,7 +76,7 @@ def peer_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (SELECT vec_id % 60 AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM u),
 x AS (SELECT id, unnest(e) / n AS v, generate_subscripts(e, 1) AS i FROM n WHERE n > 0), m AS (SELECT id, i, avg(v) AS v FROM x GROUP BY 1, 2),
 pr AS (SELECT a.id, b.id AS peer, floor(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) * 1e9 + 0.5) / 1e9 AS sim FROM m a JOIN m b ON a.i = b.i AND a.id <> b.id GROUP BY 1, 2)
-SELECT id, peer, row_number() OVER (PARTITION BY id ORDER BY sim DESC, peer) AS place, round(sim, 6) AS similarity FROM pr WHERE sim >= 0 QUALIFY place <= 5""")
+SELECT id, peer, row_number() OVER (PARTITION BY id ORDER BY sim DESC, peer) AS place, sim AS similarity FROM pr WHERE sim >= 0 QUALIFY place <= 5""")
 def centroid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest of sixty groups of vectors by the mean of their unit vectors."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null").select((F.col("vec_id") % 60).alias("id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -85,4 +85,4 @@ def centroid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"e{i}" for i in range(size)]
     centroids = unit.groupBy("id").agg(*[F.avg(F.get("e", F.lit(i)) / F.col("n")).alias(f) for i, f in enumerate(names)])
     found, _ = peers.neighbours(centroids, "id", {"all": names}, 5, 1, 0.0, 1, 0.0)
-    return found.select("id", "peer", F.col("place").cast("long").alias("place"), rounded("similarity", 6).alias("similarity"))
+    return found.select("id", "peer", F.col("place").cast("long").alias("place"), "similarity")
