@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, once
 
-#: Masks of weight four: 1 is hashed, 0 may differ. With two fifths of its tokens replaced, an item of 15 tokens keeps one
-#: of them whole somewhere with probability 0.98, one of 30 tokens nearly always.
+#: Masks of weight four for items of LONG tokens and more: 1 is hashed, 0 may differ. With half of its tokens replaced, an item
+#: of 20 tokens keeps one of them whole somewhere with probability 0.92, one of 30 tokens nearly always.
 MASKS = ("1111", "110101", "1100101", "1010011")
-#: Items of fewer tokens are sought whole and unaltered; of longer ones so many tokens have to be met.
-LEAST_TOKENS = 8
+#: Masks of weight three for shorter items: all that three tokens within six can be. There are few such items, so few places are hashed.
+SHORT_MASKS = ("111", "1101", "1011", "11001", "10011", "10101", "110001", "100011", "101001", "100101")
+LONG = 20
+#: Items of fewer tokens are sought whole and unaltered; of others so many tokens have to be met at least.
+LEAST_TOKENS = 3
 #: Share of an item's tokens that a document repeats at the same distances from the hit.
 LEAST_OVERLAP = 0.5
 #: A stretch of an item that is enough by itself, and how many of its tokens have to be met.
@@ -64,7 +67,8 @@ def item_seeds(items: DataFrame) -> DataFrame:
         starts = F.explode(F.sequence(F.lit(0), size - len(mask))).alias("item_at")
         return items.where(fits).select("item_id", "h", starts).select("item_id", seed_key(name, F.col("h"), F.col("item_at"), mask).alias("key"), "item_at")
 
-    found = [seeds(mask, mask, size >= LEAST_TOKENS) for mask in MASKS]
+    found = [seeds(mask, mask, size >= LONG) for mask in MASKS]
+    found += [seeds(mask, mask, (size < LONG) & (size >= max(LEAST_TOKENS, len(mask)))) for mask in SHORT_MASKS]
     found += [seeds(f"whole{n}", "1" * n, size == n) for n in range(1, LEAST_TOKENS)]
     out = found[0]
     for more in found[1:]:
@@ -73,28 +77,31 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def document_seeds(wanted_seeds: BitMap, short: list[int]) -> tuple[Column, Column]:
-    """The places whose token is wanted, and an array of (key, at) for them; from arrays h (hashed tokens) and f (which are wanted).
+    """The places whose token is wanted, and an array of (key, at) for them; from arrays h (hashed tokens), f and g (which are wanted).
 
-    A place counts for a mask if all tokens under it are wanted, and then if the seed is: so few are hashed.
+    A place counts for a mask if all tokens under it are wanted, and then if the seed is: so few are hashed. f are the tokens of
+    all items, g those of items shorter than LONG, whose masks only go over the places of g.
     """
     none = F.expr("cast(array() as array<struct<key:bigint,at:int>>)")
     starts = F.filter(F.sequence(F.lit(0), F.size("f") - 1), lambda at: F.get("f", at))
 
-    def found(name: str, mask: str) -> Column:
+    def found(name: str, mask: str, starts: str = "starts", flags: str = "f") -> Column:
         kept = [i for i, c in enumerate(mask) if c == "1"][1:]
-        places = F.col("starts")
+        places = F.col(starts)
         if kept:
             def whole(at: Column) -> Column:
-                fits = F.coalesce(F.get("f", at + kept[0]), F.lit(False))
+                fits = F.coalesce(F.get(flags, at + kept[0]), F.lit(False))
                 for i in kept[1:]:
-                    fits = fits & F.coalesce(F.get("f", at + i), F.lit(False))
+                    fits = fits & F.coalesce(F.get(flags, at + i), F.lit(False))
                 return fits
 
             places = F.filter(places, whole)
         keyed = F.transform(places, lambda at: F.struct(seed_key(name, F.col("h"), at, mask).alias("key"), at.alias("at")))
         return F.filter(keyed, lambda s: wanted_seeds.holds(s["key"]))
 
-    masks = [(mask, mask) for mask in MASKS] + [(f"whole{n}", "1" * n) for n in short]
+    masks = [(mask, mask) for mask in MASKS] + [(f"whole{n}", "1" * n) for n in short if n < LEAST_TOKENS]
+    if any(n >= LEAST_TOKENS for n in short):
+        masks += [(mask, mask, "short_starts", "g") for mask in SHORT_MASKS]
     return starts, F.concat(none, *[found(*m) for m in masks])
 
 
@@ -110,7 +117,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = LEAS
     start is the token of the document where the item's first would stand. The seeds of the items are
     joined with those of every document at every token; each hit lines both up, and the overlap is the share of the item's
     tokens found at their places, so single tokens may be replaced. It has to reach `least` and LEAST_TOKENS
-    tokens, or LEAST_OF_PASSAGE of some PASSAGE tokens of the item in a row. Only the best start is returned (of equal ones the first). Items below
+    tokens, or LEAST_OF_PASSAGE of some PASSAGE tokens of the item in a row. The same holds for items of any length from three tokens on. Only the best start is returned (of equal ones the first). Items below
     LEAST_TOKENS tokens are found unaltered only; those without a token and null texts match nothing. Rows of one doc_id
     count as one document; a null doc_id or item_id is kept as such. Empty tables give no row.
     """
@@ -118,14 +125,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = LEAS
     items = checkpoint(items.withColumn("h", hashed("item")))
     sought = checkpoint(item_seeds(items))
     wanted = BitMap(items.select(F.explode("h").alias("h")), "h"), BitMap(sought, "key")
-    short = sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(F.col("n") < LEAST_TOKENS).distinct().collect())
+    short = sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(F.col("n") < LONG).distinct().collect())
+    in_short = BitMap(items.where(F.size("h") < LONG).select(F.explode("h").alias("h")), "h") if short else None
     starts, seeds = document_seeds(wanted[1], short)
     scanned = (
         documents.select("doc_id", tokens(F.col("text")).alias("words"))
         .select("doc_id", hashed("words").alias("h"))
         .where(F.size("h") > 0)
-        .select("doc_id", "h", F.transform("h", wanted[0].holds).alias("f"))
-        .select("doc_id", "h", "f", starts.alias("starts"))
+        .select("doc_id", "h", F.transform("h", wanted[0].holds).alias("f"), (F.transform("h", in_short.holds) if short else F.lit(None)).alias("g"))
+        .select("doc_id", "h", "f", "g", starts.alias("starts"))
+        .select("doc_id", "h", "f", "g", "starts", (F.filter("starts", lambda at: F.get("g", at)) if short else F.lit(None)).alias("short_starts"))
         .select("doc_id", once(seeds).alias("seeds"))
         .select("doc_id", F.explode("seeds").alias("seed"))
     )
