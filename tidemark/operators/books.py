@@ -6,23 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lots of mean size that a range of running quantities holds.
+LOTS = 16
+
+
 def fifo(trades: DataFrame) -> DataFrame:
     """Sales matched with the oldest lots: entity_id, buy_key, sell_key, quantity, gain, days.
 
     trades: entity_id, date, key, side ('B' or 'S'), quantity, price. First in, first out is where the running
-    quantities of buys and sells overlap, so lots need no loop: two running sums and an interval join. What is
-    sold beyond the lots matches nothing.
+    quantities of buys and sells overlap, so lots need no loop: two running sums and an interval join, which meets in ranges of
+    some lots, each pair in the first that both touch. What is sold beyond the lots matches nothing.
     """
     w = Window.partitionBy("entity_id").orderBy("date", "key").rowsBetween(Window.unboundedPreceding, 0)
 
+    mean = trades.agg(F.avg("quantity").alias("q")).first()["q"]
+    width = float(mean or 1.0) * LOTS
+    range_of = lambda c: F.floor(F.col(c) / width)
+
     def side(which: str, p: str) -> DataFrame:
-        rows = trades.where(F.col("side") == which).withColumn("upto", F.sum("quantity").over(w))
-        return rows.select(
+        rows = trades.where(F.col("side") == which).withColumn("upto", F.sum("quantity").over(w)).withColumn("from", F.col("upto") - F.col("quantity"))
+        return rows.withColumn(f"{p}_range", F.explode(F.sequence(range_of("from"), range_of("upto")))).select(f"{p}_range",
             F.col("entity_id").alias(f"{p}_entity"), F.col("key").alias(f"{p}_key"), F.col("date").alias(f"{p}_date"), F.col("price").alias(f"{p}_price"),
-            (F.col("upto") - F.col("quantity")).alias(f"{p}_from"), F.col("upto").alias(f"{p}_to"),
+            F.col("from").alias(f"{p}_from"), F.col("upto").alias(f"{p}_to"),
         )
 
-    met = side("B", "buy").join(side("S", "sell"), (F.col("buy_entity") == F.col("sell_entity")) & (F.col("buy_from") < F.col("sell_to")) & (F.col("sell_from") < F.col("buy_to")))
+    same = (F.col("buy_entity") == F.col("sell_entity")) & (F.col("buy_range") == F.col("sell_range"))
+    met = side("B", "buy").join(side("S", "sell"), same & (F.col("buy_from") < F.col("sell_to")) & (F.col("sell_from") < F.col("buy_to")))
+    met = met.where(F.col("buy_range") == F.greatest(range_of("buy_from"), range_of("sell_from")))
     quantity = F.least("buy_to", "sell_to") - F.greatest("buy_from", "sell_from")
     return met.select(
         F.col("buy_entity").alias("entity_id"), "buy_key", "sell_key", "sell_date", quantity.alias("quantity"),

@@ -46,12 +46,29 @@ def asof_join(
     return found.select(*left.columns, *[F.col("_found")[c].alias(c) for c in columns])
 
 
+#: Days of the ranges in which points meet intervals.
+RANGE_DAYS = 128
+
+
 def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, begin: str, end: str, how: str = "inner") -> DataFrame:
-    """Left rows with the right rows of their key whose [begin, end) holds `at`; a null end is open."""
-    same = [left[k] == right[k] for k in by]
-    inside = (left[at] >= right[begin]) & (right[end].isNull() | (left[at] < right[end]))
-    joined = left.join(right, [*same, inside] if how != "left_semi" else [*same, inside], how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[right[k] for k in by])
+    """Left rows with the right rows of their key whose [begin, end) holds `at`; a null end is open.
+
+    An inner join meets in ranges of RANGE_DAYS, so that a key with very many rows is many keys: an interval goes to every range
+    that it touches up to the last point there is, a point to its own.
+    """
+    inside = lambda l, r: (l[at] >= r[begin]) & (r[end].isNull() | (l[at] < r[end]))
+    if how != "inner":
+        joined = left.join(right, [*[left[k] == right[k] for k in by], inside(left, right)], how)
+        return joined if how in ("left_semi", "left_anti") else joined.drop(*[right[k] for k in by])
+    range_of = lambda c: F.floor(F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) / RANGE_DAYS)
+    last = left.agg(F.max(range_of(left[at])).alias("last")).first()["last"]
+    if last is None:
+        return left.join(right.drop(*by), F.lit(False))
+    first, until = range_of(F.col(begin)), F.least(F.coalesce(range_of(F.col(end)), F.lit(last)), F.lit(last))
+    spread = right.where(first <= until).withColumn("_range", F.explode(F.sequence(first, until)))
+    points = left.withColumn("_range", range_of(F.col(at)))
+    met = points.join(spread, [*[points[k] == spread[k] for k in by], points["_range"] == spread["_range"], inside(points, spread)])
+    return met.drop(*[spread[k] for k in by], points["_range"], spread["_range"])
 
 
 def tile_intervals(rows: DataFrame, by: Sequence[str], begin: str) -> DataFrame:

@@ -101,3 +101,24 @@ def session_sigma(prices: DataFrame, n: int = 20, floor: float = 0.5, most: floa
     frame = trailing(n)
     sigma = F.when(F.count("ret").over(frame) < 5, default).otherwise(F.greatest(F.least(F.stddev_pop("ret").over(frame), F.lit(most)), F.lit(floor)))
     return r.withColumn("sigma_pct", rounded(sigma, 4))
+
+
+#: Rows whose least value is known together.
+STRETCH = 64
+
+
+def first_at_or_below(marks: DataFrame, prices: DataFrame) -> DataFrame:
+    """(entity_id, at, filled): the date of the first row after row `at` whose low is at or below `level`; marks without one are left out.
+
+    marks: entity_id, at, level. prices: entity_id, i (number of the row), date, low. A mark meets the rest of its own stretch, then the
+    least lows of the stretches after it, and then the rows of the first stretch that comes low enough: never all later rows.
+    """
+    rows = prices.select("entity_id", F.floor(F.col("i") / STRETCH).alias("_s"), "i", "date", "low")
+    own = marks.select("entity_id", "at", "level", F.floor(F.col("at") / STRETCH).alias("_s"))
+    low_enough = F.col("low") <= F.col("level")
+    here = own.join(rows, ["entity_id", "_s"]).where((F.col("i") > F.col("at")) & low_enough).groupBy("entity_id", "at").agg(F.min("date").alias("filled"))
+    least = rows.groupBy("entity_id", F.col("_s").alias("_next")).agg(F.min("low").alias("low"))
+    ahead = own.join(here, ["entity_id", "at"], "left_anti").join(least, "entity_id").where((F.col("_next") > F.col("_s")) & low_enough)
+    at = ahead.groupBy("entity_id", "at").agg(F.min("_next").alias("_s"), F.first("level").alias("level"))
+    there = at.join(rows, ["entity_id", "_s"]).where(low_enough).groupBy("entity_id", "at").agg(F.min("date").alias("filled"))
+    return here.unionByName(there)

@@ -100,9 +100,8 @@ def overnight_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumns({"prev": F.lag("close").over(windows.by_date()), "i": F.row_number().over(windows.by_date())})
     gap = 100 * (F.col("low") / F.col("prev") - 1)
     up = p.where(gap >= 3).select("entity_id", "date", rounded(gap, 4).alias("gap_pct"), F.col("prev").alias("level"), F.col("i").alias("at"))
-    later = p.select(F.col("entity_id").alias("of"), F.col("date").alias("later"), "low", "i")
-    met = up.join(later, (F.col("entity_id") == F.col("of")) & (F.col("i") > F.col("at")) & (F.col("low") <= F.col("level")), "left")
-    return met.groupBy("entity_id", "date", "gap_pct").agg(F.min("later").alias("filled"))
+    filled = windows.first_at_or_below(up, p.select("entity_id", "date", "low", "i"))
+    return up.join(filled, ["entity_id", "at"], "left").select("entity_id", "date", "gap_pct", "filled")
 
 
 @query(f"""WITH {PANEL},
