@@ -476,6 +476,16 @@ def test_urls_and_rules(spark):
     assert url_reputation.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_every_rule_says_its_word(spark):
+    rules = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+    assert {(host, path): what for what, host, path in url_reputation.RULES} == rules
+    bad = [(i, f"http://b.net/fr/{i}") for i in range(60)]  # a host that is blocked where no rule fits
+    pages = spark.createDataFrame([*bad, (100, "http://b.net/de/1"), (101, "http://x.example.net/de/7"), (102, "http://x.example.net/de/81")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, 1) for i, _ in bad], "page_id long, bad int")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_reputation.filter_urls(pages, outcomes).collect()}
+    assert got[0] == (None, "block") and got[100] == got[101] == ("net/de/", "allow") and got[102] == ("example.net/de/8", "block")
+
+
 def test_reputation_shrinks_to_the_parents(spark):
     rows = [("bad.a.com", 1)] * 60 + [("good.a.com", 0)] * 60 + [("new.a.com", None)] + [("one.b.org", 1)]
     got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
