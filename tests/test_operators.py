@@ -248,3 +248,18 @@ def test_ratios_refuse(spark):
     assert [(r.r.value, r.r.refusal) for r in df.select(reading("pe").alias("r")).collect()] == [(5.0, None), (None, "not_positive"), (None, "not_positive"), (None, "missing_input")]
     df = spark.createDataFrame([(1.0, 0.0)], "current_assets double, current_liabilities double")
     assert df.select(reading("current_ratio").alias("r")).first().r.refusal == "zero_denominator"
+
+
+def test_values_dealt_by_hash(spark):
+    from hashlib import md5
+
+    rows = [(m, k, dt.date(2024, m, 1 + k), (k * 7 % 5) - 2.0, float(k * k + m)) for m in (1, 2) for k in range(20)]
+    df = spark.createDataFrame(rows, "month int, entity_id long, date date, mom double, fwd double").repartition(5)
+    got = {r.seed: (r.mean, r.n) for r in stats.dealt_means(df, "month", ["entity_id", "date"], "mom", "fwd", [1, 2]).collect()}
+    for seed in (1, 2):
+        kept = []
+        for m in (1, 2):
+            group = sorted(r for r in rows if r[0] == m)
+            dealt = sorted(group, key=lambda r: md5(f"{seed}:{r[1]}:{r[2]}".encode()).hexdigest())
+            kept += [b[4] for a, b in zip(group, dealt, strict=True) if a[3] > 0]
+        assert got[seed] == (pytest.approx(sum(kept) / len(kept)), 40)

@@ -78,12 +78,7 @@ SELECT seed, round(avg(fwd) FILTER (WHERE mom > 0), 6) AS placebo_mean, count(*)
 def placebo_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signal's mean return with returns dealt anew within each month, ten times; the shuffle is an order by hash, the same wherever it runs."""
     e = factor_panel(spark, sf_dir).select("entity_id", "date", F.to_date(F.date_trunc("month", "date")).alias("month"), "fwd", "mom")
-    e = e.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("seed", F.col("seed").cast("long"))
-    by = Window.partitionBy("seed", "month")
-    key = F.md5(F.concat_ws(":", "seed", "entity_id", "date").cast("binary"))
-    a = e.select("seed", "month", "mom", F.row_number().over(by.orderBy("entity_id", "date")).alias("k"))
-    b = e.select("seed", "month", "fwd", F.row_number().over(by.orderBy(key, "entity_id", "date")).alias("k"))
-    return a.join(b, ["seed", "month", "k"]).groupBy("seed").agg(rounded(F.avg(F.when(F.col("mom") > 0, F.col("fwd"))), 6).alias("placebo_mean"), F.count("*").alias("n"))
+    return stats.dealt_means(e, "month", ["entity_id", "date"], "mom", "fwd", range(1, 11)).select("seed", rounded("mean", 6).alias("placebo_mean"), "n")
 
 
 @query(f"""WITH {MONTHLY}, c AS (SELECT period, regr_slope(fwd, mom) AS b FROM x GROUP BY 1 HAVING count(*) >= 20), d AS (SELECT period, b - avg(b) OVER () AS d, count(*) OVER () AS n, avg(b) OVER () AS mean, row_number() OVER (ORDER BY period) AS i FROM c),
