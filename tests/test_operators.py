@@ -250,6 +250,17 @@ def test_ratios_refuse(spark):
     assert df.select(reading("current_ratio").alias("r")).first().r.refusal == "zero_denominator"
 
 
+def test_sessions_held_without_the_grid(spark):
+    d = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(1, d(0), 1.0), (1, d(4), 2.0), (1, d(5), None), (1, d(7), None), (2, d(2), None), (2, d(3), 1.0), (2, d(4), 1.0), (3, d(6), None), (None, d(1), 1.0), (None, d(3), 1.0), (9, d(1), 1.0)]
+    p = spark.createDataFrame(rows, "entity_id long, date date, close double")
+    cal = temporal.sessions(p, "date")  # 0 to 7
+    plan = temporal.held_sessions(p, cal)
+    got = {r.entity_id: (r.n_sessions, r.n_held, r.longest_gap) for r in plan.collect()}
+    assert got == {1: (8, 2, 3), 2: (3, 2, 0), 3: (1, 0, None), None: (3, 0, None), 9: (1, 1, 0)}
+    assert not re.search("NestedLoop|CartesianProduct", plan._jdf.queryExecution().executedPlan().toString())
+
+
 def test_values_dealt_by_hash(spark):
     from hashlib import md5
 

@@ -153,3 +153,19 @@ def densify(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     cal = F.broadcast(calendar)
     grid = span.join(cal, (cal["date"] >= span["lo"]) & (cal["date"] <= span["hi"])).select("entity_id", "date", "i")
     return grid.join(prices, ["entity_id", "date"], "left")
+
+
+def held_sessions(prices: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(entity_id, n_sessions, n_held, longest_gap): what `densify` would show of each entity, from the rows that there are.
+
+    A gap is the number of sessions since the last one with a close; between two rows it is longest on the session before the
+    second, so the grid itself is not made.
+    """
+    # without an entity nothing is held, as no row of the grid equals it
+    close = F.when(F.col("entity_id").isNotNull(), F.col("close"))
+    p = prices.join(F.broadcast(calendar), "date").select("entity_id", "i", close.isNotNull().alias("_held"))
+    earlier = Window.partitionBy("entity_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_held"), F.col("i")), ignorenulls=True).over(earlier)
+    gap = F.when(F.col("_held"), F.coalesce(F.col("i") - last - 1, F.lit(0))).otherwise(F.col("i") - last)
+    counts = (F.max("i") - F.min("i") + 1).cast("long").alias("n_sessions"), F.count_if("_held").alias("n_held")
+    return p.withColumn("_gap", gap).groupBy("entity_id").agg(*counts, F.max("_gap").alias("longest_gap"))
