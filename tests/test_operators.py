@@ -274,3 +274,13 @@ def test_values_dealt_by_hash(spark):
             dealt = sorted(group, key=lambda r: md5(f"{seed}:{r[1]}:{r[2]}".encode()).hexdigest())
             kept += [b[4] for a, b in zip(group, dealt, strict=True) if a[3] > 0]
         assert got[seed] == (pytest.approx(sum(kept) / len(kept)), 40)
+
+
+def test_equal_turnovers_share_a_place(spark, tmp_path):
+    from tidemark.queries import relations
+
+    # 0.1 + 0.2 + 0.3 is another number from 0.3 + 0.2 + 0.1; the days are what is added up
+    day = lambda k: dt.datetime(2024, 1, 1 + k)
+    lines = [(e, 1.0, v, "N", day(k)) for e in range(1, 41) for k, v in enumerate([0.1, 0.2, 0.3] if e % 2 else [0.3, 0.2, 0.1])]
+    spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.place for r in relations.size_buckets(spark, str(tmp_path)).collect()} == {1}

@@ -171,12 +171,12 @@ def last_four_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).withColumn("age", age.cast("long")).where("age <= 4").select("entity_id", "filed", "amount", "age")
 
 
-@query(f"""WITH {PANEL}, m AS (SELECT entity_id, date_trunc('month', date)::DATE AS month, sum(turnover) AS t FROM panel GROUP BY 1, 2)
+@query(f"""WITH {PANEL}, m AS (SELECT entity_id, date_trunc('month', date)::DATE AS month, round(sum(turnover), 2) AS t FROM panel GROUP BY 1, 2)
 SELECT entity_id, month, rank() OVER (PARTITION BY month ORDER BY t DESC) AS place, CASE WHEN row_number() OVER (PARTITION BY month ORDER BY t DESC, entity_id) <= 100 THEN 'LARGE'
 WHEN row_number() OVER (PARTITION BY month ORDER BY t DESC, entity_id) <= 250 THEN 'MID' ELSE 'SMALL' END AS bucket FROM m""")
 def size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of each month by turnover; a month is at most one row an entity."""
-    monthly = panel(spark, sf_dir).groupBy("entity_id", F.to_date(F.date_trunc("month", "date")).alias("month")).agg(F.sum("turnover").alias("t"))
+    """Entities of each month by turnover in cents, the smaller first of equal ones; a month is at most one row an entity."""
+    monthly = panel(spark, sf_dir).groupBy("entity_id", F.to_date(F.date_trunc("month", "date")).alias("month")).agg(rounded(F.sum("turnover"), 2).alias("t"))
     place = F.row_number().over(Window.partitionBy("month").orderBy(F.col("t").desc(), "entity_id"))
     bucket = F.when(place <= 100, "LARGE").when(place <= 250, "MID").otherwise("SMALL")
     return monthly.select("entity_id", "month", F.rank().over(Window.partitionBy("month").orderBy(F.col("t").desc())).cast("long").alias("place"), bucket.alias("bucket"))
