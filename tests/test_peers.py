@@ -67,3 +67,12 @@ def test_neighbours_with_missing_features_and_ties(spark, rows):
     assert {r["id"]: (r["n"], pytest.approx(r["baseline"], abs=1e-8)) for r in baselines.collect()} == base
     flat = peers.robust_z(spark.createDataFrame([(1, 2.0, 1.0), (2, 2.0, 1.0), (3, 2.0, 5.0)], "id long, a double, b double"), "id", {"x": ("a", "b")})
     assert [r["a"] for r in flat.collect()] == [0.0, 0.0, 0.0]
+
+
+def test_quantiles_by_a_column_of_any_name(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.gauss(0, 1)) for g in "xy" for _ in range(3000)]
+    want = {g: np.quantile([v for h, v in rows if h == g], [0.1, 0.5]).tolist() for g in "xy"}
+    for by in ("f", "a", "b", "at", "lo", "hi"):
+        got = exact_quantiles(spark.createDataFrame(rows, f"{by} string, v double"), [by], "v", [0.1, 0.5], small=1000)
+        assert {r[by]: r["q"] for r in got.collect()} == {g: pytest.approx(q, abs=1e-12) for g, q in want.items()}

@@ -24,24 +24,28 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence
     margin = 3.0 / ACCURACY
     edges = [float(p) for q in qs for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
     sizes = given.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_e"))
-    large = sizes.where(F.col("_n") > small)
+    # one row for `small` values at least, so it is looked up once and sent to all tasks
+    found_large = sizes.where(F.col("_n") > small)
+    held = found_large.collect()
     exact = lambda df: df.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    if not large.head(1):
+    if not held:
         return exact(given).drop("_all")
-    wanted = [F.struct(F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for i, q in enumerate(qs)]
+    large = rows.sparkSession.createDataFrame(held, found_large.schema)
+    # names of its own: a group's column may be called anything
+    wanted = [F.struct(F.get("_e", F.lit(2 * i)).alias("_lo"), F.get("_e", F.lit(2 * i + 1)).alias("_hi"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_at")) for i, q in enumerate(qs)]
     brackets = large.select(*keys, F.posexplode(F.array(*wanted)).alias("_i", "_w")).select(*keys, "_i", "_w.*")
-    met = given.join(brackets, keys)
+    met = given.join(F.broadcast(brackets), keys)
     key = [*keys, "_i"]
-    below = met.groupBy(*key).agg(F.count_if(F.col("_v") < F.col("lo")).alias("_below"))
-    inside = met.where(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*key, "_v").agg(F.count("*").alias("_c"), F.first("at").alias("at"))
+    below = met.groupBy(*key).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    inside = met.where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*key, "_v").agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))
     upto = F.sum("_c").over(Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = inside.withColumn("_to", upto).join(below, key).withColumn("_to", F.col("_to") + F.col("_below"))
+    placed = inside.withColumn("_to", upto).join(F.broadcast(below), key).withColumn("_to", F.col("_to") + F.col("_below"))
     # the first value whose running count passes a rank (from 0) stands at it
     at = lambda rank: F.min(F.when(F.col("_to") > rank, F.col("_v")))
-    found = placed.groupBy(*key).agg(at(F.floor("at")).alias("a"), at(F.ceil("at")).alias("b"), F.first(F.col("at") - F.floor("at")).alias("f"))
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    found = placed.groupBy(*key).agg(at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"), F.first(F.col("_at") - F.floor("_at")).alias("_f"))
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
     q = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", value_at.alias("v")))).alias("_q")).select(*keys, F.col("_q.v").alias("q"))
-    return q.unionByName(exact(given.join(large, keys, "left_anti"))).drop("_all")
+    return q.unionByName(exact(given.join(F.broadcast(large), keys, "left_anti"))).drop("_all")
 
 
 #: Ranges that a group's values are cut into for ranking.
