@@ -76,3 +76,13 @@ def test_quantiles_by_a_column_of_any_name(spark):
     for by in ("f", "a", "b", "at", "lo", "hi"):
         got = exact_quantiles(spark.createDataFrame(rows, f"{by} string, v double"), [by], "v", [0.1, 0.5], small=1000)
         assert {r[by]: r["q"] for r in got.collect()} == {g: pytest.approx(q, abs=1e-12) for g, q in want.items()}
+
+
+def test_mean_similarities_without_all_pairs(spark):
+    rng = random.Random(8)
+    z = {k: [None if rng.random() < 0.3 else rng.gauss(0, 1) for _ in NAMES] for k in range(60)}
+    z |= {100 + k: [0.0] * 6 for k in range(3)} | {110: [None] * 6, 111: [1e-7] * 6, 112: [2e-7, -1e-7, 1e-7, 0.0, None, 1e-7], 113: [4e-4] * 6, 114: [5e-4, None, 3e-4, 1e-4, 0.0, 0.0]}
+    _, base = brute(z, 1, 4)
+    df = spark.createDataFrame([(k, *row) for k, row in z.items()], "id long, " + ", ".join(f"{f} double" for f in NAMES))
+    plan = peers.mean_similarities(df, "id", FAMILIES, 4, 0.5, 2)
+    assert {r["id"]: (r["n"], pytest.approx(r["baseline"], abs=1e-8)) for r in plan.collect()} == base

@@ -69,8 +69,7 @@ def peer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FEATURES} SELECT id, count(*) AS n, round(avg(sim), 6) AS baseline FROM pr GROUP BY 1")
 def peer_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike a customer is to all that it can be compared with."""
-    _, baselines = peers.neighbours(_features(spark, sf_dir), "id", FAMILIES, 10)
-    return baselines.withColumn("baseline", rounded("baseline", 6))
+    return peers.mean_similarities(_features(spark, sf_dir).persist(), "id", FAMILIES).withColumn("baseline", rounded("baseline", 6))
 
 
 @query("""WITH u AS (SELECT vec_id % 60 AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM u),
