@@ -116,7 +116,7 @@ def streamed_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = products.running_products(spark.readStream.schema(whole.schema).parquet(f"{folder}/in"), KEEP)
     for begin in range(0, (ends["n"] if ends["n"] is not None else -1) + 1, PER_RUN):
         since = F.datediff("delivered", F.lit(ends["a"]))
-        whole.where((since >= begin) & (since < begin + PER_RUN)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        whole.where((since >= begin) & (since < begin + PER_RUN)).write.mode("append").parquet(f"{folder}/in")
         products.run_delivery(stream, folder)
     last = products.latest(spark, folder, stream.schema)
     return last.select(F.col("key").alias("user_id"), F.col("n").cast("long").alias("n"), rounded(products.correlation(), 6).alias("r"), "refused")
