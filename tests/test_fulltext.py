@@ -132,3 +132,14 @@ def test_searches_in_one_pass_equal_the_index(spark, monkeypatch, stemmed):
 def test_queries_shuffle_only_what_is_found(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_distinctive_terms_shuffle_no_single_words_of_documents(spark):
+    """Rows of one document count it once, and the words are not grouped by document."""
+    from tidemark.operators import search
+
+    rows = [("a", 1, "x x y"), ("a", 1, "x z"), ("a", 2, "y"), ("b", 3, "w w"), ("b", 4, "v"), ("b", 5, None), ("b", None, "w")]
+    found = search.distinctive_terms(spark.createDataFrame(rows, "lang string, doc_id long, text string").where("text is not null"), "lang", 0.5, 9)
+    assert {(r["lang"], r["term"]): (r["tf"], r["docs"]) for r in found.collect()} == {("a", "x"): (3, 1), ("a", "y"): (2, 2), ("a", "z"): (1, 1), ("b", "w"): (3, 2), ("b", "v"): (1, 1)}
+    plan = QUERIES["distinctive_terms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[lang#\d+, doc_id#\d+L?, term", plan)

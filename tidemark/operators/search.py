@@ -79,9 +79,10 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def distinctive_terms(docs: DataFrame, group: str, most_share: float, top: int) -> DataFrame:
     """The terms of highest TF-IDF of each group, without those that more than a share of all documents have."""
-    rows = docs.select(group, "doc_id", F.explode(tokens("text")).alias("term"))
-    per_doc = rows.groupBy(group, "doc_id", "term").agg(F.count("*").alias("tf"))
-    per_group = per_doc.groupBy(group, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs"))
+    # a document's words meet before they are cut apart, so that its text is shuffled and not its words
+    whole = docs.groupBy(group, "doc_id").agg(F.flatten(F.collect_list(tokens("text"))).alias("w"))
+    words = F.explode(F.concat(F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("docs"))), F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("docs")))))
+    per_group = whole.select(group, words.alias("e")).groupBy(group, "e.term").agg(F.sum("e.tf").alias("tf"), F.sum("e.docs").alias("docs"))
     n = docs.count()
     df = per_group.groupBy("term").agg(F.sum("docs").alias("df")).where(F.col("df") <= most_share * n)
     score = F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))
