@@ -80,3 +80,18 @@ def test_bootstrap_and_permutation_equal_loops(spark):
     assert row["observed"] == pytest.approx(observed) and row["n_draws"] == 50
     assert row["p"] == pytest.approx((1 + sum(abs(x) >= abs(observed) for x in drawn)) / 51)
     assert matrix.permutation_p(df.where(F.col("marked")), "marked", "value", 5, 1).count() == 0
+
+
+def test_a_dealt_left_is_shuffled_once_and_pairs_are_not(spark, capsys):
+    lines = spark.createDataFrame([(k, t, v) for k, t, v in made(40, 6, 0.5) for _ in range(2)], "key long, t int, value double")
+    right = spark.createDataFrame([(str(k), t, v) for k, t, v in made(3, 7, 0.9)], "key string, t int, value double").localCheckpoint()
+    left = matrix.standardised(matrix.dealt(lines, "key", 8).groupBy("sb", "key", "t").agg(F.sum("value").alias("value")), "key", "value")
+    r = matrix.lagged_correlations(left, right, 4, T)
+    got = {tuple(row)[:3]: row["r"] for row in r.collect()}
+    plain = matrix.lagged_correlations(left.drop("sb"), right, 4, T, tall=16, wide=8)
+    assert got == pytest.approx({tuple(row)[:3]: row["r"] for row in plain.collect()}, abs=1e-9) and len(got) == 40 * 3 * 4
+    r.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[1]
+    # one exchange for all of left; right's two are of its few rows, for its tails and its blocks
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 4

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TALL = 256
@@ -22,20 +22,46 @@ RIDGE = 1e-3
 FLAT = 1e-12
 
 
+#: Rows of a right side (keys by blocks of periods) up to which its blocks go to all executors; beyond, blocks are shuffled.
+BROADCAST_ROWS = 100_000
+#: Blocks of series that lie in one partition.
+TOGETHER = 16
+#: Pairs of one batch that a task gives out.
+BATCH = 1 << 14
+
+
 def standardised(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Values less their key's mean, over its deviation (population) where that isn't 0; flat keys are left out."""
-    moments = rows.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")).where(F.col("_s") > 0)
-    return rows.join(moments, key).withColumn(value, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+    """Values less their key's mean, over its deviation (population) where that isn't 0; flat keys are left out.
+
+    A key has a row a period, so its moments are taken over its rows where they lie, and no row is shuffled again.
+    """
+    of = Window.partitionBy(*["sb"] * ("sb" in rows.columns), key)
+    moments = rows.withColumns({"_m": F.avg(value).over(of), "_s": F.stddev_pop(value).over(of)}).where(F.col("_s") > 0)
+    return moments.withColumn(value, (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def dealt(rows: DataFrame, key: str, wide: int = WIDE) -> DataFrame:
+    """The rows with column sb, about `wide` keys each, shuffled by it once; a group of (sb, key) or (sb, tb) stays in its partition.
+
+    There are more partitions the more keys there are, so that a task holds no more of a larger table.
+    """
+    parts = max(1, -(-(rows.agg(F.approx_count_distinct(key).alias("n")).first()["n"] or 0) // wide))
+    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // TOGETHER)
+    return rows.withColumn("sb", F.pmod(F.xxhash64(key), F.lit(parts))).repartition(partitions, "sb")
 
 
 def _blocks(rows: DataFrame, keys: int, tall: int, wide: int, halo: int = 0) -> DataFrame:
-    """(tb, sb, keys, cells): dense blocks, column by column; with `halo` each also holds that many periods before its own."""
+    """(tb, sb, keys, cells): dense blocks, column by column; with `halo` each also holds that many periods before its own.
+
+    Rows that have a column sb are cut by it.
+    """
     kind = rows.schema["key"].dataType.simpleString()
     parts = max(1, -(-keys // wide))
     tb = F.floor(F.col("t") / tall).cast("long")
     if halo:  # the last periods of a block are the first of the next block's halo, and so on
         tb = F.explode(F.sequence(tb, F.floor((F.col("t") + halo) / tall).cast("long")))
-    cut = rows.select("key", "t", "value", tb.alias("tb"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("sb"))
+    sb = F.col("sb") if "sb" in rows.columns else F.pmod(F.xxhash64("key"), F.lit(parts))
+    cut = rows.select("key", "t", "value", tb.alias("tb"), sb.alias("sb"))
 
     def dense(group: pa.Table) -> pa.Table:
         at = group.column("key").combine_chunks().dictionary_encode()
@@ -47,40 +73,50 @@ def _blocks(rows: DataFrame, keys: int, tall: int, wide: int, halo: int = 0) ->
     return cut.groupBy("tb", "sb").applyInArrow(dense, f"tb long, sb long, keys array<{kind}>, cells binary")
 
 
-def lagged_products(left: DataFrame, right: DataFrame, lags: int, n_left: int, n_right: int, tall: int = TALL, wide: int = WIDE) -> DataFrame:
-    """(key, other, lag, xy): the sum over t of left(t) x right(t - lag), for every pair and every lag below `lags`.
+def _products(a: DataFrame, b: DataFrame, lags: int, periods: int, tall: int, few: bool, factors: np.ndarray | None = None) -> DataFrame:
+    """(key, other, x_0, xx_0, xy_0, ...): one row a pair that meets, with the sums of each lag in columns.
 
-    left and right: rows (key, t, value), about n_left and n_right keys. Pairs that never meet may be missing.
+    a, b: _blocks() of left and (with lags - 1 as halo) of right. x and xx are sums of left and its squares from period `lag` on, and
+    xf<k>_<lag> those of left times the k-th factor (columns of `factors`, a row a period). Where all periods are one block every
+    pair meets once and nothing is shuffled; `few` sends the blocks of right to all executors.
     """
-    a = _blocks(left, n_left, tall, wide).select("tb", "keys", "cells")
-    b = _blocks(right, n_right, tall, wide, lags - 1).select("tb", F.col("keys").alias("others"), F.col("cells").alias("other_cells"))
+    a, b = a.select("tb", "keys", "cells"), b.select("tb", F.col("keys").alias("others"), F.col("cells").alias("other_cells"))
     kinds = a.schema["keys"].dataType.elementType.simpleString(), b.schema["others"].dataType.elementType.simpleString()
+    size = 0 if factors is None else factors.shape[1]
+    names = [f"{k}_{lag}" for lag in range(lags) for k in ("x", "xx", *[f"xf{i}" for i in range(size)], "xy")]
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, others = batch.column(0)[k].values, batch.column(2)[k].values
-                x = np.frombuffer(batch.column(1)[k].as_buffer()).reshape(tall, len(keys))
-                y = np.frombuffer(batch.column(3)[k].as_buffer()).reshape(tall + lags - 1, len(others))
-                one, two = np.arange(len(keys), dtype=np.int32), np.arange(len(others), dtype=np.int32)
-                for lag in range(lags):
-                    sums = x.T @ y[lags - 1 - lag : lags - 1 - lag + tall]
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(np.repeat(one, len(others)))), others.take(pa.array(np.tile(two, len(keys)))), pa.array(np.full(sums.size, lag, np.int32)), pa.array(sums.ravel())],
-                        ["key", "other", "lag", "xy"],
-                    )
-
-    met = a.join(b, "tb").select("keys", "cells", "others", "other_cells")
-    return met.mapInArrow(multiply, f"key {kinds[0]}, other {kinds[1]}, lag int, xy double").groupBy("key", "other", "lag").agg(F.sum("xy").alias("xy"))
-
-
-def _tails(rows: DataFrame, lags: int, periods: int, extra: dict[str, Column], lead: bool) -> DataFrame:
-    """(key, lag, n, x, xx, ...): sums over the periods from `lag` on (lead), or up to `lag` before the end."""
-    sums = {"x": F.col("value"), "xx": F.col("value") * F.col("value"), **extra}
-    inside = [F.col("t") >= lag if lead else F.col("t") < periods - lag for lag in range(lags)]
-    flat = [F.sum(F.when(inside[lag], c).otherwise(0.0)).alias(f"{k}_{lag}") for lag in range(lags) for k, c in sums.items()]
-    per_lag = F.array(*[F.struct(F.lit(lag).alias("lag"), F.lit(periods - lag).alias("n"), *[F.col(f"{k}_{lag}").alias(k) for k in sums]) for lag in range(lags)])
-    return rows.groupBy("key").agg(*flat).select("key", F.inline(per_lag))
+                keys, others = batch.column(1)[k].values, batch.column(3)[k].values
+                x = np.frombuffer(batch.column(2)[k].as_buffer()).reshape(tall, len(keys))
+                y = np.frombuffer(batch.column(4)[k].as_buffer()).reshape(tall + lags - 1, len(others))
+                first = batch.column(0)[k].as_py() * tall
+                f = np.zeros((tall, size))
+                if size:
+                    held = factors[first : first + tall]
+                    f[: len(held)] = held
+                step, count = max(1, BATCH // len(others)), len(others)
+                for low in range(0, len(keys), step):
+                    part = x[:, low : low + step]
+                    n = part.shape[1]
+                    sums = []
+                    for lag in range(lags):
+                        later = part[max(lag - first, 0) :]
+                        own = [later.sum(0), (later * later).sum(0), *(later.T @ f[max(lag - first, 0) :]).T]
+                        sums += [pa.array(np.repeat(v, count)) for v in own] + [pa.array((part.T @ y[lags - 1 - lag : lags - 1 - lag + tall]).ravel())]
+                    one, two = np.repeat(np.arange(low, low + n, dtype=np.int32), count), np.tile(np.arange(count, dtype=np.int32), n)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(one)), others.take(pa.array(two)), *sums], ["key", "other", *names])
+
+    met = a.join(F.broadcast(b) if few else b, "tb")
+    found = met.mapInArrow(multiply, f"key {kinds[0]}, other {kinds[1]}, " + ", ".join(f"{c} double" for c in names))
+    return found if periods <= tall else found.groupBy("key", "other").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _tails(rows: DataFrame, lags: int, periods: int) -> DataFrame:
+    """(key, y_0, yy_0, ...): sums of values and of their squares over the periods up to `lag` before the end."""
+    sums = {"y": F.col("value"), "yy": F.col("value") * F.col("value")}
+    return rows.groupBy("key").agg(*[F.sum(F.when(F.col("t") < periods - lag, c).otherwise(0.0)).alias(f"{k}_{lag}") for lag in range(lags) for k, c in sums.items()])
 
 
 def _correlation(n: Column, xy: Column, x: Column, xx: Column, y: Column, yy: Column) -> Column:
@@ -93,55 +129,53 @@ def lagged_correlations(left: DataFrame, right: DataFrame, lags: int, periods: i
 
     With `factors` (keys of `right`, few), left is first freed of them: its ridge regression on the factors, standardised
     over all periods, is subtracted. The residuals are never made: their sums follow from those of left, of the
-    factors and of right. What comes to the driver is the square of the factors.
+    factors and of right. What comes to the driver is the factors, a row a period. A left that is dealt() already isn't shuffled again.
     """
-    n_left, n_right = left.select("key").distinct().count(), right.select("key").distinct().count()
-    extra, names = {}, [f"f{k}" for k in range(len(factors))]
-    rows = left
-    if factors:
-        wide_f = _factor_columns(right, factors, periods)
-        rows = left.join(wide_f, "t")
-        extra = {f"x{f}": F.col("value") * F.col(f) for f in names}
-    own = _tails(rows, lags, periods, extra, True)
-    other = _tails(right, lags, periods, {}, False).select(F.col("key").alias("other"), "lag", F.col("x").alias("y"), F.col("xx").alias("yy"))
-    products = lagged_products(left, right, lags, n_left, n_right, tall, wide)
-    pairs = own.join(other, "lag").join(products, ["key", "other", "lag"], "left").fillna(0.0, ["xy"])
+    n_left = 0 if "sb" in left.columns else left.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
+    n_right = right.select("key").distinct().count()
+    blocks = -(-periods // tall)
+    few = n_right * blocks <= BROADCAST_ROWS
+    # a zero in every block of periods, so that each pair meets
+    zeros = right.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).select("key", (F.col("_b") * tall).cast(right.schema["t"].dataType).alias("t"), F.lit(0.0).alias("value"))
+    a, b = _blocks(left, n_left, tall, wide), _blocks(right.select("key", "t", "value").unionAll(zeros), n_right, tall, wide, lags - 1)
+    f = _factor_rows(right, factors, periods) if factors else None
+    other = _tails(right, lags, periods).withColumnRenamed("key", "other")
+    size = len(factors)
     c = F.col
-    if not factors:
-        return pairs.select("key", "other", "lag", "n", _correlation(c("n"), c("xy"), c("x"), c("xx"), c("y"), c("yy")).alias("r"))
-    # sums of the factors alone: with each other and with right, for every lag
-    as_left = wide_f.select("t", F.stack(F.lit(len(names)), *[v for k, f in enumerate(names) for v in (F.lit(k), F.col(f))]).alias("key", "value"))
-    squares = [f"{a}{b}" for i, a in enumerate(names) for b in names[i:]]
-    cells = [F.sum(F.when(c("t") >= lag, v).otherwise(0.0)).alias(f"{k}_{lag}") for lag in range(lags) for k, v in {**{f: c(f) for f in names}, **{f"{a}{b}": c(a) * c(b) for i, a in enumerate(names) for b in names[i:]}}.items()]
-    alone = wide_f.agg(*cells).first().asDict()
-    size = len(names)
-    gram = np.array([[alone[f"{names[min(i, j)]}{names[max(i, j)]}_0"] for j in range(size)] for i in range(size)]) + ridge * np.eye(size)
-    inverse = np.linalg.inv(gram)
-    with_right = lagged_products(as_left, right, lags, size, n_right, tall, wide)
-    fy = with_right.groupBy("other", "lag").pivot("key", list(range(size))).agg(F.first("xy"))
-    fy = fy.select("other", "lag", *[F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"y{f}") for k, f in enumerate(names)])
-    spread = rows.sparkSession.createDataFrame([(lag, *(alone[f"{k}_{lag}"] for k in [*names, *squares])) for lag in range(lags)], "lag int, " + ", ".join(f"s_{k} double" for k in [*names, *squares]))
+    at = lambda name, lag: c(f"{name}_{lag}")
+    if factors:
+        # sums of the factors alone, and of the factors with right, for every lag
+        alone = [(f[lag:].sum(0), f[lag:].T @ f[lag:]) for lag in range(lags)]
+        inverse = np.linalg.inv(f.T @ f + ridge * np.eye(size))
+        spark = right.sparkSession
+        as_rows = spark.createDataFrame([(t, *map(float, f[t])) for t in range(periods)], "_ft long, " + ", ".join(f"f{k} double" for k in range(size)))
+        moved = right.select("key", "value", F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("lag"), "t").withColumn("_ft", (c("t") + c("lag")).cast("long"))
+        with_right = moved.join(F.broadcast(as_rows), "_ft").groupBy(c("key").alias("other")).agg(*[F.sum(F.when(c("lag") == lag, c("value") * c(f"f{k}")).otherwise(0.0)).alias(f"yf{k}_{lag}") for lag in range(lags) for k in range(size)])
+        other = other.join(with_right, "other", "left").fillna(0.0)
+    pairs = _products(a, b, lags, periods, tall, few, f).join(F.broadcast(other) if few else other, "other")
     # one coefficient a factor and series, from the sums over all periods
-    betas = own.where("lag = 0").select("key", *[sum((c(f"x{g}") * float(inverse[i, j]) for j, g in enumerate(names)), F.lit(0.0)).alias(f"b{f}") for i, f in enumerate(names)])
-    whole = pairs.join(betas, "key").join(fy, ["other", "lag"], "left").join(F.broadcast(spread), "lag").fillna(0.0, [f"y{f}" for f in names])
-    b = {f: c(f"b{f}") for f in names}
-    x = c("x") - sum((b[f] * c(f"s_{f}") for f in names), F.lit(0.0))
-    cross = sum((b[f] * c(f"x{f}") for f in names), F.lit(0.0))
-    square = sum((b[f] * b[g] * c(f"s_{f}{g}" if i <= j else f"s_{g}{f}") for i, f in enumerate(names) for j, g in enumerate(names)), F.lit(0.0))
-    xx = c("xx") - 2 * cross + square
-    xy = c("xy") - sum((b[f] * c(f"y{f}") for f in names), F.lit(0.0))
-    return whole.select("key", "other", "lag", "n", _correlation(c("n"), xy, x, xx, c("y"), c("yy")).alias("r"))
-
-
-def _factor_columns(right: DataFrame, factors: Sequence[str], periods: int) -> DataFrame:
-    """(t, f0, f1, ...) for every period: the factors less their mean, over their deviation; a period without a row counts 0."""
-    n = float(periods)
-    chosen = right.where(F.col("key").isin(list(factors)))
-    m = {r["key"]: (r["s"] / n, (max(r["ss"] / n - (r["s"] / n) ** 2, 0.0)) ** 0.5 or 1.0) for r in chosen.groupBy("key").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")).collect()}
-    there = chosen.groupBy("t").agg(*[F.sum(F.when(F.col("key") == f, F.col("value")).otherwise(0.0)).alias(f"f{k}") for k, f in enumerate(factors)])
-    all_t = right.sparkSession.range(periods).select(F.col("id").alias("t"))
-    filled = all_t.join(there.withColumn("t", F.col("t").cast("long")), "t", "left").fillna(0.0)
-    return filled.select("t", *[((F.col(f"f{k}") - m.get(f, (0.0, 1.0))[0]) / m.get(f, (0.0, 1.0))[1]).alias(f"f{k}") for k, f in enumerate(factors)])
+    betas = [sum((at(f"xf{j}", 0) * float(inverse[i, j]) for j in range(size)), F.lit(0.0)).alias(f"b{i}") for i in range(size)]
+    if betas:
+        pairs = pairs.select("*", *betas)
+    rows = []
+    for lag in range(lags):
+        x, xx, xy = at("x", lag), at("xx", lag), at("xy", lag)
+        for i in range(size):
+            xx = xx - 2 * c(f"b{i}") * at(f"xf{i}", lag) + sum((c(f"b{i}") * c(f"b{j}") * float(alone[lag][1][i, j]) for j in range(size)), F.lit(0.0))
+            x, xy = x - c(f"b{i}") * float(alone[lag][0][i]), xy - c(f"b{i}") * at(f"yf{i}", lag)
+        n = F.lit(periods - lag)
+        rows.append(F.struct(F.lit(lag).alias("lag"), n.alias("n"), _correlation(n, xy, x, xx, at("y", lag), at("yy", lag)).alias("r")))
+    return pairs.select("key", "other", F.inline(F.array(*rows)))
+
+
+def _factor_rows(right: DataFrame, factors: Sequence[str], periods: int) -> np.ndarray:
+    """A row for every period, a column a factor: less its mean, over its deviation; a period without a row counts 0."""
+    chosen = right.where(F.col("key").isin(list(factors))).groupBy("t").agg(*[F.sum(F.when(F.col("key") == f, F.col("value")).otherwise(0.0)) for f in factors])
+    rows = np.zeros((periods, len(factors)))
+    for t, *values in chosen.collect():
+        rows[t] = values
+    spread = rows.std(0)
+    return (rows - rows.mean(0)) / np.where(spread > 0, spread, 1.0)
 
 
 # ---- chance
