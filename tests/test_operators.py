@@ -284,3 +284,28 @@ def test_equal_turnovers_share_a_place(spark, tmp_path):
     lines = [(e, 1.0, v, "N", day(k)) for e in range(1, 41) for k, v in enumerate([0.1, 0.2, 0.3] if e % 2 else [0.3, 0.2, 0.1])]
     spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.place for r in relations.size_buckets(spark, str(tmp_path)).collect()} == {1}
+
+
+def test_edges_of_groups_are_sent_to_rows_and_not_rows_to_groups(spark, capsys):
+    rows = spark.createDataFrame([(k % 2, float(k), float(k * 7 % 50)) for k in range(100)], "g int, f double, t double")
+    cut = relational.quantile_cut(rows, ["g"], "f", 4, "part")
+    assert {r["part"] for r in cut.collect()} == {1, 2, 3, 4}
+    cut.explain()
+    ranked = stats.average_ranks(rows, ["g"], "f", "r")
+    assert sorted(r["r"] for r in ranked.where("g = 0").collect()) == [float(k) for k in range(1, 51)]
+    # each side of the join is met where it is read
+    assert "SortMergeJoin" not in capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    few = rows.withColumn("t", F.col("f") % 2)
+    assert stats.rank_ic(few, ["g"], "f", "t").count() == 0
+    assert stats.rank_ic(rows, ["g"], "f", "t").count() == 2
+    assert {r["g"]: r["spread"] for r in stats.quantile_spread(rows.withColumn("t", F.col("f")), ["g"], "f", "t").collect()} == {0: 80.0, 1: 80.0}
+
+
+def test_a_panel_is_dealt_into_more_tasks_the_more_rows_it_has(spark, monkeypatch, tmp_path):
+    from tidemark.queries import base
+
+    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    rows = spark.createDataFrame([(k % 700, dt.datetime(1995, 1, 1 + k % 28), 2.0 * k, 2.0, "R") for k in range(1400)], "l_partkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_returnflag string")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    panel = base.panel(spark, str(tmp_path))
+    assert panel.rdd.getNumPartitions() == 14 and panel.agg(F.sum("volume")).first()[0] == 2800.0

@@ -7,11 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
+
+#: Groups up to which a row each is sent to all tasks.
+BROADCAST_GROUPS = 100_000
 #: Values of a group up to which Spark's own exact percentile is taken: a map of that many distinct values.
 SMALL = 100_000
 ACCURACY = 10_000
 
 
+def looked_up(groups: DataFrame) -> DataFrame:
+    """One row a group, made once, counted, and sent to all tasks up to a bound: so rows are not gathered by a few large groups."""
+    made = staged(groups)
+    return F.broadcast(made) if made.count() <= BROADCAST_GROUPS else made
+
+
 def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], small: int = SMALL) -> DataFrame:
     """(by..., q): an array of the quantiles `qs`, between neighbours in proportion; nulls don't count.
 
@@ -59,7 +69,7 @@ def average_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str, ran
     in one range, so any cut gives the same ranks.
     """
     cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("_cuts"))
-    ranged = rows.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    ranged = rows.join(looked_up(cuts), list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
     equal = ranged.where(F.col(value).isNotNull()).groupBy(*by, "_range", value).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     sizes = equal.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))

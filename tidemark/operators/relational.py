@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, looked_up
 
 
 def multiset_except(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,4 +43,4 @@ def quantile_cut(rows: DataFrame, by: Sequence[str], value: str, parts: int, nam
     """Which of `parts` value ranges a row is in, from 1: edges are interpolated percentiles of its group,
     a value on an edge is in the lower range, and equal edges are one."""
     edges = exact_quantiles(rows, by, value, [k / parts for k in range(1, parts)]).select(*by, F.array_distinct("q").alias("_edges"))
-    return rows.join(edges, list(by)).withColumn(name, F.size(F.filter("_edges", lambda e: F.col(value) > e)) + 1).drop("_edges")
+    return rows.join(looked_up(edges), list(by)).withColumn(name, F.size(F.filter("_edges", lambda e: F.col(value) > e)) + 1).drop("_edges")

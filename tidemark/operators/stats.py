@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import average_ranks, exact_quantiles
+from .graph import staged
+from .quantiles import average_ranks, exact_quantiles, looked_up
 from .relational import quantile_cut
 
 
@@ -29,18 +30,20 @@ def winsor_z(rows: DataFrame, by: Sequence[str], value: str, tail: float = 0.01)
 
 def rank_ic(rows: DataFrame, by: Sequence[str], factor: str, target: str, least: int = 20) -> DataFrame:
     """Rank correlation of a factor with a target in each group that has enough pairs and more than two values of each."""
-    both = rows.where(F.col(factor).isNotNull() & F.col(target).isNotNull())
-    ranked = average_ranks(average_ranks(both, by, factor, "_f"), by, target, "_t")
-    r = ranked.groupBy(*by).agg(F.corr("_f", "_t").alias("ic"), F.count("*").alias("n"), F.count_distinct(factor).alias("_u"), F.count_distinct(target).alias("_v"))
-    return r.where((F.col("n") >= least) & (F.col("_u") > 2) & (F.col("_v") > 2)).drop("_u", "_v")
+    both = staged(rows.where(F.col(factor).isNotNull() & F.col(target).isNotNull()).select(*by, F.col(factor).alias("_a"), F.col(target).alias("_b")))
+    ends = looked_up(both.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in ("_a", "_b") for n, f in (("lo", F.min), ("hi", F.max))]))
+    ranked = average_ranks(staged(average_ranks(both, by, "_a", "_f")), by, "_b", "_t").join(ends, list(by))
+    # a third value lies between the least and the greatest
+    between = lambda c: F.count_if((F.col(c) > F.col(f"{c}_lo")) & (F.col(c) < F.col(f"{c}_hi")))
+    r = ranked.groupBy(*by).agg(F.corr("_f", "_t").alias("ic"), F.count("*").alias("n"), between("_a").alias("_u"), between("_b").alias("_v"))
+    return r.where((F.col("n") >= least) & (F.col("_u") > 0) & (F.col("_v") > 0)).drop("_u", "_v")
 
 
 def quantile_spread(rows: DataFrame, by: Sequence[str], factor: str, target: str, parts: int = 5) -> DataFrame:
     """Mean target of the top value range less that of the bottom one."""
-    cut = quantile_cut(rows.where(F.col(factor).isNotNull() & F.col(target).isNotNull()), by, factor, parts, "_part")
-    top = cut.groupBy(*by).agg(F.max("_part").alias("_top"))
-    mean = lambda which: F.avg(F.when(which, F.col(target)))
-    return cut.join(top, list(by)).groupBy(*by).agg((mean(F.col("_part") == F.col("_top")) - mean(F.col("_part") == 1)).alias("spread"))
+    both = staged(rows.where(F.col(factor).isNotNull() & F.col(target).isNotNull()).select(*by, factor, target))
+    means = quantile_cut(both, by, factor, parts, "_part").groupBy(*by, "_part").agg(F.avg(target).alias("_mean"))
+    return means.groupBy(*by).agg((F.max_by("_mean", "_part") - F.max(F.when(F.col("_part") == 1, F.col("_mean")))).alias("spread"))
 
 
 def hac_t(values: Column, lags: int) -> Column:

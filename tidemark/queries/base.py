@@ -30,13 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+#: Rows that a task is given of a table that is dealt by key.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *keys: str, size: int | None = None) -> DataFrame:
+    """The rows shuffled by keys into as many partitions as their number asks for, so that a task holds no more of a larger table.
+
+    What is grouped or windowed by the keys, alone or with others, is not shuffled again. `size` is the number of rows if it is known.
+    """
+    wanted = (rows.count() if size is None else size) // TASK_ROWS
+    return rows.repartition(max(wanted, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily prices by part: entity_id, date, close (average price), high, low, volume, delivery_qty, turnover."""
+    """Daily prices by part: entity_id, date, close (average price), high, low, volume, delivery_qty, turnover.
+
+    Lines are dealt by part once, and all that follows by part stays in its partition.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     kept = F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0))
+    lines = table(spark, sf_dir, "lineitem")
+    needed = lines.select(F.col("l_partkey").alias("entity_id"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity", "l_returnflag")
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("entity_id"), F.to_date("l_shipdate").alias("date"))
+        dealt(needed, "entity_id", size=lines.count())
+        .groupBy("entity_id", "date")
         .agg(
             (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
             F.max(price).alias("high"),

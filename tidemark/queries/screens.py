@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..operators import matrix
-from ..operators.graph import checkpointed
+from ..operators.graph import staged
 from .base import query, table
 
 LAGS, DRAWS, SEED = 10, 20, 7
@@ -40,7 +40,7 @@ def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int
     kind = F.explode(F.array("o_orderpriority", F.concat(F.lit("status "), "o_orderstatus")))
     right = orders.select(kind.alias("key"), (month("o_orderdate") - ends["a"]).alias("t"), "o_totalprice").groupBy("key", "t").agg(F.sum("o_totalprice").alias("value"))
     # the drivers are a few rows a month and read several times
-    return matrix.standardised(left, "key", "value"), checkpointed(matrix.standardised(right, "key", "value")), ends["b"] - ends["a"] + 1
+    return matrix.standardised(left, "key", "value"), staged(matrix.standardised(right, "key", "value")), ends["b"] - ends["a"] + 1
 
 
 def _shown(r: DataFrame) -> DataFrame:
