@@ -704,3 +704,18 @@ def test_packing_of_repeated_and_missing_ids(spark):
     rows = [(1, "same words", 5), (1, "same words", 6), (None, "no id", 7), (None, None, 8)]
     got = packing.pack(spark.createDataFrame(rows, DOCS + ", length int"), public.path("word_bpe_49k.json")).collect()
     assert len(got) == 4 and sum(r.doc_id is None for r in got) == 2 and len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
+def test_seed_map_is_asked_once_for_all_masks(spark):
+    asked = []
+
+    class Counted:
+        def holds(self, h):
+            asked.append(h)
+            return F.lit(True)
+
+    rows = spark.createDataFrame([(list(range(30)), [True] * 30)], "h array<long>, f array<boolean>").withColumn("g", F.col("f"))
+    starts, seeds = decontamination.document_seeds(Counted(), [1, 5])
+    n = len(rows.withColumn("starts", starts).withColumn("short_starts", F.col("starts")).select(seeds.alias("s")).first()["s"])
+    masks = [*decontamination.MASKS, *decontamination.SHORT_MASKS, "1"]
+    assert n == sum(31 - len(m) for m in masks) and len(asked) == 1

@@ -96,13 +96,13 @@ def document_seeds(wanted_seeds: BitMap, short: list[int]) -> tuple[Column, Colu
                 return fits
 
             places = F.filter(places, whole)
-        keyed = F.transform(places, lambda at: F.struct(seed_key(name, F.col("h"), at, mask).alias("key"), at.alias("at")))
-        return F.filter(keyed, lambda s: wanted_seeds.holds(s["key"]))
+        return F.transform(places, lambda at: F.struct(seed_key(name, F.col("h"), at, mask).alias("key"), at.alias("at")))
 
     masks = [(mask, mask) for mask in MASKS] + [(f"whole{n}", "1" * n) for n in short if n < LEAST_TOKENS]
     if any(n >= LEAST_TOKENS for n in short):
         masks += [(mask, mask, "short_starts", "g") for mask in SHORT_MASKS]
-    return starts, F.concat(none, *[found(*m) for m in masks])
+    # the map is asked once for all masks: each place where it stands is a copy of the constant, in plans, their texts and tasks
+    return starts, F.filter(F.concat(none, *[found(*m) for m in masks]), lambda s: wanted_seeds.holds(s["key"]))
 
 
 def _within(df: DataFrame, row_bytes: Column, most: int = BROADCAST_BYTES) -> DataFrame:
