@@ -309,3 +309,25 @@ def test_a_panel_is_dealt_into_more_tasks_the_more_rows_it_has(spark, monkeypatc
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     panel = base.panel(spark, str(tmp_path))
     assert panel.rdd.getNumPartitions() == 14 and panel.agg(F.sum("volume")).first()[0] == 2800.0
+
+
+def test_rates_of_many_runs_in_step_and_in_pieces(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(books, "STEP", 7)
+    rng, day = random.Random(3), dt.date(2020, 1, 1)
+    flows = [(e, day + dt.timedelta(days=rng.randrange(900)), rng.choice([-1, 1]) * rng.uniform(1, 99)) for e in range(40) for _ in range(1 + e % 9)]
+    got = {r.entity_id: r.xirr for r in books.xirr(spark.createDataFrame(flows, "entity_id long, date date, amount double").coalesce(2)).collect()}
+    assert len(got) == 40
+    for e in range(40):
+        own = [(d, a) for k, d, a in flows if k == e]
+        first = min(d for d, _ in own)
+        npv = lambda rate: sum(a / (1 + rate) ** ((d - first).days / 365) for d, a in own)  # noqa: B023, E731
+        if npv(-0.99) * npv(10.0) >= 0:
+            assert got[e] is None
+        else:
+            lo, hi = -0.99, 10.0
+            for _ in range(80):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if npv(mid) * npv(-0.99) > 0 else (lo, mid)
+            assert got[e] == pytest.approx((lo + hi) / 2, abs=1e-7)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +64,28 @@ def gains_tax(gains: DataFrame, short_rate: float, long_rate: float, exemption:
     return rows.withColumn("tax", short * short_rate + taxed * long_rate)
 
 
+#: Flows that are discounted together in a task.
+STEP = 1 << 18
+
+
+def _halved(years: np.ndarray, amounts: np.ndarray, at: np.ndarray, rounds: int) -> np.ndarray:
+    """The rate of each run of flows that begins at `at` (with an end), by bisection, all runs in step; NaN without a sign change."""
+    size = np.diff(at)
+
+    def npv(rate: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(amounts * np.exp(-years * np.repeat(np.log1p(rate), size)), at[:-1])
+
+    lo, hi = np.full(len(size), -0.99), np.full(len(size), 10.0)
+    low = npv(lo)
+    found = low * npv(hi) < 0
+    for _ in range(rounds):
+        # the lower end only moves to rates whose value has its sign
+        mid = (lo + hi) / 2
+        up = np.sign(npv(mid)) == np.sign(low)
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return np.where(found, (lo + hi) / 2, np.nan)
+
+
 def xirr(flows: DataFrame, rounds: int = 80) -> DataFrame:
     """Yearly internal rate of return of each entity's dated flows, by bisection in [-0.99, 10]; null without a sign change.
 
@@ -66,16 +93,21 @@ def xirr(flows: DataFrame, rounds: int = 80) -> DataFrame:
     """
     daily = flows.groupBy("entity_id", "date").agg(F.sum("amount").alias("amount"))
     listed = daily.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("date", "amount"))).alias("f"))
-
-    def npv(rate: Column) -> Column:
-        years = lambda x: F.datediff(x["date"], F.get("f", F.lit(0))["date"]) / 365
-        return F.aggregate("f", F.lit(0.0), lambda s, x: s + x["amount"] / F.pow(1 + rate, years(x)))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        up = F.signum(npv(mid)) == F.signum(npv(acc["lo"]))
-        return F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(-0.99).alias("lo"), F.lit(10.0).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    return listed.select("entity_id", F.when(npv(F.lit(-0.99)) * npv(F.lit(10.0)) < 0, found).alias("xirr"))
+    years = F.transform("f", lambda x: F.datediff(x["date"], F.get("f", F.lit(0))["date"]) / 365)
+    rows = listed.select("entity_id", years.cast("array<double>").alias("y"), F.transform("f", lambda x: x["amount"].cast("double")).alias("a"))
+    kind = rows.schema["entity_id"].dataType.simpleString()
+
+    def rates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            years, amounts = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+            found, low = [], 0
+            while low < batch.num_rows:
+                high = max(int(np.searchsorted(at, at[low] + STEP, side="right")) - 1, low + 1)
+                high = min(high, batch.num_rows)
+                found.append(_halved(years[at[low] : at[high]], amounts[at[low] : at[high]], at[low : high + 1] - at[low], rounds))
+                low = high
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found), from_pandas=True)], ["entity_id", "xirr"])
+
+    return rows.mapInArrow(rates, f"entity_id {kind}, xirr double")
