@@ -95,3 +95,15 @@ def test_a_dealt_left_is_shuffled_once_and_pairs_are_not(spark, capsys):
     # one exchange for all of left; right's two are of its few rows, for its tails and its blocks
     assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_labels_are_dealt_by_comparing_digits(spark, capsys):
+    df = spark.createDataFrame([(i, i % 5 > 0, float(i % 9)) for i in range(50)], "id long, marked boolean, value double")
+    rows = [(i, float(i % 9)) for i in range(50)]
+    drawn = [[(number(2, k, i) < 0.8 * 2**32, v) for i, v in rows] for k in range(20)]
+    d = [np.mean([v for m, v in x if m]) - np.mean([v for m, v in x if not m]) for x in drawn]
+    p = matrix.permutation_p(df, "marked", "value", 20, 2)
+    row = p.first()
+    assert row["n_draws"] == 20 and row["p"] == pytest.approx((1 + sum(abs(x) >= abs(row["observed"]) - 1e-12 for x in d)) / 21)
+    p.explain()
+    assert "conv(" not in capsys.readouterr().out

@@ -7,6 +7,7 @@ sums over time, which Spark adds up. So a task holds two blocks, and no series a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -229,7 +230,12 @@ def permutation_p(rows: DataFrame, group: str, value: str, n: int, seed: int) ->
     size = rows.agg(F.avg(F.col(group).cast("double")).alias("share"), (F.avg(F.when(F.col(group), F.col(value))) - F.avg(F.when(~F.col(group), F.col(value)))).alias("d")).first()
     if size["d"] is None:
         return rows.sparkSession.createDataFrame([], "observed double, n_draws long, p double")
-    dealt = rows.crossJoin(F.broadcast(draws(rows.sparkSession, n))).withColumn("_in", draw(seed, "draw", "id") < F.lit(size["share"]) * float(1 << 32))
+    # eight hexadecimal digits are below a number as they are below its own digits; beyond all of them is all of ":"
+    bound = math.ceil(size["share"] * float(1 << 32))
+    digits = f"{bound:08x}" if bound < 1 << 32 else ":"
+    hashed = F.md5(F.concat(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":")), F.col("_id")))
+    named = rows.select(group, value, F.col("id").cast("string").alias("_id"))
+    dealt = named.crossJoin(F.broadcast(draws(rows.sparkSession, n))).withColumn("_in", hashed < F.lit(digits))
     mean = lambda c: F.avg(F.when(c, F.col(value)))
     by_draw = dealt.groupBy("draw").agg((mean(F.col("_in")) - mean(~F.col("_in"))).alias("d"))
     as_much = F.count_if(F.abs("d") >= abs(size["d"]) - FLAT)
