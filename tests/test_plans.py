@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,44 @@ def test_more_query_vectors_than_are_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in search.cosine_top_k(v, q, 3).collect()} == once and len(once) == 75
 
 
+def test_nearest_vectors_by_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTORS_BLOCK", 30)
+    monkeypatch.setattr(search, "QUERY_ROWS", 3)
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(60)]
+    vectors += [vectors[3]] * 20 + [[2 * x for x in vectors[4]], [0.0] * 5, [0.0] * 5, None, [1.0, None, 0.0, 0.0, 1.0], [1.0, 2.0], [1e-160] * 5, [1e-200] * 5, [1e200] * 5, [float("nan")] * 5]
+    rng.shuffle(vectors)
+    rows = spark.createDataFrame(list(enumerate(vectors)) + [(None, [1.0] * 5)], "vec_id long, v array<double>")
+
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return total
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return None
+        below = dot(a, a) ** 0.5 * dot(b, b) ** 0.5
+        return dot(a, b) / below if below else None
+
+    def order(found):
+        c = found[1]
+        return (2, 0, found[0]) if c is None else (0, 0, found[0]) if c != c else (1, -c, found[0])
+
+    got = {}
+    for r in search.cosine_top_k(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], repr(r["cosine"])))
+    assert got.keys() == set(range(len(vectors)))
+    for q, a in enumerate(vectors):
+        want = sorted([(k, cosine(b, a)) for k, b in enumerate(vectors) if k != q], key=order)[:7]
+        assert got[q] == [(k, repr(c)) for k, c in want]
+    # a task's nearest of a block, so that no pair of rows is ever a row of Spark
+    v, q = pa.table({"vec_id": [1, 2], "v": [[1.0, 0.0], [1.0, 1.0]]}), pa.table({"query_id": [2], "q": [[1.0, 1.0]]})
+    assert search._nearest(1)(q, v).to_pylist() == [{"query_id": 2, "vec_id": 1, "cosine": 1 / 2**0.5}]
+    assert search._nearest(1)(q.slice(1), v).num_rows == 0
+
+
 def test_rates_of_return_against_a_loop(spark):
     flows = {}
     for r in trades(spark, SF).collect():
