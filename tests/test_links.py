@@ -90,3 +90,13 @@ def test_similar_sets_equal_all_pairs(spark, overlap, jaccard):
     links = similarity.similar_sets(df, overlap, jaccard, forest=True, tile=10)
     assert {tuple(r) for r in links.collect()} <= want and links.count() <= len(want)
     assert brute_components([tuple(r)[:2] for r in links.collect()]) == brute_components([w[:2] for w in want])
+
+
+def test_a_pair_of_sets_comes_out_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "COLUMNS", 3)
+    # every two sets meet under several members and in tiles; none may be given twice, as nothing takes doubles out any more
+    df = spark.createDataFrame([(k, "x", [f"m{j}" for j in range(6)] + [f"own{k}"]) for k in range(40)], "id long, grp string, members array<string>")
+    got = similarity.similar_sets(df, 2, tile=7)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == 40 * 39 // 2 and {r[2] for r in rows} == {6}
+    assert "HashAggregate(keys=[a#" not in got._jdf.queryExecution().toString()

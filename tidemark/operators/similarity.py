@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import staged
+
 #: A member that makes up this share of all memberships is known as common; there are fewer than its inverse of them.
 COMMON = 1 / 4096
 #: Sets of a group that one task compares with as many others.
 TILE = 400
+#: Members that sets are compared by at once.
+COLUMNS = 2048
+#: Rows that a task of pairs of tiles is given.
+TASK_ROWS = 50_000
 
 
 def prefixes(sets: DataFrame, overlap: int, jaccard: float) -> DataFrame:
@@ -32,54 +39,82 @@ def prefixes(sets: DataFrame, overlap: int, jaccard: float) -> DataFrame:
 
 
 def _compare(overlap: int, jaccard: float, forest: bool):
-    """Pairs of the sets of one (grp, member, lo, hi) after another; rows come sorted by those."""
-
-    def work(rows: list[tuple]) -> Iterator[tuple]:
-        above = list(range(len(rows)))
-
-        def top(k: int) -> int:
-            while above[k] != k:
-                above[k] = above[above[k]]
-                k = above[k]
-            return k
-
-        same_tile = rows[0][0] == rows[0][1]
-        left = [k for k, r in enumerate(rows) if r[2] == r[0]]
-        right = left if same_tile else [k for k, r in enumerate(rows) if r[2] == r[1]]
-        for i in left:
-            _, _, _, a, set_a = rows[i]
-            for j in right:
-                _, _, _, b, set_b = rows[j]
-                if a == b or (same_tile and a > b):
-                    continue
-                if len(set_b) < jaccard * len(set_a) - 1e-9 or len(set_a) < jaccard * len(set_b) - 1e-9:
-                    continue
-                if forest and top(i) == top(j):
-                    continue
-                n = len(set_a & set_b)
-                if n >= overlap and n >= jaccard * (len(set_a) + len(set_b) - n) - 1e-9:
-                    if forest:
-                        above[max(top(i), top(j))] = min(top(i), top(j))
-                    yield min(a, b), max(a, b), n
+    """Pairs of the sets of one (grp, member, lo, hi) after another; rows come sorted by those, a set's members in the order of all.
+
+    A pair is given under the first member that both have, which is in both prefixes, and nowhere else.
+    """
+
+    def products(sets: list[list], place: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many members each left set has in common with each right one, and how many of those stand before `place` in the left one."""
+        names: dict[object, int] = {}
+        codes = np.array([names.setdefault(m, len(names)) for s in sets for m in s])
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        early = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(place, size)
+        order = np.argsort(codes, kind="stable")
+        common, before = (np.zeros((len(left), len(right)), np.int64) for _ in range(2))
+        for first in range(0, len(names), COLUMNS):  # so that what is held is bounded by the sets
+            part = order[slice(*np.searchsorted(codes, [first, first + COLUMNS], sorter=order))]
+            cells, head = (np.zeros((len(sets), COLUMNS), np.float32) for _ in range(2))
+            cells[row[part], codes[part] - first] = 1
+            head[row[part], codes[part] - first] = early[part]
+            common += (cells[left] @ cells[right].T).astype(np.int64)
+            before += (head[left] @ cells[right].T).astype(np.int64)
+        return common, before
+
+    def work(rows: list[tuple], member: object) -> pa.RecordBatch | None:
+        ids = np.array([r[3] for r in rows], np.int64)
+        tile = np.array([r[2] for r in rows])
+        sets = [r[4] for r in rows]
+        size = np.array([len(s) for s in sets])
+        place = np.array([s.index(member) for s in sets])
+        left = np.flatnonzero(tile == rows[0][0])
+        right = left if rows[0][0] == rows[0][1] else np.flatnonzero(tile == rows[0][1])
+        if not len(left) or not len(right):
+            return None
+        common, before = products(sets, place, left, right)
+        n, m = size[left][:, None], size[right][None, :]
+        near = (before == 0) & (common >= overlap) & (common >= jaccard * (n + m - common) - 1e-9) & (ids[left][:, None] != ids[right][None, :])
+        if rows[0][0] == rows[0][1]:
+            near &= ids[left][:, None] < ids[right][None, :]
+        i, j = np.nonzero(near)
+        if forest:
+            above = list(range(len(rows)))
+
+            def top(k: int) -> int:
+                while above[k] != k:
+                    above[k] = above[above[k]]
+                    k = above[k]
+                return k
+
+            linking = []
+            for k, (x, y) in enumerate(zip(left[i].tolist(), right[j].tolist(), strict=True)):
+                one, other = top(x), top(y)
+                if one != other:
+                    above[max(one, other)] = min(one, other)
+                    linking.append(k)
+            i, j = i[linking], j[linking]
+        if not len(i):
+            return None
+        one, other = ids[left[i]], ids[right[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(common[i, j])], ["a", "b", "common"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
-        def put(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-            found = list(found)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "common"])
+        def put() -> Iterator[pa.RecordBatch]:
+            found = work(held, key[1]) if len(held) > 1 else None
+            if found is not None:
+                yield found
 
         for batch in batches:
             for row in batch.to_pylist():
                 now = (row["grp"], row["member"], row["lo"], row["hi"])
                 if now != key:
-                    if len(held) > 1:
-                        yield from put(work(held))
+                    yield from put()
                     key, held = now, []
-                held.append((row["lo"], row["hi"], row["tile"], row["id"], frozenset(row["members"])))
-        if len(held) > 1:
-            yield from put(work(held))
+                held.append((row["lo"], row["hi"], row["tile"], row["id"], row["members"]))
+        yield from put()
 
     return run
 
@@ -88,14 +123,17 @@ def similar_sets(sets: DataFrame, overlap: int = 1, jaccard: float = 0.0, forest
     """(a, b, common): pairs of sets of one group with at least `overlap` members in common and that Jaccard similarity, a < b.
 
     sets: (id (long), grp, members), one row an id; nulls are left out. Sets meet only in the prefixes of both. A member that
-    very many prefixes hold is cut into tiles whose pairs are the tasks. With `forest` a pair that is connected already within
-    a task isn't compared: enough links for components, and a group of alike sets costs about a comparison each.
+    very many prefixes hold is cut into tiles whose pairs are the tasks, dealt to as many partitions as their rows ask for. A pair comes out of one
+    task only, so pairs are neither shuffled nor held. With `forest` a pair that is connected already within a task isn't given: enough links for components.
     """
     given = sets.where("id is not null and grp is not null and members is not null").select(F.col("id").cast("long").alias("id"), "grp", F.array_distinct(F.array_compact("members")).alias("members"))
-    rows = prefixes(given, overlap, jaccard)
-    large = rows.groupBy("grp", "member").agg(F.count("*").alias("c")).where("c > 1").select("grp", "member", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
+    rows = staged(prefixes(given, overlap, jaccard))
+    large = rows.groupBy("grp", "member").agg(F.count("*").alias("c")).where("c > 1").select("grp", "member", "c", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
     cut = rows.join(large, ["grp", "member"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
     key = ["grp", "member", "lo", "hi"]
-    met = cut.select(*key, "tile", "id", "members").repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(overlap, jaccard, forest), "a long, b long, common long")
-    return met if forest else met.distinct()
+    # a row meets all tiles of its member
+    met_rows = large.agg(F.sum(F.col("c") * F.col("tiles"))).first()[0] or 0
+    partitions = max(met_rows // TASK_ROWS, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut.select(*key, "tile", "id", "members").repartition(partitions, *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(_compare(overlap, jaccard, forest), "a long, b long, common long")
