@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import graph, similarity
+from tidemark.queries import links
+from tidemark.queries.registry import QUERIES
 
 
 def brute_components(edges):
@@ -100,3 +103,19 @@ def test_a_pair_of_sets_comes_out_of_one_task(spark, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) == 40 * 39 // 2 and {r[2] for r in rows} == {6}
     assert "HashAggregate(keys=[a#" not in got._jdf.queryExecution().toString()
+
+
+def test_a_beam_walks_each_hop_once(spark):
+    # what is left to run reads the hops' tables, not the lines again for every hop
+    plan = QUERIES["beam_walk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "Join" not in plan
+
+
+def test_places_of_nodes_are_in_the_order_of_their_names(spark):
+    keys = [0, 1, 2, 9, 10, 11, 19, 100, 110, 123456789, 99999999999999999, -1, -10]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    placed = rows.select(F.inline(F.array(*[F.struct(F.concat(F.lit(t), "k").alias("name"), links._place(t, F.col("k")).alias("place")) for t in "sp"])))
+    got = placed.select("name", links._name(F.col("place")).alias("back")).orderBy("place").collect()
+    assert [r["name"] for r in got] == [r["back"] for r in got] == sorted(f"{t}{k}" for t in "sp" for k in keys)
+    with pytest.raises(Exception, match="more than 17"):
+        spark.range(1).select(links._place("s", F.lit(10**17))).collect()

@@ -61,14 +61,16 @@ def beam(edges: DataFrame, starts: DataFrame, hops: int, width: int) -> DataFram
     """(start, hop, node, score, place): after every hop the `width` best nodes of each start, which alone go on.
 
     A node's score is the sum over the beam before of score times strength. edges: source, target, strength; starts: node. So the
-    front is bounded by starts times width, however many edges a node has.
+    front is bounded by starts times width, however many edges a node has. Edges and what each hop gives are written to the shared folder, so
+    that a hop doesn't walk those before it again.
     """
+    edges = staged(edges.select("source", "target", "strength"))
     place = F.row_number().over(Window.partitionBy("start").orderBy(F.floor(F.col("score") * FINE + 0.5).desc(), "node"))
     front = starts.select(F.col("node").alias("start"), "node", F.lit(1.0).alias("score"))
     found = None
     for hop in range(1, hops + 1):
         step = front.join(edges, F.col("node") == F.col("source")).groupBy("start", F.col("target").alias("node")).agg(F.sum(F.col("score") * F.col("strength")).alias("score"))
-        best = step.withColumn("place", place).where(F.col("place") <= width)
+        best = staged(step.withColumn("place", place).where(F.col("place") <= width))
         front = best.select("start", "node", "score")
         kept = best.select("start", F.lit(hop).alias("hop"), "node", "score", "place")
         found = kept if found is None else found.unionAll(kept)

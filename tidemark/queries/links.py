@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -35,19 +35,43 @@ def _hops(n: int, width: int) -> str:
     return ", ".join(steps)
 
 
+#: Characters of a key, in order: as digits of base 12 from 1 on, so many of them as a long holds beside the kind.
+KEY, DIGITS, LENGTH = "-0123456789", "123456789ab", 17
+
+
+def _place(kind: str, key: Column) -> Column:
+    """A long that stands in order where the name of a node does: parts (p) before suppliers (s), then by the text of the key. No key is cut."""
+    text = key.cast("string")
+    fits = F.when(F.length(text) <= LENGTH, text).otherwise(F.when(text.isNotNull(), F.raise_error(F.lit(f"a key of more than {LENGTH} characters"))))
+    return F.conv(F.rpad(F.translate(fits, KEY, DIGITS), LENGTH, "0"), 12, 10).cast("long") - F.lit(12**LENGTH if kind == "p" else 0)
+
+
+def _name(place: Column) -> Column:
+    """The name of the node at such a place."""
+    digits = F.conv(F.when(place < 0, place + 12**LENGTH).otherwise(place).cast("string"), 10, 12)
+    return F.concat(F.when(place < 0, "p").otherwise("s"), F.translate(F.rtrim(F.lower(digits), F.lit("0")), DIGITS, KEY))
+
+
 @query(f"""WITH v AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2),
 e AS (SELECT s AS source, p AS target, v / sum(v) OVER (PARTITION BY s) AS strength FROM v UNION ALL SELECT p, s, v / sum(v) OVER (PARTITION BY p) FROM v), {_hops(4, 5)}
 SELECT start, hop, node, round(score * 1000000, 6) AS score, place FROM ({' UNION ALL '.join(f'SELECT start, {h}::BIGINT AS hop, node, score, place FROM b{h}' for h in range(1, 5))})""")
 def beam_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every supplier to parts and on to suppliers, four hops, of which the five best nodes each go on."""
-    v = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p")).agg(F.sum("l_extendedprice").alias("v"))
+    """From every supplier to parts and on to suppliers, four hops, of which the five best nodes each go on.
+
+    A node is a number that stands where its name does in order, as the walk groups and sorts many rows by nodes.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_extendedprice").alias("v"))
+    v = graph.staged(lines.select(_place("s", F.col("l_suppkey")).alias("s"), _place("p", F.col("l_partkey")).alias("p"), "v"))
 
     def shares(a: str, b: str) -> DataFrame:
         whole = v.groupBy(a).agg(F.sum("v").alias("all"))
         return v.join(whole, a).select(F.col(a).alias("source"), F.col(b).alias("target"), (F.col("v") / F.col("all")).alias("strength"))
 
     found = graph.beam(shares("s", "p").unionAll(shares("p", "s")), v.select(F.col("s").alias("node")).distinct(), 4, 5)
-    return found.select("start", F.col("hop").cast("long").alias("hop"), "node", rounded(F.col("score") * 1000000, 6).alias("score"), F.col("place").cast("long").alias("place"))
+    return found.select(
+        _name(F.col("start")).alias("start"), F.col("hop").cast("long").alias("hop"), _name(F.col("node")).alias("node"),
+        rounded(F.col("score") * 1000000, 6).alias("score"), F.col("place").cast("long").alias("place"),
+    )
 
 
 STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
