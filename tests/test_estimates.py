@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import estimates
+from tidemark.queries.registry import QUERIES
 
 
 def test_grouping_of_digits(spark):
@@ -34,3 +35,9 @@ def test_estimates_use_only_what_was_known(spark):
     assert got["a", 8].growths == 1 and got["a", 8].estimate == pytest.approx(110.0)
     bands = {r.g: r for r in estimates.error_bands(spark.createDataFrame([("x", 0.1)] * 9 + [("y", 0.5)], "g string, error double"), "g").collect()}
     assert (bands["x"].pooled, bands["x"].band_pct, bands["y"].pooled) == (False, pytest.approx(10.0), True)
+
+
+def test_sector_factors_makes_its_quarters_once(spark):
+    # medians, edges and rows read the table of quarters, and none of them the lines again
+    plan = QUERIES["sector_factors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "Window" not in plan.split("== Physical Plan ==")[1]

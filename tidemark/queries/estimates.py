@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded
 from ..operators import estimates, quantiles
 from ..operators import statements as ops
+from ..operators.graph import staged
 from .base import ORDERS, orders, query, table
 from .ratios import FACTORS, QUARTERS, quarters
 from .research import MONTHLY, factor_panel
@@ -85,6 +86,8 @@ def sector_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = lambda c: F.when((F.col("mcap") > 0) & (F.col(c) > 0), F.log(F.col("mcap") / F.col(c)))
     q = q.withColumns({"ps": above("revenue_ttm"), "pe": above("pat_ttm"), "margin": F.try_divide("ebit_ttm", "revenue_ttm"), "growth": F.when(F.col("pat") > 0, F.try_divide(F.col("pat"), ops.back("pat", 4)) - 1)})
     q = q.withColumns({"margin_pctile": ops.own_percentile("margin", 20, 8), "pat_pctile": ops.own_percentile("pat_ttm", 20, 8)})
+    # quarters are made once, with what the rest needs of them
+    q = staged(q.select("entity_id", "period_end", "qi", "sector", "ps", "pe", "growth", "margin_pctile", "pat_pctile"))
     medians = None
     for c in ("ps", "pe"):
         held = quantiles.exact_quantiles(q, ["sector", "qi"], c, [0.5]).join(q.groupBy("sector", "qi").agg(F.count(c).alias("n")), ["sector", "qi"]).where("n >= 3").select("sector", "qi", F.get("q", F.lit(0)).alias(c))
