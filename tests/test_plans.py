@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import relational, search
 from tidemark.operators.quantiles import average_ranks
+from tidemark.operators.stats import winsor_z
 from tidemark.queries.registry import QUERIES
 from tidemark.queries.texts import trades
 
@@ -108,3 +110,20 @@ def test_rates_of_return_against_a_loop(spark):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if (npv(mid) > 0) == (npv(lo) > 0) else (lo, mid)
         assert got[k] == pytest.approx((lo + hi) / 2, abs=1e-6)
+
+
+def test_winsorised_scores_are_the_same_in_any_order(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice("ab"), 1000 + rng.gauss(0, 1)) for k in range(3000)] + [(-1, "a", None), (-2, "c", 1.0), (-3, "c", 1.0), (-4, "d", 5.0)]
+    scores = []
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "id long, g string, v double").repartition(parts)
+        scores.append({r["id"]: r["z"] for r in winsor_z(df, ["g"], "v", 0.05).collect()})
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == len(rows)
+    assert all(scores[0][k] is None for k in range(-4, 0))
+    for g in "ab":
+        v = np.array([x for _, h, x in rows if h == g and x is not None])
+        held = np.clip(v, *np.quantile(v, [0.05, 0.95]))
+        want = dict(zip([k for k, h, x in rows if h == g and x is not None], (held - held.mean()) / held.std(ddof=1), strict=True))
+        assert all(scores[0][k] == pytest.approx(z, abs=1e-9) for k, z in want.items())

@@ -17,15 +17,25 @@ from .quantiles import average_ranks, exact_quantiles, looked_up
 from .relational import quantile_cut
 
 
+#: Parts that the range between a group's percentiles is cut into, so that sums over it are exact whatever the order of rows.
+PARTS = 2**45
+
+
 def winsor_z(rows: DataFrame, by: Sequence[str], value: str, tail: float = 0.01) -> DataFrame:
-    """Values held within the tail percentiles of their group, then as z-scores in column z.
+    """Values held within the tail percentiles of their group, then as z-scores in column z; a null stays null.
 
-    The percentiles are aggregated and joined, not windowed, so a group may be of any size.
+    The percentiles are aggregated and joined, not windowed, so a group may be of any size. Mean and deviation come from whole numbers, the
+    place of each value between the percentiles in PARTS: their sums are the same in any order, and so is every digit of z.
     """
-    edges = exact_quantiles(rows, by, value, [tail, 1 - tail]).withColumnRenamed("q", "_e")
-    held = rows.join(edges, list(by)).withColumn("_x", F.greatest(F.least(F.col(value), F.get("_e", F.lit(1))), F.get("_e", F.lit(0))))
-    moments = held.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_samp("_x").alias("_s"))
-    return held.join(moments, list(by)).withColumn("z", F.try_divide(F.col("_x") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")))).drop("_e", "_x", "_m", "_s")
+    edges = exact_quantiles(rows, by, value, [tail, 1 - tail]).select(*by, F.get("q", F.lit(0)).alias("_lo"), F.get("q", F.lit(1)).alias("_hi"))
+    held = rows.join(edges, list(by)).withColumn("_x", F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value), F.col("_hi")), F.col("_lo"))))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS + 0.5)).cast("decimal(18,0)")
+    sums = held.groupBy(*by).agg(F.count(place).cast("double").alias("_n"), F.sum(place).cast("double").alias("_s1"), F.sum(place * place).cast("double").alias("_s2"))
+    held = held.join(sums, list(by))
+    mean = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_s1") / F.col("_n") / PARTS)
+    variance = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1)
+    deviation = F.when((F.col("_n") > 1) & (variance > 0), (F.col("_hi") - F.col("_lo")) * (F.sqrt(variance) / PARTS))
+    return held.withColumn("z", (F.col("_x") - mean) / deviation).drop("_lo", "_hi", "_x", "_n", "_s1", "_s2")
 
 
 def rank_ic(rows: DataFrame, by: Sequence[str], factor: str, target: str, least: int = 20) -> DataFrame:

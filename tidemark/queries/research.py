@@ -26,9 +26,12 @@ def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MONTHLY}, e AS (SELECT period, quantile_cont(mom, 0.01) AS lo, quantile_cont(mom, 0.99) AS hi FROM x GROUP BY 1),
-h AS (SELECT entity_id, date, x.period, greatest(least(mom, hi), lo) AS v FROM x JOIN e ON e.period = x.period), m AS (SELECT period, avg(v) AS m, stddev_samp(v) AS s FROM h GROUP BY 1)
+h AS (SELECT entity_id, date, x.period, lo, hi, greatest(least(mom, hi), lo) AS v FROM x JOIN e ON e.period = x.period), u AS (SELECT period, lo, hi, CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 35184372088832::DOUBLE + 0.5)::HUGEINT END AS u FROM h),
+a AS (SELECT period, lo, hi, count(u)::DOUBLE AS n, sum(u)::DOUBLE AS s1, sum(u * u)::DOUBLE AS s2 FROM u GROUP BY 1, 2, 3),
+m AS (SELECT period, lo + (hi - lo) * (s1 / n / 35184372088832::DOUBLE) AS m, CASE WHEN n > 1 AND s2 > s1 * s1 / n THEN (hi - lo) * (sqrt((s2 - s1 * s1 / n) / (n - 1)) / 35184372088832::DOUBLE) END AS s FROM a)
 SELECT entity_id, date, round((v - m) / s, 6) AS z FROM h JOIN m ON m.period = h.period""")
 def winsorised_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum within the first and last percentile of its year, as z-scores; sums are of whole numbers in the query and in its SQL, so that no order of rows turns a sixth place."""
     return stats.winsor_z(factor_panel(spark, sf_dir), ["period"], "mom").select("entity_id", "date", rounded("z", 6).alias("z"))
 
 
