@@ -53,6 +53,20 @@ def test_the_table_function_never_fails(spark):
         assert sorted(got.get(k, []), key=str) == sorted(want, key=str)
 
 
+def test_cells_by_column_equal_the_table_function(spark, monkeypatch):
+    monkeypatch.setattr(otsl, "TEXTS", 7)
+    spark.udtf.register("otsl_cells", otsl.otsl_cells)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["<fcel>", "<ecel>", "<lcel>", "<ucel>", "<xcel>", "<nl>", " ", "a < b"]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    texts += [None, "<fcel>a<lcel><nl><ucel><xcel><nl>", "<fcel>a<nl> stray <nl><fcel>b", "<nl><nl>", "<fcel> x  y <nl><nl><ecel>"]
+    df = spark.createDataFrame([(k, f"s{k}", t) for k, t in enumerate(texts)], "k long, text2 string, t string")
+    df.createOrReplaceTempView("marked_too")
+    by_column = otsl.read_cells(df, "t")
+    assert by_column.columns[:3] == ["k", "text2", "row"]
+    want = spark.sql("SELECT k, text2, c.* FROM marked_too, LATERAL otsl_cells(t) c").collect()
+    assert sorted(map(str, by_column.collect())) == sorted(map(str, want)) and len(want) > len(texts)
+
+
 def simulate(rows, quotas):
     """One at a time, as the rule is told."""
     strata = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allot
 from ..plans import stamps
-from ..sources.otsl import otsl_cells
+from ..sources.otsl import read_cells
 from .base import query, table
 
 
@@ -46,7 +46,6 @@ UNION ALL SELECT k, i + 1, 0, l_linenumber::VARCHAR, 1, 1, NULL FROM l WHERE k %
 UNION ALL SELECT k, i + 1, 2, q::VARCHAR, 1, 1, NULL FROM l WHERE k % 50 <> 0 UNION ALL SELECT k, i + 1, 3, '', 1, 1, NULL FROM l WHERE k % 50 <> 0""")
 def otsl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each order written as a table of marked cells, flags merged with equal ones above, and read back; some are cut short."""
-    spark.udtf.register("otsl_cells", otsl_cells)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("r"))
 
@@ -57,8 +56,8 @@ def otsl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("<fcel>"), x["l_linenumber"].cast("string"), flag, F.lit("<fcel>"), x["l_quantity"].cast("long").cast("string"), last, F.lit("<nl>"))
 
     head = F.lit("Lines of an order\n<fcel>line<fcel>flag<fcel>quantity<lcel><nl>")
-    lines.select("l_orderkey", F.concat(head, F.array_join(F.transform("r", written), "")).alias("text")).createOrReplaceTempView("otsl_tables_texts")
-    cells = spark.sql("SELECT l_orderkey AS order_key, c.* FROM otsl_tables_texts t, LATERAL otsl_cells(t.text) c")
+    texts = lines.select(F.col("l_orderkey").alias("order_key"), F.concat(head, F.array_join(F.transform("r", written), "")).alias("marked"))
+    cells = read_cells(texts, "marked")
     return cells.select("order_key", *[F.col(c).cast("long").alias(c) if c in ("row", "col", "row_span", "col_span") else F.col(c) for c in cells.columns[1:]])
 
 
