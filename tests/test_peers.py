@@ -86,3 +86,70 @@ def test_mean_similarities_without_all_pairs(spark):
     df = spark.createDataFrame([(k, *row) for k, row in z.items()], "id long, " + ", ".join(f"{f} double" for f in NAMES))
     plan = peers.mean_similarities(df, "id", FAMILIES, 4, 0.5, 2)
     assert {r["id"]: (r["n"], pytest.approx(r["baseline"], abs=1e-8)) for r in plan.collect()} == base
+
+
+def _shuffled(spark) -> int:
+    """Rows that all stages until now have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_neighbours_shuffle_no_bests_of_pairs_of_blocks(spark):
+    rng = random.Random(9)
+    z = [(k, *[rng.gauss(0, 1) for _ in NAMES]) for k in range(2000)]
+    df = spark.createDataFrame(z, "id long, " + ", ".join(f"{f} double" for f in NAMES)).persist()
+    df.count()
+    before = _shuffled(spark)
+    # partitions as there are with many rows
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    held = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert len(peers.neighbours(df, "id", FAMILIES, 7, 4, 0.5, 2, rows=32)[0].collect()) == 2000 * 7
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    # a few times the rows, and no bests of each of 63 blocks
+    assert _shuffled(spark) - before < 20 * 2000
+
+
+@pytest.mark.parametrize("tile", [(4, 8), (1024, 512)])
+def test_bests_of_equal_zero_and_short_rows(monkeypatch, tile):
+    monkeypatch.setattr(peers, "TILE", tile)
+    rng = random.Random(10)
+    z = [[None if rng.random() < 0.2 else rng.gauss(0, 1) for _ in NAMES] for _ in range(120)] + [[float(rng.randint(-1, 1)) if rng.random() < 0.8 else None for _ in NAMES] for _ in range(150)]
+    z += [[0.0] * 6] * 3 + [[1e-7] * 6, [2e-7, -1e-7, 1e-7, 0.0, None, 1e-7], [4e-4] * 6, [5e-4, None, 3e-4, 1e-4, 0.0, 0.0]] + [[1.0, 2.0, None, 1.0, 0.5, 1.0]] * 20
+    rng.shuffle(z)
+    want, _ = brute(dict(enumerate(z)), 7, 0)
+    cells = np.array([[np.nan if v is None else v for v in row] for row in z])
+    family = [k for k, fs in enumerate(FAMILIES.values()) for _ in fs]
+
+    def counts(both):
+        said = int(both.sum()), len({f for f, b in zip(family, both, strict=True) if b})
+        return said if said[0] >= 3 and said[1] >= 2 else None
+
+    bests = peers._Bests(cells, 8, counts, -1.0)
+    ids = np.arange(len(z))
+    for begin in range(0, len(z), 70):
+        bests.meet(ids[begin : begin + 70], cells[begin : begin + 70])
+    got = {}
+    for i, peer, similarity in zip(peers._kinds(cells)[0].tolist(), bests.peer.tolist(), bests.similarity.tolist(), strict=True):
+        others = [(j, s) for j, s in zip(peer, similarity, strict=True) if j != i and s > -2][:7]
+        got |= {(i, j): (p + 1, s) for p, (j, s) in enumerate(others)}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=2e-9)
+
+
+def test_nearest_by_more_features_than_a_long_has_bits(spark):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(30, 70))
+    names = [f"f{i}" for i in range(70)]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(v.tolist())], "id long, " + ", ".join(f"{f} double" for f in names))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cosine = unit @ unit.T - 9 * np.eye(30)
+    got = {(r["id"], r["place"]): r["peer"] for r in peers.nearest(df, "id", {"all": names}, 3, 1, 0.0, 1).collect()}
+    assert got == {(k, p + 1): j for k in range(30) for p, j in enumerate(np.argsort(-cosine[k])[:3].tolist())}

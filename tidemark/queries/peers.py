@@ -58,8 +58,7 @@ FROM t JOIN z a ON a.id = t.id JOIN z b ON b.id = t.peer AND b.f = a.f GROUP BY
 def peer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten peers of every customer over the features that both have, and which of them make the two alike."""
     z = _features(spark, sf_dir).persist()
-    found, _ = peers.neighbours(z, "id", FAMILIES, 10)
-    told = peers.drivers(found, z, "id", NAMES)
+    told = peers.drivers(peers.nearest(z, "id", FAMILIES, 10), z, "id", NAMES)
     return told.select(
         "id", "peer", F.col("place").cast("long").alias("place"), "similarity", F.col("shared").cast("long").alias("shared"),
         F.col("families").cast("long").alias("families"), F.array_join("drivers", ",").alias("drivers"),
@@ -83,5 +82,5 @@ def centroid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = e.withColumn("n", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))).where("n > 0")
     names = [f"e{i}" for i in range(size)]
     centroids = unit.groupBy("id").agg(*[F.avg(F.get("e", F.lit(i)) / F.col("n")).alias(f) for i, f in enumerate(names)])
-    found, _ = peers.neighbours(centroids, "id", {"all": names}, 5, 1, 0.0, 1, 0.0)
+    found = peers.nearest(centroids, "id", {"all": names}, 5, 1, 0.0, 1, 0.0)
     return found.select("id", "peer", F.col("place").cast("long").alias("place"), "similarity")
